@@ -72,7 +72,7 @@ def _micros(ts: Column) -> Column:
 
 
 def _misses_in_order(times: DataFrame, key: str, ttl: int) -> DataFrame:
-    """(key, misses) from the ordered times of each key, folded inside one row."""
+    """(key, misses, last_miss) from the ordered times of each key, folded inside one row."""
 
     def step(state: Column, t: Column) -> Column:
         miss = state["since"].isNull() | (t >= state["since"] + F.lit(ttl))
@@ -82,8 +82,12 @@ def _misses_in_order(times: DataFrame, key: str, ttl: int) -> DataFrame:
         )
 
     zero = F.struct(F.lit(None).cast("long").alias("since"), F.lit(0).cast("long").alias("misses"))
-    folded = F.aggregate(F.sort_array(F.collect_list("__t")), zero, step, lambda s: s["misses"])
-    return times.groupBy(key).agg(folded.alias("misses"))
+    folded = F.aggregate(F.sort_array(F.collect_list("__t")), zero, step)
+    return (
+        times.groupBy(key)
+        .agg(folded.alias("__f"))
+        .select(key, F.col("__f.misses").alias("misses"), F.col("__f.since").alias("last_miss"))
+    )
 
 
 def _next_miss(times: DataFrame, key: str, ttl: int) -> DataFrame:
@@ -128,7 +132,7 @@ def _next_miss(times: DataFrame, key: str, ttl: int) -> DataFrame:
 
 
 def _misses_by_doubling(times: DataFrame, key: str, ttl: int) -> DataFrame:
-    """(key, misses) for keys with very many times, without a task per key.
+    """(key, misses, last_miss) for keys with very many times, without a task per key.
 
     A miss at t leads to the next miss at ``next(t)``. The misses of a key are all times reached
     from its first one; doubling the stride of ``next`` finds them in log2(length) joins on
@@ -141,7 +145,7 @@ def _misses_by_doubling(times: DataFrame, key: str, ttl: int) -> DataFrame:
         more = reached.join(stride, [key, "__t"]).select(key, F.col("__next").alias("__t"))
         grown = reached.unionByName(more).distinct().checkpoint()
         if more.isEmpty():
-            return grown.groupBy(key).agg(F.count("*").alias("misses"))
+            return grown.groupBy(key).agg(F.count("*").alias("misses"), F.max("__t").alias("last_miss"))
         reached = grown
         onward = stride.select(key, F.col("__t").alias("__next"), F.col("__next").alias("__after"))
         jump = stride.join(onward, [key, "__next"]).select(
@@ -149,6 +153,57 @@ def _misses_by_doubling(times: DataFrame, key: str, ttl: int) -> DataFrame:
         ).checkpoint()
 
 
+def _misses(points: DataFrame, per_key: DataFrame, key: str, ttl: int, max_times: int) -> DataFrame:
+    """(key, misses, last_miss) of distinct (key, __t) points."""
+    _use_checkpoint_dir(points.sparkSession)
+    large = per_key.filter(F.col("__times") > max_times).select(key)
+    if large.isEmpty():
+        return _misses_in_order(points, key, ttl)
+    few = _misses_in_order(points.join(large, key, "left_anti"), key, ttl)
+    many = points.join(large, key, "left_semi").checkpoint()
+    return few.unionByName(_misses_by_doubling(many, key, ttl))
+
+
+def reuse_from(
+    df: DataFrame,
+    before: DataFrame,
+    key: str,
+    ts: str = "ts",
+    ttl_seconds: int = DETECTION_TTL_SECONDS,
+    max_times: int = MAX_TIMES_PER_KEY,
+) -> DataFrame:
+    """(key, requests, misses, hits, last_miss), given the time of each key's last miss before.
+
+    ``before`` is (key, since). Requests up to the earlier miss are hits.
+    """
+    ttl = ttl_seconds * 1_000_000
+    times = (
+        df.select(F.col(key), _micros(F.col(ts)).alias("__t"))
+        .groupBy(key, "__t")
+        .agg(F.count("*").alias("__n"))
+    )
+    start = before.select(key, _micros(F.col("since")).alias("__since"))
+    dated = times.join(start, key, "left")
+    # The earlier miss stands in for the requests up to it, so the fold starts from there.
+    points = (
+        dated.filter(F.col("__since").isNull() | (F.col("__t") > F.col("__since")))
+        .select(key, "__t")
+        .unionByName(dated.filter(F.col("__since").isNotNull()).select(key, F.col("__since").alias("__t")).distinct())
+    )
+    per_key = dated.groupBy(key).agg(
+        F.sum("__n").alias("requests"), F.count("*").alias("__times"), F.max("__since").alias("__since")
+    )
+    found = per_key.join(_misses(points, per_key, key, ttl, max_times), key)
+    misses = F.col("misses") - F.col("__since").isNotNull().cast("long")
+    return found.select(
+        key,
+        "requests",
+        misses.alias("misses"),
+        (F.col("requests") - misses).alias("hits"),
+        F.timestamp_micros("last_miss").alias("last_miss"),
+    )
+
+
 def reuse_accounting(
     df: DataFrame,
     key: str,
@@ -161,32 +216,17 @@ def reuse_accounting(
     A hit does not extend the life of a result. Requests are first reduced to distinct times per
     key; keys with few times are folded in one row, the others by splitting their time line.
     """
-    spark = df.sparkSession
-    _use_checkpoint_dir(spark)
     ttl = ttl_seconds * 1_000_000
     times = (
         df.select(F.col(key), _micros(F.col(ts)).alias("__t"))
         .groupBy(key, "__t")
         .agg(F.count("*").alias("__n"))
     )
-    per_key = times.groupBy(key).agg(
-        F.sum("__n").alias("requests"), F.count("*").alias("__times")
-    )
-    large = per_key.filter(F.col("__times") > max_times).select(key)
-    points = times.select(key, "__t")
-    if large.isEmpty():
-        misses = _misses_in_order(points, key, ttl)
-    else:
-        # At most (all rows / max_times) keys are large, so this side is small next to the times.
-        misses = _misses_in_order(points.join(large, key, "left_anti"), key, ttl).unionByName(
-            _misses_by_doubling(points.join(large, key, "left_semi").checkpoint(), key, ttl)
-        )
+    per_key = times.groupBy(key).agg(F.sum("__n").alias("requests"), F.count("*").alias("__times"))
+    misses = _misses(times.select(key, "__t"), per_key, key, ttl, max_times)
     hits = F.col("requests") - F.col("misses")
-    return (
-        per_key.drop("__times")
-        .join(misses, key)
-        .withColumn("hits", hits)
-        .withColumn("hit_rate", F.when(F.col("requests") > 0, hits / F.col("requests")).otherwise(0.0))
+    return per_key.join(misses, key).select(
+        key, "requests", "misses", hits.alias("hits"), (hits / F.col("requests")).alias("hit_rate")
     )
 
 
@@ -209,13 +249,14 @@ def ema(
     value: str,
     alpha: float = EMA_ALPHA,
     chunk: Column | None = None,
+    before: DataFrame | None = None,
 ) -> DataFrame:
     """Exponential moving average per key after its last row: (key, n, ema).
 
     The average equals a weighted sum, with weights given by each row's position from the end, so
     it is a plain sum with partial sums per task. Positions are counted inside time chunks
     (``chunk``, by default the day of the first order column) and shifted by the sizes of the
-    earlier chunks, so no task sorts a whole key.
+    earlier chunks, so no task sorts a whole key. ``before`` is an earlier result to go on from.
     """
     if chunk is None:
         chunk = F.to_date(order[0])
@@ -231,12 +272,29 @@ def ema(
     inside = F.row_number().over(Window.partitionBy(key, "__chunk").orderBy(*order))
     rows = chunked.withColumn("__pos", inside).join(placed, [key, "__chunk"])
     position = F.col("__before") + F.col("__pos")
-    weight = F.pow(F.lit(1.0 - alpha), F.col("n") - position) * F.when(position == 1, F.lit(1.0)).otherwise(
-        F.lit(alpha)
+    decay = F.lit(1.0 - alpha)
+    if before is None:
+        starts = position == 1
+        rows = rows.withColumn("__old_n", F.lit(None).cast("long")).withColumn("__old", F.lit(None).cast("double"))
+    else:
+        old = before.select(key, F.col("n").alias("__old_n"), F.col("ema").alias("__old"))
+        rows = rows.join(old, key, "left")
+        starts = (position == 1) & F.col("__old_n").isNull()
+    weight = F.pow(decay, F.col("n") - position) * F.when(starts, F.lit(1.0)).otherwise(F.lit(alpha))
+    result = rows.groupBy(key).agg(
+        F.max("n").alias("__new_n"),
+        F.sum(F.col(value) * weight).alias("__sum"),
+        F.max("__old_n").alias("__old_n"),
+        F.max("__old").alias("__old"),
     )
-    return rows.groupBy(key).agg(
-        F.max("n").alias("n"), F.sum(F.col(value) * weight).alias("ema")
+    updated = result.select(
+        key,
+        (F.col("__new_n") + F.coalesce("__old_n", F.lit(0))).alias("n"),
+        (F.col("__sum") + F.coalesce(F.col("__old") * F.pow(decay, F.col("__new_n")), F.lit(0.0))).alias("ema"),
     )
+    if before is None:
+        return updated
+    return updated.unionByName(before.join(updated, key, "left_anti").select(key, "n", "ema"))
 
 
 def perf_stats(df: DataFrame, key: str, ts: str, order: list[str], duration: str) -> DataFrame:

@@ -76,38 +76,58 @@ def _texts_under(value: Column) -> Column:
     )
 
 
-def _texts_of_object(body: Column, keys: list[str]) -> Column:
-    return F.concat(
-        *[
-            F.coalesce(_texts_under(F.try_variant_get(body, f"$['{key}']", "variant")), _no_strings())
-            for key in keys
-        ]
-    )
+def _no_keys() -> Column:
+    return F.array().cast(_STRINGS)
+
+
+def service_keys(service: Column, paths: str) -> Column:
+    """The keys that hold text in bodies of the service (``paths``: content_paths or
+    response_paths); none for an unknown service."""
+    pairs: list[Column] = []
+    for name, facts in SERVICES.items():
+        pairs += [F.lit(name), F.array(*[F.lit(k) for k in facts[paths]])]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), service), _no_keys())
 
 
 def _is_list(body: Column) -> Column:
     return F.startswith(_kind(body), F.lit("ARRAY"))
 
 
-def payload_texts(payload: Column, keys: list[str]) -> Column:
-    """Texts under the given top-level keys, key by key; a list of objects is taken item by item."""
+def _objects(body: Column) -> Column:
+    """A body's fields as maps: one map for an object, one per item for a list of objects."""
+    return F.when(
+        _is_list(body),
+        F.filter(
+            F.transform(_as(body, "array<variant>"), lambda item: _as(item, "map<string,variant>")),
+            lambda m: m.isNotNull(),
+        ),
+    ).otherwise(F.array_compact(F.array(_as(body, "map<string,variant>"))))
 
-    def under(body: Column, key: str) -> Column:
-        items = _as(body, "array<variant>")
-        return F.flatten(F.transform(items, lambda item: _texts_of_object(item, [key])))
 
-    def walk(body: Column) -> Column:
-        per_key = [under(body, key) for key in keys]
-        return F.when(_is_list(body), F.concat(*per_key)).otherwise(_texts_of_object(body, keys))
+def payload_texts(payload: Column, keys: Column) -> Column:
+    """Texts under the given top-level keys, key by key; a list of objects is taken item by item."""
 
-    return F.coalesce(let(F.try_parse_json(payload), walk), _no_strings())
+    def under(objects: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                keys,
+                lambda key: F.flatten(
+                    F.transform(
+                        objects,
+                        lambda fields: F.coalesce(_texts_under(F.try_element_at(fields, key)), _no_strings()),
+                    )
+                ),
+            )
+        )
+
+    return F.coalesce(let(_objects(F.try_parse_json(payload)), under), _no_strings())
 
 
 def _json_string(text: Column) -> Column:
     return let(F.to_json(F.array(text)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
 
 
-def _replaced_object(raw: Column, body: Column, keys: list[str], replace: Callable[[Column], Column]) -> Column:
+def _replaced_object(raw: Column, body: Column, keys: Column, replace: Callable[[Column], Column]) -> Column:
     """JSON text of one object with its texts replaced.
 
     Values without a replaced text keep their field order; objects inside a list with one come out
@@ -120,7 +140,7 @@ def _replaced_object(raw: Column, body: Column, keys: list[str], replace: Callab
         )
 
     def value_json(key: Column, text: Column, value: Column) -> Column:
-        wanted = key.isin(keys)
+        wanted = F.array_contains(keys, key)
         kind = _kind(value)
         listed = F.concat(
             F.lit("["), F.array_join(F.transform(_as(value, "array<variant>"), item_json), ","), F.lit("]")
@@ -149,7 +169,7 @@ def _replaced_object(raw: Column, body: Column, keys: list[str], replace: Callab
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
-def replace_payload_texts(payload: Column, keys: list[str], replacements: Column) -> Column:
+def replace_payload_texts(payload: Column, keys: Column, replacements: Column) -> Column:
     """Body with the texts under ``keys`` looked up in the map ``replacements``."""
 
     def replace(text: Column) -> Column:
@@ -174,13 +194,6 @@ def replace_payload_texts(payload: Column, keys: list[str], replacements: Column
     return let(F.try_parse_json(payload), rebuilt)
 
 
-def _by_service(service: Column, paths: str, build: Callable[[list[str]], Column], other: Column) -> Column:
-    result = other
-    for name, facts in SERVICES.items():
-        result = F.when(service == name, build(facts[paths])).otherwise(result)
-    return result
-
-
 def _outcome(text: Column, policy: Policy, role: str, masked_actions: list[str]) -> Column:
     """What the policy makes of one text of a body."""
 
@@ -206,23 +219,22 @@ def _outcome(text: Column, policy: Policy, role: str, masked_actions: list[str])
 def _with_outcomes(
     df: DataFrame, payload_col: str, service_col: str, paths: str, policy: Policy, masked: list[str]
 ) -> DataFrame:
-    payload, service = F.col(payload_col), F.col(service_col)
-    texts = _by_service(service, paths, lambda keys: payload_texts(payload, keys), _no_strings())
+    keyed = df.withColumn("__keys", service_keys(F.col(service_col), paths))
+    texts = payload_texts(F.col(payload_col), F.col("__keys"))
     outcomes = F.transform(F.array_distinct("__texts"), lambda t: _outcome(t, policy, "user", masked))
-    return df.withColumn("__texts", texts).select("*", F.inline(F.array(F.struct(outcomes.alias("__outcomes")))))
+    return keyed.withColumn("__texts", texts).select(
+        "*", F.inline(F.array(F.struct(outcomes.alias("__outcomes"))))
+    )
 
 
-def _rebuilt(payload_col: str, service_col: str, paths: str) -> Column:
+def _rebuilt(payload_col: str) -> Column:
     payload = F.col(payload_col)
     replacements = F.map_from_entries(
         F.transform("__outcomes", lambda o: F.struct(o["text"].alias("key"), o["replacement"].alias("value")))
     )
     changed = F.exists("__outcomes", lambda o: o["replacement"] != o["text"])
     return F.when(
-        changed,
-        _by_service(
-            F.col(service_col), paths, lambda keys: replace_payload_texts(payload, keys, replacements), payload
-        ),
+        changed, let(replacements, lambda r: replace_payload_texts(payload, F.col("__keys"), r))
     ).otherwise(payload)
 
 
@@ -245,12 +257,12 @@ def sanitize_payload(
         .withColumn("detected_entities", entities)
         .withColumn(
             "sanitized_payload",
-            F.when(F.col("status") == "ok", _rebuilt(payload_col, service_col, "content_paths")),
+            F.when(F.col("status") == "ok", _rebuilt(payload_col)),
         )
         .withColumn(
             "sanitization_applied", (F.col("status") == "ok") & (F.size("detected_entities") > 0)
         )
-        .drop("__texts", "__outcomes")
+        .drop("__keys", "__texts", "__outcomes")
     )
 
 
@@ -261,8 +273,8 @@ def sanitize_response(
     found = _with_outcomes(
         df, payload_col, service_col, "response_paths", policy or Policy(), ["block", "mask"]
     )
-    return found.withColumn("sanitized_payload", _rebuilt(payload_col, service_col, "response_paths")).drop(
-        "__texts", "__outcomes"
+    return found.withColumn("sanitized_payload", _rebuilt(payload_col)).drop(
+        "__keys", "__texts", "__outcomes"
     )
 
 

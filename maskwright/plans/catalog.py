@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from maskwright.plans import table_queries, text_queries  # noqa: F401
+    from maskwright.plans import stream_queries, table_queries, text_queries  # noqa: F401

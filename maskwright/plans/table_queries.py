@@ -53,9 +53,8 @@ _BODY_TEXTS_SQL = f"""btexts as (select doc_id, service, unnest(l) as text, gene
 @query("payload_texts", f"with {_BODY_TEXTS_SQL} select doc_id, ord, text from btexts")
 def payload_texts(spark, sf_dir):
     keyed = bodies(spark, sf_dir)
-    found = payload._by_service(
-        F.col("service"), "content_paths", lambda keys: payload.payload_texts(F.col("payload"), keys), F.array().cast("array<string>")
-    )
+    keys = payload.service_keys(F.col("service"), "content_paths")
+    found = payload.payload_texts(F.col("payload"), keys)
     return keyed.select("doc_id", F.posexplode(found).alias("ord", "text")).withColumn("ord", F.col("ord") + 1)
 
 
