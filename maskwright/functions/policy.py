@@ -76,6 +76,11 @@ class Policy:
 
     document: dict[str, Any] = field(default_factory=lambda: copy.deepcopy(DEFAULT_DOCUMENT))
 
+    @property
+    def key(self) -> str:
+        """Text that is equal for equal documents."""
+        return json.dumps(self.document, sort_keys=True)
+
     @property
     def default(self) -> dict[str, Any]:
         return self.document.get(

@@ -13,7 +13,11 @@ import re
 DIGIT = r"\p{Nd}"
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+# Java steps back by whole characters instead of UTF-16 halves only if the lookbehind holds a
+# character beyond U+FFFF. This one is a letter, so it changes nothing else.
+_WIDE_LETTER = "\U00010000"
+_BEFORE = f"[{WORD}{_WIDE_LETTER}]"
+BOUNDARY = rf"(?:(?<={_BEFORE})(?![{WORD}])|(?<!{_BEFORE})(?=[{WORD}]))"
 
 _CLASSES = {"d": DIGIT, "w": WORD, "s": SPACE}
 _TOKEN = re.compile(r"\\.|\[|\]", re.DOTALL)
@@ -37,6 +41,6 @@ def jvm_regex(pattern: str, ignore_case: bool = False, lead: str = "") -> str:
         return members if inside else f"[{members}]"
 
     body = _TOKEN.sub(spell, pattern)
-    if lead:
-        body = f"(?={jvm_regex(lead)}){body}"
-    return f"(?iu){body}" if ignore_case else body
+    if ignore_case:
+        body = f"(?iu){body}"
+    return f"(?={jvm_regex(lead)}){body}" if lead else body

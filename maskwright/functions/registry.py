@@ -63,29 +63,30 @@ EXTERNAL_LABEL_RENAMES = {"EMAIL_ADDRESS": "EMAIL"}
 EXTERNAL_DEFAULT_CONFIDENCE = 0.8
 # --- end of fixed values
 
-# Cheap tests a text must pass before the pattern in the same position is worth running, and
-# the class the first character of a match belongs to. Both are implied by the pattern: they
-# only save work. A gate is plain text to search for, or a regex when it starts with "re:".
+# Cheap tests a text must pass before the pattern in the same position is worth running, from left
+# to right, and the class the first character of a match belongs to. All are implied by the
+# pattern: they only save work. A test is text to search for, or a regex when it starts with "re:".
+_FOUR = r"re:\d{4}"
 _GATES = {
-    "EMAIL": [("@", "")],
+    "EMAIL": [(["@"], "")],
     "PHONE_NUMBER": [
-        (r"re:[0-9]{4}", "[0-9+(]"),
-        (r"re:-\d{4}", r"\d"),
-        (r"re:\)\s?\d{3}-\d{4}", ""),
+        ([_FOUR], "[0-9+(]"),
+        ([_FOUR, r"re:\d{3}-\d{4}"], r"\d"),
+        ([_FOUR, r"re:\)\s?\d{3}-\d{4}"], ""),
     ],
-    "US_SSN": [(r"re:-\d{4}", r"\d"), (r"re:\d{2}\s\d{4}", r"\d"), (r"re:\d{6}", r"\d")],
-    "CREDIT_CARD": [(r"re:[0-9]{13}", "[3-6]"), (r"re:\d{4}[- ]?\d{4}", r"\d")],
-    "IP_ADDRESS": [(r"re:[0-9]\.[0-9]", "[0-9]"), (r"re:[0-9a-fA-F]:[0-9a-fA-F]", "[0-9a-fA-F]")],
-    "URL": [("://", "")],
-    "AWS_ACCESS_KEY": [("AKIA", "")],
-    "API_KEY": [(r"re:[A-Za-z0-9]{32}", "[A-Za-z0-9]"), ("sk-", ""), ("pk_", "")],
-    "BANK_ACCOUNT": [(r"re:\d{6}", r"\d")],
-    "PASSPORT": [(r"re:\d{6}", "[A-Z]")],
-    "DRIVER_LICENSE": [(r"re:\d{6}", "[A-Z]"), (r"re:\d{6}", r"\d")],
-    "BUSINESS_INTERNAL_EMAIL": [("@", "")],
-    "BUSINESS_EMPLOYEE_ID": [("EMP", ""), (r"re:\d{6}", r"\d")],
-    "BUSINESS_PROJECT_CODE": [(r"re:-\d{4}", "[A-Z]")],
-    "BUSINESS_CONFIDENTIAL_MARKERS": [("", "")],
+    "US_SSN": [([_FOUR, r"re:\d{2}-\d{4}"], r"\d"), ([_FOUR, r"re:\d{2}\s\d{4}"], r"\d"), ([_FOUR, r"re:\d{9}"], r"\d")],
+    "CREDIT_CARD": [([_FOUR, r"re:\d{13}"], "[3-6]"), ([_FOUR, r"re:\d{4}[- ]?\d{4}"], r"\d")],
+    "IP_ADDRESS": [([r"re:[0-9]\.[0-9]"], "[0-9]"), ([r"re:[0-9a-fA-F]:[0-9a-fA-F]"], "[0-9a-fA-F]")],
+    "URL": [(["://"], "")],
+    "AWS_ACCESS_KEY": [(["AKIA"], "")],
+    "API_KEY": [([r"re:(?<![A-Za-z0-9])[A-Za-z0-9]{32}"], "[A-Za-z0-9]"), (["sk-"], ""), (["pk_"], "")],
+    "BANK_ACCOUNT": [([_FOUR, r"re:\d{8}"], r"\d")],
+    "PASSPORT": [([_FOUR, r"re:[A-Z]\d{6}"], "[A-Z]")],
+    "DRIVER_LICENSE": [([_FOUR, r"re:[A-Z]\d{6}"], "[A-Z]"), ([_FOUR, r"re:\d{8}"], r"\d")],
+    "BUSINESS_INTERNAL_EMAIL": [(["@"], "")],
+    "BUSINESS_EMPLOYEE_ID": [(["EMP"], ""), ([_FOUR, r"re:\d{6}"], r"\d")],
+    "BUSINESS_PROJECT_CODE": [([_FOUR, r"re:[A-Z]-\d{4}"], "[A-Z]")],
+    "BUSINESS_CONFIDENTIAL_MARKERS": [([], "[CcRrPpIi\u0130\u0131]")],
 }
 
 
@@ -96,7 +97,7 @@ class Recognizer:
     source: str = CUSTOM
     keywords: tuple[str, ...] = ()
     ignore_case: bool = False
-    gate: str = ""
+    gate: tuple[str, ...] = ()
     lead: str = ""
 
 
@@ -108,7 +109,7 @@ def _rows(patterns: dict[str, list[str]], source: str) -> list[Recognizer]:
             source=source,
             keywords=tuple(CONTEXT_KEYWORDS.get(entity_type, ())) if source == CUSTOM else (),
             ignore_case=entity_type in IGNORE_CASE_TYPES,
-            gate=gate,
+            gate=tuple(gate),
             lead=lead,
         )
         for entity_type, regexes in patterns.items()

@@ -53,10 +53,26 @@ def has_context(text: Column, entity_type: str) -> Column:
     )
 
 
-def _gate_passes(text: Column, gate: str) -> Column:
-    if gate.startswith("re:"):
-        return F.rlike(text, F.lit(jvm_regex(gate[3:])))
-    return F.contains(text, F.lit(gate)) if gate else F.lit(True)
+def _test_passes(text: Column, test: str) -> Column:
+    if test.startswith("re:"):
+        return F.rlike(text, F.lit(jvm_regex(test[3:])))
+    return F.contains(text, F.lit(test))
+
+
+def _gates(text: Column, gates: list[tuple[str, ...]], body: Callable[[Column], Column]) -> Column:
+    """``body`` of the array of gate results; gates with the same first test share it."""
+    firsts = list(dict.fromkeys(g[0] for g in gates if g))
+
+    def passed(shared: Column, gate: tuple[str, ...]) -> Column:
+        result = shared[firsts.index(gate[0])] if gate else F.lit(True)
+        for test in gate[1:]:
+            result = result & _test_passes(text, test)
+        return result
+
+    def rest(shared: Column) -> Column:
+        return let(F.array(*[passed(shared, g) for g in gates]), body)
+
+    return let(F.array(*[_test_passes(text, t) for t in firsts]), rest) if firsts else rest(F.array())
 
 
 def _marked(text: Column, recognizer: Recognizer, gate: Column) -> Column:
@@ -138,9 +154,8 @@ def recognize(
         return F.array(*[_marked(clean, r, passed[gates.index(r.gate)]) for r in chosen])
 
     def find(clean: Column) -> Column:
-        passed = F.array(*[_gate_passes(clean, g) for g in gates])
         marked = F.transform(
-            let(passed, lambda p: marks(clean, p)),
+            _gates(clean, gates, lambda passed: marks(clean, passed)),
             lambda m, i: F.struct(m.alias("marked"), F.get(facts, i).alias("fact")),
         )
         hits = F.filter(marked, lambda row: F.contains(row["marked"], F.lit(MARK)))

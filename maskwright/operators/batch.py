@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.registry import Recognizer
 from maskwright.operators.detect import DETECTION_COLUMNS, detect
-from maskwright.operators.skew import join_unique
+from maskwright.operators.skew import join_unique, use_checkpoint_dir
 
 # --- Fixed values.
 BATCH_SIZE = 10
@@ -155,7 +155,6 @@ def _misses_by_doubling(times: DataFrame, key: str, ttl: int) -> DataFrame:
 
 def _misses(points: DataFrame, per_key: DataFrame, key: str, ttl: int, max_times: int) -> DataFrame:
     """(key, misses, last_miss) of distinct (key, __t) points."""
-    _use_checkpoint_dir(points.sparkSession)
     large = per_key.filter(F.col("__times") > max_times).select(key)
     if large.isEmpty():
         return _misses_in_order(points, key, ttl)
@@ -190,8 +189,11 @@ def reuse_from(
         .select(key, "__t")
         .unionByName(dated.filter(F.col("__since").isNotNull()).select(key, F.col("__since").alias("__t")).distinct())
     )
-    per_key = dated.groupBy(key).agg(
-        F.sum("__n").alias("requests"), F.count("*").alias("__times"), F.max("__since").alias("__since")
+    use_checkpoint_dir(df.sparkSession)
+    per_key = (
+        dated.groupBy(key)
+        .agg(F.sum("__n").alias("requests"), F.count("*").alias("__times"), F.max("__since").alias("__since"))
+        .checkpoint()
     )
     found = per_key.join(_misses(points, per_key, key, ttl, max_times), key)
     misses = F.col("misses") - F.col("__since").isNotNull().cast("long")
@@ -222,7 +224,11 @@ def reuse_accounting(
         .groupBy(key, "__t")
         .agg(F.count("*").alias("__n"))
     )
-    per_key = times.groupBy(key).agg(F.sum("__n").alias("requests"), F.count("*").alias("__times"))
+    # One row per key, used three times below.
+    use_checkpoint_dir(df.sparkSession)
+    per_key = (
+        times.groupBy(key).agg(F.sum("__n").alias("requests"), F.count("*").alias("__times")).checkpoint()
+    )
     misses = _misses(times.select(key, "__t"), per_key, key, ttl, max_times)
     hits = F.col("requests") - F.col("misses")
     return per_key.join(misses, key).select(
@@ -230,18 +236,6 @@ def reuse_accounting(
     )
 
 
-def _use_checkpoint_dir(spark) -> None:
-    """Use the shared folder the cluster names; a local one only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-
-
 def ema(
     df: DataFrame,
     key: str,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import registry, scoring, spans
 from maskwright.functions.registry import Recognizer
+from maskwright.functions.reuse import built_once
 
 DETECTION_COLUMNS = ["entities", "risk_score", "has_high_risk_pii", "detection_metadata"]
 
@@ -71,5 +72,9 @@ def detect(
     above it, so detection never runs a second time inside a pushed-down filter, while filters on
     other columns still reach the scan.
     """
-    external = None if external_col is None else F.col(external_col)
-    return df.select("*", F.inline(F.array(detection(F.col(text_col), external, custom, rows))))
+    def build() -> Column:
+        external = None if external_col is None else F.col(external_col)
+        return F.inline(F.array(detection(F.col(text_col), external, custom, rows)))
+
+    key = ("detect", text_col, external_col, custom, None if rows is None else tuple(rows))
+    return df.select("*", built_once(key, build))

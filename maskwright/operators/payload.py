@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import masking
 from maskwright.functions.policy import Policy, decide
+from maskwright.functions.reuse import built_once
 from maskwright.functions.spans import let
 from maskwright.operators.detect import detection
 from maskwright.operators.sanitize import sanitize
-from maskwright.operators.skew import join_unique
+from maskwright.operators.skew import join_unique, use_checkpoint_dir
 
 # --- Fixed values: text services, their addresses and the keys that hold text.
 SERVICES = {
@@ -221,7 +222,10 @@ def _with_outcomes(
 ) -> DataFrame:
     keyed = df.withColumn("__keys", service_keys(F.col(service_col), paths))
     texts = payload_texts(F.col(payload_col), F.col("__keys"))
-    outcomes = F.transform(F.array_distinct("__texts"), lambda t: _outcome(t, policy, "user", masked))
+    outcomes = built_once(
+        ("outcomes", policy.key, tuple(masked)),
+        lambda: F.transform(F.array_distinct("__texts"), lambda t: _outcome(t, policy, "user", masked)),
+    )
     return keyed.withColumn("__texts", texts).select(
         "*", F.inline(F.array(F.struct(outcomes.alias("__outcomes"))))
     )
@@ -303,7 +307,13 @@ def sanitize_conversations(
     policy: Policy | None = None,
 ) -> DataFrame:
     """Every turn sanitized; the turns of a rejected conversation carry no text."""
-    turns = sanitize(df, policy, text_col=text_col)
+    # The texts are searched once: the turns are kept while the blocked ones are looked up.
+    use_checkpoint_dir(df.sparkSession)
+    turns = (
+        sanitize(df, policy, text_col=text_col)
+        .select(*[F.col(c) for c in df.columns], "action_taken", "sanitized_text")
+        .checkpoint()
+    )
     rejected = (
         turns.filter(F.col("action_taken") == "block")
         .select(key)

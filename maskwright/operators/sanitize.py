@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from typing import Any
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import masking, policy as policies, scoring, spans
 from maskwright.functions.policy import Policy
 from maskwright.functions.regex import SPACE
+from maskwright.functions.reuse import built_once
 from maskwright.operators.detect import detect
 
 # --- Fixed values: replacement text, limits and tones.
@@ -51,13 +53,23 @@ def outbound_status(text: Column, tone: Column | str = "clear") -> Column:
     )
 
 
-def _masked_columns(text: Column, config: Column, seed: int, disjoint: bool) -> list[Column]:
-    entities = F.col("entities")
-    return [
-        masking.mask_text(text, entities, config, seed, disjoint).alias("masked_text"),
-        masking.entities_masked(entities).alias("entities_masked"),
-        masking.masking_methods(entities, config).alias("masking_methods"),
-    ]
+def _with_masked(
+    df: DataFrame, text_col: str, config: Column | Mapping[str, Mapping[str, Any]], seed: int, disjoint: bool
+) -> DataFrame:
+    """Add masked_text, entities_masked and masking_methods to a table with entities."""
+    text, entities = F.col(text_col), F.col("entities")
+    key = None if isinstance(config, Column) else (text_col, json.dumps(config), seed, disjoint)
+
+    def build() -> Column:
+        settings = _as_config(config)
+        return F.struct(
+            masking.mask_text(text, entities, settings, seed, disjoint).alias("masked_text"),
+            masking.entities_masked(entities).alias("entities_masked"),
+            masking.masking_methods(entities, settings).alias("masking_methods"),
+        )
+
+    masked = built_once(key and ("masked", *key), build)
+    return df.select("*", F.inline(F.array(masked)))
 
 
 def mask(
@@ -70,9 +82,7 @@ def mask(
     """Detect, then mask with the given settings or those of the policy."""
     if config is None:
         config = (policy or Policy()).default_masking_config()
-    return detect(df, text_col).select(
-        "*", *_masked_columns(F.col(text_col), _as_config(config), seed, disjoint=True)
-    )
+    return _with_masked(detect(df, text_col), text_col, config, seed, disjoint=True)
 
 
 def mask_uniform(
@@ -104,9 +114,7 @@ def mask_provided(
         F.when(given, F.lit(False)).alias("has_high_risk_pii"),
         F.when(given, F.lit("ok")).otherwise(F.lit("no_entities")).alias("status"),
     )
-    return ready.select(
-        "*", *_masked_columns(F.col(text_col), _as_config(config), seed, disjoint=False)
-    )
+    return _with_masked(ready, text_col, config, seed, disjoint=False)
 
 
 def sanitized(text: Column, entities: Column, risk: Column, decision: Column) -> Column:
@@ -134,7 +142,13 @@ def evaluate_policy(
     bypass: Column | bool = False,
 ) -> DataFrame:
     """Add the decision struct to a table that has entities."""
-    return df.withColumn("decision", policies.decide(F.col("entities"), policy or Policy(), role, bypass))
+    policy = policy or Policy()
+    fixed = isinstance(role, str) and isinstance(bypass, bool)
+    decision = built_once(
+        ("decide", policy.key, role, bypass) if fixed else None,
+        lambda: policies.decide(F.col("entities"), policy, role, bypass),
+    )
+    return df.withColumn("decision", decision)
 
 
 def sanitize(
@@ -147,8 +161,13 @@ def sanitize(
 ) -> DataFrame:
     """Detect, decide and rewrite: block, mask, warn or allow every row."""
     decided = evaluate_policy(detect(df, text_col, external_col), policy, role, bypass)
-    outcome = sanitized(F.col(text_col), F.col("entities"), F.col("risk_score"), F.col("decision"))
-    return decided.select("*", F.col("decision.action").alias("action_taken"), F.inline(F.array(outcome)))
+    outcome = built_once(
+        ("sanitized", text_col),
+        lambda: F.inline(
+            F.array(sanitized(F.col(text_col), F.col("entities"), F.col("risk_score"), F.col("decision")))
+        ),
+    )
+    return decided.select("*", F.col("decision.action").alias("action_taken"), outcome)
 
 
 def prepare_outbound(

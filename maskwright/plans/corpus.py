@@ -41,7 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): one templated text per customer."""
-    return spark.sql(CORPUS_SQL.format(customer="{customer}"), customer=table(spark, sf_dir, "customer"))
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey"))
+    return spark.sql(CORPUS_SQL, customer=customers)
 
 
 def spread(df: DataFrame) -> DataFrame:
