@@ -28,6 +28,9 @@ CONTEXT_WINDOW = 50
 MARK = "\ue000"
 MARK_SUBSTITUTE = "\ue001"
 
+BLOCK = 64
+PAGE = 4096
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it any number of times in ``body``."""
@@ -38,6 +41,72 @@ def slice_text(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + F.lit(1), F.greatest(end - start, F.lit(0)))
 
 
+def _scan(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(
+        values,
+        start,
+        lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+        lambda s: s["out"],
+    )
+
+
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each int of an array, ``op`` over all ints before it.
+
+    Extending an array copies it, so long arrays are taken in blocks: each step copies at most a
+    block, or one number per block.
+    """
+    last = F.floor((F.size(values) - 1) / F.lit(BLOCK)).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), last), lambda b: F.slice(values, b * F.lit(BLOCK) + 1, F.lit(BLOCK))
+    )
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, zero, op))
+        return let(
+            _scan(totals, zero, op),
+            lambda before: F.flatten(
+                F.transform(
+                    parts,
+                    lambda part, b: F.transform(_scan(part, zero, op), lambda x: op(F.get(before, b), x)),
+                )
+            ),
+        )
+
+    return F.when(F.size(values) <= BLOCK, _scan(values, zero, op)).otherwise(let(blocks, joined))
+
+
+def pages(text: Column, spans: Column) -> Column:
+    """The text cut into pages of equal width, if it is long and is to be cut in many places.
+
+    Finding a position in a text means counting characters from its start; with pages, from the
+    start of a page.
+    """
+    worth = (F.length(text) > 2 * PAGE) & (F.size(spans) > 8)
+    cut = F.struct(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)).alias("parts"),
+        F.lit(PAGE).alias("width"),
+    )
+    whole = F.struct(F.array(text).alias("parts"), F.lit(2**31 - 1).alias("width"))
+    return F.when(worth, cut).otherwise(whole)
+
+
+def slice_pages(paged: Column, start: Column, end: Column) -> Column:
+    first = F.floor(start / paged["width"]).cast("int")
+    last = F.floor(F.greatest(end - 1, start) / paged["width"]).cast("int")
+    return let(
+        F.struct(first.alias("first"), last.alias("last")),
+        lambda at: slice_text(
+            F.when(at["first"] == at["last"], F.get(paged["parts"], at["first"])).otherwise(
+                F.array_join(F.slice(paged["parts"], at["first"] + 1, at["last"] - at["first"] + 1), "")
+            ),
+            start - at["first"] * paged["width"],
+            end - at["first"] * paged["width"],
+        ),
+    )
+
+
 def has_keyword(lowered: Column, keywords: list[str] | tuple[str, ...]) -> Column:
     found = F.lit(False)
     for word in keywords:
@@ -94,36 +163,29 @@ def _confidence(text: Column, fact: Column) -> Column:
 def _cut(text: Column, marked: Column, fact: Column) -> Column:
     """Spans of one marked text: every second piece between marks is a match."""
 
-    def spans(confidence: Column) -> Column:
-        def step(state: Column, piece: Column) -> Column:
-            end = state["at"] + F.length(piece)
-            span = F.struct(
-                state["at"].alias("start"),
-                end.alias("end"),
+    def spans(x: Column) -> Column:
+        def span(i: Column) -> Column:
+            piece, start = F.get(x["pieces"], i), F.get(x["starts"], i)
+            return F.struct(
+                start.alias("start"),
+                (start + F.length(piece)).alias("end"),
                 fact["seq"].alias("seq"),
                 fact["entity_type"].alias("entity_type"),
-                confidence.alias("confidence"),
+                x["confidence"].alias("confidence"),
                 fact["source"].alias("source"),
                 piece.alias("text"),
             )
-            return F.struct(
-                end.alias("at"),
-                (~state["inside"]).alias("inside"),
-                F.when(state["inside"], F.concat(state["found"], F.array(span)))
-                .otherwise(state["found"])
-                .alias("found"),
-            )
 
-        start = F.struct(
-            F.lit(0).alias("at"),
-            F.lit(False).alias("inside"),
-            F.array().cast(f"array<{RAW_SPAN}>").alias("found"),
-        )
-        return F.aggregate(
-            F.split(marked, MARK, -1), start, step, lambda state: state["found"]
+        return F.transform(F.sequence(F.lit(1), F.size(x["pieces"]) - 2, F.lit(2)), span)
+
+    def placed(pieces: Column) -> Column:
+        lengths = F.transform(pieces, lambda p: F.length(p))
+        starts = let(lengths, lambda n: running(n, F.lit(0), lambda a, b: a + b))
+        return F.struct(
+            pieces.alias("pieces"), starts.alias("starts"), _confidence(text, fact).alias("confidence")
         )
 
-    return let(_confidence(text, fact), spans)
+    return let(F.split(marked, MARK, -1), lambda pieces: let(placed(pieces), spans))
 
 
 def _without_marks(text: Column) -> Column:
@@ -166,14 +228,7 @@ def recognize(
     )
 
 
-def resolve_overlaps(spans: Column) -> Column:
-    """Keep one span of each run of touching spans.
-
-    Spans are taken by (start, end, seq). A span that starts at or before the end of the kept
-    one replaces it only with a strictly higher confidence, and may thereby shorten or extend
-    it; otherwise it opens a new run. The result depends on that order.
-    """
-
+def _resolve_run(spans: Column) -> Column:
     def step(state: Column, span: Column) -> Column:
         last, kept = state["last"], state["kept"]
         touches = span["start"] <= last["end"]
@@ -191,12 +246,53 @@ def resolve_overlaps(spans: Column) -> Column:
         F.array().cast(f"array<{RAW_SPAN}>").alias("kept"), F.lit(None).cast(RAW_SPAN).alias("last")
     )
     return F.aggregate(
-        F.array_sort(spans),
-        start,
-        step,
-        lambda state: F.when(state["last"].isNull(), state["kept"]).otherwise(
-            F.concat(state["kept"], F.array(state["last"]))
-        ),
+        spans, start, step, lambda state: F.concat(state["kept"], F.array(state["last"]))
+    )
+
+
+def resolve_overlaps(spans: Column) -> Column:
+    """Keep one span of each run of touching spans.
+
+    Spans are taken by (start, end, seq). A span that starts at or before the end of the kept
+    one replaces it only with a strictly higher confidence, and may thereby shorten or extend
+    it; otherwise it opens a new run. The result depends on that order.
+
+    A span that starts behind the ends of all spans before it always opens a new run, so the
+    spans between two such starts are folded by themselves.
+    """
+
+    def folded(x: Column) -> Column:
+        count = F.size(x["spans"])
+        heads = F.filter(
+            F.sequence(F.lit(0), count - 1),
+            lambda i: F.get(x["spans"], i)["start"] > F.get(x["reach"], i),
+        )
+
+        def runs(first: Column) -> Column:
+            return F.transform(
+                first,
+                lambda h, j: let(
+                    F.coalesce(F.get(first, j + 1), count) - h,
+                    lambda n: F.when(n == 1, F.slice(x["spans"], h + 1, n)).otherwise(
+                        _resolve_run(F.slice(x["spans"], h + 1, n))
+                    ),
+                ),
+            )
+
+        return F.flatten(let(heads, runs))
+
+    def reached(ordered: Column) -> Column:
+        ends = F.transform(ordered, lambda s: s["end"])
+        reach = let(ends, lambda e: running(e, F.lit(-1), lambda a, b: F.greatest(a, b)))
+        return F.struct(ordered.alias("spans"), reach.alias("reach"))
+
+    return F.when(F.size(spans) < 2, spans).otherwise(
+        let(
+            F.array_sort(spans),
+            lambda ordered: F.when(F.size(ordered) <= BLOCK, _resolve_run(ordered)).otherwise(
+                let(reached(ordered), folded)
+            ),
+        )
     )
 
 
@@ -207,15 +303,22 @@ def span_context(text: Column, start: Column, end: Column, window: int = CONTEXT
 
 def with_context(text: Column, spans: Column, window: int = CONTEXT_WINDOW) -> Column:
     """Public span rows of ``spans`` with the surrounding text added."""
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["entity_type"].alias("entity_type"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["confidence"].alias("confidence"),
-            s["text"].alias("text"),
-            span_context(text, s["start"], s["end"], window).alias("context"),
+
+    def context(paged: Column, s: Column) -> Column:
+        return slice_pages(paged, F.greatest(s["start"] - F.lit(window), F.lit(0)), s["end"] + F.lit(window))
+
+    return let(
+        pages(text, spans),
+        lambda paged: F.transform(
+            spans,
+            lambda s: F.struct(
+                s["entity_type"].alias("entity_type"),
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                s["confidence"].alias("confidence"),
+                s["text"].alias("text"),
+                context(paged, s).alias("context"),
+            ),
         ),
     )
 
@@ -223,12 +326,15 @@ def with_context(text: Column, spans: Column, window: int = CONTEXT_WINDOW) -> C
 def splice_disjoint(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
     """Replace ascending, disjoint spans: each text part is copied once."""
 
-    def parts(span: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
-        return F.array(slice_text(text, before, span["start"]), replacement(span))
+    def parts(paged: Column) -> Column:
+        def part(span: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+            return F.array(slice_pages(paged, before, span["start"]), replacement(span))
+
+        return F.flatten(F.transform(spans, part))
 
     tail = F.substring(text, F.element_at(spans, -1)["end"] + F.lit(1), F.length(text))
-    pieces = F.concat(F.flatten(F.transform(spans, parts)), F.array(tail))
+    pieces = F.concat(let(pages(text, spans), parts), F.array(tail))
     return F.when(F.size(spans) == 0, text).otherwise(F.array_join(pieces, ""))
 
 

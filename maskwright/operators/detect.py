@@ -51,12 +51,10 @@ def detection(
             ),
         )
 
-    return spans.let(
-        raw,
-        lambda r: spans.let(
-            spans.with_context(text, spans.resolve_overlaps(r)), lambda e: scored(r, e)
-        ),
-    )
+    def resolved(r: Column) -> Column:
+        return spans.let(spans.resolve_overlaps(r), lambda kept: spans.with_context(text, kept))
+
+    return spans.let(raw, lambda r: spans.let(resolved(r), lambda e: scored(r, e)))
 
 
 def detect(
