@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.registry import Recognizer
 from maskwright.operators.detect import DETECTION_COLUMNS, detect
-from maskwright.operators.skew import join_unique, use_checkpoint_dir
+from maskwright.operators.skew import join_unique
+from maskwright.sources.folders import use_checkpoint_dir
 
 # --- Fixed values.
 BATCH_SIZE = 10

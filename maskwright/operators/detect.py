@@ -68,11 +68,11 @@ def detect(
 
     The struct is unpacked by a generator, not by projection: a filter on a result column stays
     above it, so detection never runs a second time inside a pushed-down filter, while filters on
-    other columns still reach the scan.
+    other columns still reach the scan. Results of an earlier detection are replaced.
     """
     def build() -> Column:
         external = None if external_col is None else F.col(external_col)
         return F.inline(F.array(detection(F.col(text_col), external, custom, rows)))
 
     key = ("detect", text_col, external_col, custom, None if rows is None else tuple(rows))
-    return df.select("*", built_once(key, build))
+    return df.drop(*DETECTION_COLUMNS).select("*", built_once(key, build))

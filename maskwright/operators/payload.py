@@ -16,7 +16,8 @@ from maskwright.functions.reuse import built_once
 from maskwright.functions.spans import let
 from maskwright.operators.detect import detection
 from maskwright.operators.sanitize import sanitize
-from maskwright.operators.skew import join_unique, use_checkpoint_dir
+from maskwright.operators.skew import join_unique
+from maskwright.sources.folders import use_checkpoint_dir
 
 # --- Fixed values: text services, their addresses and the keys that hold text.
 SERVICES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keys outside the HOT_KEYS most frequent ones hold less than 1/HOT_KEYS of the rows each, so
@@ -15,11 +15,12 @@ ROWS_PER_SLICE = 1_000_000
 def hot_keys(counts: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """(key, slices) of keys with more rows than one task should take.
 
-    ``counts`` is (key, n) with one row per key.
+    ``counts`` is (key, n) with one row per key. Ties are broken by key, so both sides of a join see
+    the same list.
     """
     return (
         counts.filter(F.col("n") > rows_per_slice)
-        .orderBy(F.desc("n"))
+        .orderBy(F.desc("n"), key)
         .limit(HOT_KEYS)
         .select(key, F.ceil(F.col("n") / rows_per_slice).cast("int").alias("__slices"))
     )
@@ -50,15 +51,3 @@ def join_unique(
         .drop("__slices")
     )
     return sliced.drop("__slices").join(repeated, [key, "__slice"], how).drop("__slice")
-
-
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a local one only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)

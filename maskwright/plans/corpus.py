@@ -46,15 +46,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table arrives in fewer pieces than there are cores.
+    """Give every core work when a table arrives in far fewer pieces than there are cores.
 
     Large tables already come in many pieces and are left alone, so this never shuffles them.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

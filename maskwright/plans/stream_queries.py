@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,8 @@ from maskwright.plans import oracle as o
 from maskwright.plans import table_queries as batch_queries
 from maskwright.plans.catalog import query
 from maskwright.plans.corpus import table
+from maskwright.sources import audit
+from maskwright.sources.folders import new_folder
 from maskwright.streaming import jobs
 
 
@@ -22,16 +22,12 @@ def _events(spark, sf_dir) -> DataFrame:
     return _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="stream-")
-
-
 @query(
     "stream_detect",
     f"with {o.detection_ctes(o.DOCUMENTS_SRC)} select id as doc_id, n as total_entities, risk as risk_score, high as has_high_risk_pii from doc",
 )
 def stream_detect(spark, sf_dir):
-    out = _folder()
+    out = new_folder(spark, "stream")
     texts = _stream(spark, sf_dir, "documents").select("doc_id", "text")
     jobs.start_detect(texts, f"{out}/found", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/found").select(
@@ -45,11 +41,11 @@ def stream_detect(spark, sf_dir):
 )
 def stream_sanitize(spark, sf_dir):
     """Sanitized texts next to the audit event written for each."""
-    out = _folder()
+    out = new_folder(spark, "stream")
     texts = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "text")
     jobs.start_sanitize(texts, f"{out}/texts", f"{out}/audit", f"{out}/checkpoint").awaitTermination()
-    audit = spark.read.parquet(f"{out}/audit").select("request_id", "event_type", "risk_score", "blocked_reason")
-    return spark.read.parquet(f"{out}/texts").select("request_id", "action_taken", "sanitized_text").join(audit, "request_id")
+    logged = spark.read.parquet(f"{out}/audit").select("request_id", "event_type", "risk_score", "blocked_reason")
+    return spark.read.parquet(f"{out}/texts").select("request_id", "action_taken", "sanitized_text").join(logged, "request_id")
 
 
 @query(
@@ -57,7 +53,7 @@ def stream_sanitize(spark, sf_dir):
     "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as at, event_type, count(*) as value from events group by 1, 2",
 )
 def stream_counters(spark, sf_dir):
-    out = _folder()
+    out = new_folder(spark, "stream")
     counts = jobs.windowed_counter(_events(spark, sf_dir), ["event_type"])
     jobs.start_changes(counts, f"{out}/counts", f"{out}/checkpoint").awaitTermination()
     now = jobs.latest(spark.read.parquet(f"{out}/counts"), ["window_start", "event_type"])
@@ -69,7 +65,7 @@ def stream_counters(spark, sf_dir):
     "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as at, count(*) as blocked from events where event_type = 'error' group by 1 having count(*) > 4",
 )
 def stream_blocked_alerts(spark, sf_dir):
-    out = _folder()
+    out = new_folder(spark, "stream")
     alerts = jobs.blocked_alert_stream(_events(spark, sf_dir), F.col("event_type") == "error", threshold=4)
     jobs.start_changes(alerts, f"{out}/alerts", f"{out}/checkpoint").awaitTermination()
     now = jobs.latest(spark.read.parquet(f"{out}/alerts"), ["window_start"])
@@ -85,7 +81,7 @@ _CLOSED = "w + interval 1 hour <= (select max(ts) - interval 1 hour from events)
     f"with {batch_queries._RATES_SQL} select rule, severity, strftime(w, '%Y-%m-%d %H:%M:%S') as at, round(value, 9) as value, case when hit then 'active' else 'resolved' end as status from moved where hit <> was and {_CLOSED}",
 )
 def stream_alerts(spark, sf_dir):
-    out = _folder()
+    out = new_folder(spark, "stream")
     jobs.start_alerts(
         _events(spark, sf_dir), out, f"{out}/checkpoint", F.col("event_type") == "error", F.col("value") / 50
     ).awaitTermination()
@@ -100,7 +96,7 @@ def stream_alerts(spark, sf_dir):
     f"{batch_queries._REUSE_SQL.format(ttl=1800 * 1000000)} select key, requests::bigint as requests, misses::bigint as misses, (requests - misses)::bigint as hits from fin",
 )
 def stream_reuse(spark, sf_dir):
-    out = _folder()
+    out = new_folder(spark, "stream")
     requests = _events(spark, sf_dir).select(F.col("event_type").alias("key"), "ts")
     jobs.start_reuse(requests, out, f"{out}/checkpoint", "key").awaitTermination()
     counts = spark.read.parquet(f"{out}/counts")
@@ -111,8 +107,43 @@ def stream_reuse(spark, sf_dir):
 
 @query("stream_ema", batch_queries._EMA_SQL)
 def stream_ema(spark, sf_dir):
-    out = _folder()
+    out = new_folder(spark, "stream")
     rows = _events(spark, sf_dir).withColumnRenamed("event_type", "key")
     jobs.start_ema(rows, out, f"{out}/checkpoint", "key", ["ts", "event_id"], "value").awaitTermination()
     now = jobs.latest(spark.read.parquet(f"{out}/state"), ["key"])
     return now.select("key", "n", F.round("ema", 6).alias("ema"))
+
+
+_DAY_SQL = (
+    "select strftime(ts, '%Y-%m-%d') as event_day, count(*) as events, "
+    "sum(user_id % 7)::bigint as entities from events group by 1"
+)
+
+
+def _audit_stream(spark, sf_dir) -> DataFrame:
+    rows = _events(spark, sf_dir).selectExpr(
+        *batch_queries._select_items(batch_queries._request_columns("detection"))
+    )
+    return audit.audit_events(rows, "detection")
+
+
+@query("stream_audit_lines", _DAY_SQL)
+def stream_audit_lines(spark, sf_dir):
+    """Events streamed to JSON lines per day and read back."""
+    out = new_folder(spark, "stream")
+    jobs.start_audit_lines(_audit_stream(spark, sf_dir), f"{out}/lines", f"{out}/checkpoint").awaitTermination()
+    back = spark.read.schema("details struct<entities_detected:int>, event_date date").json(f"{out}/lines")
+    return back.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("event_day")).agg(
+        F.count("*").alias("events"), F.sum("details.entities_detected").alias("entities")
+    )
+
+
+@query("stream_bulk_audit", _DAY_SQL)
+def stream_bulk_audit(spark, sf_dir):
+    """Events streamed to the audit table and read back."""
+    out = new_folder(spark, "stream")
+    jobs.start_bulk_audit(_audit_stream(spark, sf_dir), f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    back = audit.read_audit(spark, f"{out}/table")
+    return back.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("event_day")).agg(
+        F.count("*").alias("events"), F.sum("entities_detected").alias("entities")
+    )

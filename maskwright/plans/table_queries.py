@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from maskwright.plans import oracle as o
 from maskwright.plans.catalog import query
 from maskwright.plans.corpus import corpus, events, spread, table
 from maskwright.sources import audit, texts as text_io
+from maskwright.sources.folders import new_folder
 
 # --- bodies
 
@@ -337,7 +337,7 @@ def blocked_report(spark, sf_dir):
 )
 def audit_files(spark, sf_dir):
     """JSON lines written per day and read back."""
-    path = tempfile.mkdtemp(prefix="audit-")
+    path = new_folder(spark, "audit")
     audit.write_audit(request_events(spark, sf_dir, "detection"), f"{path}/events")
     back = spark.read.schema(
         "event_type string, details struct<entities_detected:int>, event_date date"
@@ -352,12 +352,42 @@ def audit_files(spark, sf_dir):
     f"with {o.detection_ctes(o.CORPUS_SRC)} select id as doc_id, typ as type, txt as matched_text, c as confidence, s as start_pos, e as end_pos from ent where c >= 0.8",
 )
 def write_findings(spark, sf_dir):
-    path = tempfile.mkdtemp(prefix="findings-")
+    path = new_folder(spark, "findings")
     text_io.write_findings(detection.detect(corpus(spark, sf_dir)).drop("text"), f"{path}/out")
     back = spark.read.schema("doc_id long, type string, matched_text string, confidence double, start int, end int").json(f"{path}/out")
     return back.withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
 
 
+@query("read_texts", "select doc_id, lang, length(text) as characters from documents")
+def read_texts(spark, sf_dir):
+    texts = text_io.read_texts(spark, f"{sf_dir}/documents.parquet", "parquet")
+    return texts.select("doc_id", "lang", F.length("text").cast("long").alias("characters"))
+
+
+@query(
+    "write_masked",
+    f"with {o.detection_ctes(o.CORPUS_SRC)}, {o.spliced_cte('spl', o.mask_sql('partial'))} select id as doc_id, masked as masked_text from spl",
+)
+def write_masked(spark, sf_dir):
+    """Masked texts written without the originals and read back."""
+    path = new_folder(spark, "masked")
+    text_io.write_masked(sanitizing.mask_uniform(corpus(spark, sf_dir)), f"{path}/out")
+    return spark.read.parquet(f"{path}/out").select("doc_id", "masked_text")
+
+
+@query(
+    "write_report",
+    f"with e as (select user_id % 7 as b from events where {_RANGE_SQL}) "
+    "select 'entities_distribution' as metric, b::int as bucket, count(*)::double as value from e group by b",
+)
+def write_report(spark, sf_dir):
+    """A report written as JSON and read back: its distribution rows."""
+    path = new_folder(spark, "report")
+    text_io.write_report(audit.detection_report(request_events(spark, sf_dir, "detection"), _START, _END), f"{path}/out")
+    back = spark.read.schema("metric string, bucket int, value double").json(f"{path}/out")
+    return back.filter("bucket is not null")
+
+
 # --- metrics
 
 _REQUEST_LABELS = (

@@ -88,7 +88,7 @@ def union_events(*parts: DataFrame) -> DataFrame:
     return result
 
 
-def _json_rows(events: DataFrame) -> DataFrame:
+def json_rows(events: DataFrame) -> DataFrame:
     """Rows as they appear in the JSON lines files: details as an object, not as text."""
     return events.select(
         "timestamp", "event_type", "event_id", *IDENTITY,
@@ -102,7 +102,7 @@ def write_audit(events: DataFrame, path: str) -> None:
     A day's rows are gathered into few files per task by Spark's partitioned writer, without a
     shuffle that would put a busy day into one task.
     """
-    _json_rows(events).write.partitionBy("event_date").mode("append").option(
+    json_rows(events).write.partitionBy("event_date").mode("append").option(
         "ignoreNullFields", "false"
     ).json(path)
 

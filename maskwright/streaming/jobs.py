@@ -18,7 +18,7 @@ from maskwright.functions.policy import Policy
 from maskwright.operators import batch, metrics
 from maskwright.operators.detect import detect
 from maskwright.operators.sanitize import sanitize
-from maskwright.sources.audit import audit_events
+from maskwright.sources.audit import audit_events, bulk_audit_sink, json_rows
 
 WATERMARK = "1 hour"
 
@@ -87,6 +87,28 @@ def start_sanitize(
     return _start(out, checkpoint, write)
 
 
+def start_audit_lines(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Audit events appended as JSON lines, one folder per UTC day.
+
+    The file sink records what each micro-batch wrote, so a re-run adds nothing twice.
+    """
+    return (
+        json_rows(events)
+        .writeStream.format("json")
+        .partitionBy("event_date")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .option("ignoreNullFields", "false")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def start_bulk_audit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Audit events appended to the partitioned parquet audit table."""
+    return _start(events, checkpoint, bulk_audit_sink(path))
+
+
 def windowed_counter(df: DataFrame, labels: list[str], ts: str = "ts", every: str = "1 hour") -> DataFrame:
     """Counts per time window and labels; on a stream, with a watermark."""
     source = df.withWatermark(ts, WATERMARK) if df.isStreaming else df
