@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans
+from maskwright.functions.messages import HASH_TOKEN, REDACTED_TOKEN, SYNTHETIC_TOKEN, fill
 from maskwright.functions.spans import let
 
 # --- Fixed values: strategy names, defaults and synthetic data.
@@ -138,7 +139,7 @@ def _synthetic(span: Column, seed: int) -> Column:
             kind == "IP_ADDRESS",
             F.concat(F.lit("192.168."), between(1, 1, 255), F.lit("."), between(2, 1, 255)),
         )
-        .otherwise(F.concat(F.lit("[SYNTHETIC_"), kind, F.lit("]")))
+        .otherwise(fill(SYNTHETIC_TOKEN, entity_type=kind))
     )
 
 
@@ -147,11 +148,11 @@ def _hash(span: Column, config: Column) -> Column:
     algorithm = F.coalesce(config["hash_algorithm"], F.lit(DEFAULT_HASH_ALGORITHM))
     digest = F.when(algorithm == "sha256", F.sha2(salted, 256)).otherwise(F.md5(salted))
     length = F.coalesce(config["hash_length"], F.lit(DEFAULT_HASH_LENGTH))
-    return F.concat(F.lit("[HASH_"), F.upper(F.substring(digest, F.lit(1), length)), F.lit("]"))
+    return fill(HASH_TOKEN, digest=F.upper(F.substring(digest, F.lit(1), length)))
 
 
 def redacted(span: Column) -> Column:
-    return F.concat(F.lit("[REDACTED_"), span["entity_type"], F.lit("]"))
+    return fill(REDACTED_TOKEN, entity_type=span["entity_type"])
 
 
 def mask_value(span: Column, config: Column, seed: int = 0) -> Column:

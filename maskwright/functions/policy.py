@@ -15,10 +15,10 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions import masking, scoring
+from maskwright.functions import masking, messages, scoring
 from maskwright.functions.spans import let
 
-# --- Fixed values: the default policy document, actions by priority, messages.
+# --- Fixed values: the default policy document, actions by priority.
 DEFAULT_DOCUMENT: dict[str, Any] = {
     "default_policy": {"action": "mask", "confidence_threshold": 0.8},
     "entity_policies": {
@@ -142,6 +142,9 @@ _ROW = "struct<action:string,threshold:double,mask:" + masking.MASK_CONFIG + ">"
 
 
 def _policy_row(row: Mapping[str, Any]) -> dict[str, Any]:
+    """One policy with its defaults; an unknown strategy fails here, not in the middle of a job."""
+    if row.get("mask_type", "full") not in masking.MASK_TYPES:
+        raise ValueError(f"unknown mask_type {row['mask_type']!r}")
     return {
         "action": row.get("action", "mask"),
         "threshold": float(row.get("confidence_threshold", DEFAULT_CONFIDENCE_THRESHOLD)),
@@ -260,30 +263,28 @@ def decide(
                 F.when(
                     v["highest"] >= F.lit(policy.max_confidence),
                     F.array(
-                        F.concat(
-                            F.lit("High confidence PII detected: "),
-                            scoring.two_decimals(v["highest"]),
-                            F.lit(f" >= {policy.max_confidence}"),
+                        messages.fill(
+                            messages.REASON_HIGH_CONFIDENCE,
+                            confidence=scoring.two_decimals(v["highest"]),
+                            limit=str(policy.max_confidence),
                         )
                     ),
                 ).otherwise(F.array().cast("array<string>")),
                 F.transform(
                     taken,
-                    lambda j: F.concat(
-                        j["entity_type"],
-                        F.lit(": "),
-                        j["row"]["action"],
-                        F.lit(" (confidence: "),
-                        scoring.two_decimals(j["confidence"]),
-                        F.lit(")"),
+                    lambda j: messages.fill(
+                        messages.REASON_ENTITY,
+                        entity_type=j["entity_type"],
+                        action=j["row"]["action"],
+                        confidence=scoring.two_decimals(j["confidence"]),
                     ),
                 ),
                 F.when(
                     risky,
                     F.array(
-                        F.concat(
-                            F.lit("High-risk PII detected: "),
-                            F.array_join(scoring.high_risk_types(entities), ", "),
+                        messages.fill(
+                            messages.REASON_HIGH_RISK,
+                            types=F.array_join(scoring.high_risk_types(entities), ", "),
                         )
                     ),
                 ).otherwise(F.array().cast("array<string>")),
@@ -302,7 +303,7 @@ def decide(
         F.when(
             count == 0,
             _decision(
-                F.lit("allow"), F.lit(0.0), no_masks, F.lit(True), F.array(F.lit("No PII detected"))
+                F.lit("allow"), F.lit(0.0), no_masks, F.lit(True), F.array(F.lit(messages.REASON_NONE))
             ),
         )
         .when(
@@ -313,10 +314,8 @@ def decide(
                 no_masks,
                 override,
                 F.array(
-                    F.concat(
-                        F.lit("Too many PII entities detected: "),
-                        count.cast("string"),
-                        F.lit(f" > {policy.max_entities}"),
+                    messages.fill(
+                        messages.REASON_TOO_MANY, count=count.cast("string"), limit=str(policy.max_entities)
                     )
                 ),
             ),

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwright.functions import registry
+from maskwright.functions.messages import BLOCK_MESSAGE, fill
 from maskwright.functions.spans import let
 
 
@@ -91,9 +92,6 @@ def two_decimals(value: Column) -> Column:
 
 
 def block_message(entities: Column, risk: Column) -> Column:
-    return F.concat(
-        F.lit("Content blocked due to sensitive information detection. Detected PII types: "),
-        F.array_join(entity_types(entities), ", "),
-        F.lit(". Risk Score: "),
-        two_decimals(risk),
+    return fill(
+        BLOCK_MESSAGE, types=F.array_join(entity_types(entities), ", "), risk=two_decimals(risk)
     )

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.functions import messages
 from maskwright.functions.masking import MASK_TYPES
+from maskwright.functions.messages import fill
 from maskwright.functions.policy import ACTION_PRIORITY, DEFAULT_CONFIDENCE_THRESHOLD, Policy
 
 POLICY_SCHEMA = "section string, name string, action string, mask_type string, confidence_threshold string"
@@ -33,36 +35,27 @@ def merge_policies(base: DataFrame, updates: DataFrame) -> DataFrame:
     return base.join(replaced, "section", "left_anti").unionByName(updates)
 
 
-def _quoted(name: Column) -> Column:
-    return F.concat(F.lit("'"), name, F.lit("'"))
-
-
 def policy_errors(
     section: Column, name: Column, action: Column, mask_type: Column, threshold: Column
 ) -> Column:
     """Messages for one policy row; an empty array when it is valid."""
     is_default = section == "default_policy"
     is_entity = section == "entity_policies"
-    number = F.expr("try_cast(confidence_threshold as double)")
-    missing = F.when(is_default, F.lit("default_policy missing 'action' field")).otherwise(
-        F.concat(F.lit("Entity policy "), _quoted(name), F.lit(" missing 'action' field"))
-    )
-    invalid = F.when(is_default, F.concat(F.lit("Invalid action in default_policy: "), action)).otherwise(
-        F.concat(F.lit("Invalid action for "), _quoted(name), F.lit(": "), action)
-    )
-    checked = is_default | is_entity
+    in_range = F.coalesce(threshold.try_cast("double").between(0, 1), F.lit(False))
+    invalid_action = ~action.isin(list(ACTION_PRIORITY))
     return F.array_compact(
         F.array(
-            F.when(checked & action.isNull(), missing).when(
-                checked & ~action.isin(list(ACTION_PRIORITY)), invalid
-            ),
+            F.when(is_default & action.isNull(), fill(messages.ERROR_DEFAULT_ACTION_MISSING))
+            .when(is_default & invalid_action, fill(messages.ERROR_DEFAULT_ACTION_INVALID, action=action))
+            .when(is_entity & action.isNull(), fill(messages.ERROR_ACTION_MISSING, name=name))
+            .when(is_entity & invalid_action, fill(messages.ERROR_ACTION_INVALID, name=name, action=action)),
             F.when(
                 is_entity & (action == "mask") & ~mask_type.isin(MASK_TYPES),
-                F.concat(F.lit("Invalid mask_type for "), _quoted(name), F.lit(": "), mask_type),
+                fill(messages.ERROR_MASK_TYPE, name=name, mask_type=mask_type),
             ),
             F.when(
-                is_entity & threshold.isNotNull() & ~F.coalesce(number.between(0, 1), F.lit(False)),
-                F.concat(F.lit("Invalid confidence_threshold for "), _quoted(name), F.lit(": "), threshold),
+                is_entity & threshold.isNotNull() & ~in_range,
+                fill(messages.ERROR_THRESHOLD, name=name, threshold=threshold),
             ),
         )
     )

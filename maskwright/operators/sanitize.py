@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import masking, policy as policies, scoring, spans
+from maskwright.functions.messages import BLOCKED_TEXT, WARNING, fill
 from maskwright.functions.policy import Policy
 from maskwright.functions.regex import SPACE
 from maskwright.functions.reuse import built_once
 from maskwright.operators.detect import detect
 
-# --- Fixed values: replacement text, limits and tones.
-BLOCKED_TEXT = "[CONTENT BLOCKED DUE TO PII DETECTION]"
+# --- Fixed values: limits and tones.
 OUTBOUND_MAX_LENGTH = 10000
 OUTBOUND_TONES = ["clear", "professional", "friendly"]
 # --- end of fixed values
@@ -127,7 +127,7 @@ def sanitized(text: Column, entities: Column, risk: Column, decision: Column) ->
         .alias("sanitized_text"),
         F.when(
             action == "warn",
-            F.transform(entities, lambda e: F.concat(F.lit("PII detected: "), e["entity_type"])),
+            F.transform(entities, lambda e: fill(WARNING, entity_type=e["entity_type"])),
         )
         .otherwise(F.array().cast("array<string>"))
         .alias("warnings"),
