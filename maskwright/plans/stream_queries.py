@@ -121,9 +121,7 @@ _DAY_SQL = (
 
 
 def _audit_stream(spark, sf_dir) -> DataFrame:
-    rows = _events(spark, sf_dir).selectExpr(
-        *batch_queries._select_items(batch_queries._request_columns("detection"))
-    )
+    rows = _events(spark, sf_dir).selectExpr(*batch_queries._request_columns("detection"))
     return audit.audit_events(rows, "detection")
 
 

@@ -239,46 +239,70 @@ def perf_stats(spark, sf_dir):
 
 # Events as requests: what each kind records, derived from the event row.
 _REQUEST_FIELDS = {
-    "detection": "cast(floor(value * 10) as int) as text_length, cast(user_id % 7 as int) as entities_detected, value / 500 as risk_score, value as processing_time_ms",
-    "masking": "cast(user_id % 4 as int) as entities_masked, value as processing_time_ms, cast(null as string) as masking_methods",
-    "sanitization": "case event_type when 'error' then 'block' when 'click' then 'mask' else 'allow' end as action_taken, 'default' as policy_name, "
-    "case user_id % 3 when 0 then 'admin' when 1 then 'user' else 'analyst' end as user_role, cast(user_id % 7 as int) as entities_detected, value / 500 as risk_score, value as processing_time_ms, "
-    "case when event_type = 'error' then 'blocked for ' || user_id end as blocked_reason",
-    "proxy": "'https://api.openai.com/' || user_id as target_url, 'openai' as service, cast(user_id % 7 as int) as entities_detected, user_id % 7 > 0 as sanitization_applied, 'request_completed' as action, "
-    "case when event_type = 'error' then 500 else 200 end as status_code, value as processing_time_ms",
-    "request": "case when event_type = 'view' then 'GET' else 'POST' end as method, '/' || event_type as path, cast(null as string) as user_agent",
-    "response": "case when event_type = 'error' then 500 else 200 end as status_code, value as processing_time_ms",
-    "error": "event_type || '_error' as error_type, 'user ' || user_id as error_message, props as context, value as processing_time_ms, '/' || event_type as request_path",
-    "admin": "'policy_update' as action, event_type as updated_policies",
+    "detection": [
+        "cast(floor(value * 10) as int) as text_length",
+        "cast(user_id % 7 as int) as entities_detected",
+        "value / 500 as risk_score",
+        "value as processing_time_ms",
+    ],
+    "masking": [
+        "cast(user_id % 4 as int) as entities_masked",
+        "value as processing_time_ms",
+        "cast(null as string) as masking_methods",
+    ],
+    "sanitization": [
+        "case event_type when 'error' then 'block' when 'click' then 'mask' else 'allow' end as action_taken",
+        "'default' as policy_name",
+        "case user_id % 3 when 0 then 'admin' when 1 then 'user' else 'analyst' end as user_role",
+        "cast(user_id % 7 as int) as entities_detected",
+        "value / 500 as risk_score",
+        "value as processing_time_ms",
+        "case when event_type = 'error' then 'blocked for ' || user_id end as blocked_reason",
+    ],
+    "proxy": [
+        "'https://api.openai.com/' || user_id as target_url",
+        "'openai' as service",
+        "cast(user_id % 7 as int) as entities_detected",
+        "user_id % 7 > 0 as sanitization_applied",
+        "'request_completed' as action",
+        "case when event_type = 'error' then 500 else 200 end as status_code",
+        "value as processing_time_ms",
+    ],
+    "request": [
+        "case when event_type = 'view' then 'GET' else 'POST' end as method",
+        "'/' || event_type as path",
+        "cast(null as string) as user_agent",
+    ],
+    "response": [
+        "case when event_type = 'error' then 500 else 200 end as status_code",
+        "value as processing_time_ms",
+    ],
+    "error": [
+        "event_type || '_error' as error_type",
+        "'user ' || user_id as error_message",
+        "props as context",
+        "value as processing_time_ms",
+        "'/' || event_type as request_path",
+    ],
+    "admin": [
+        "'policy_update' as action",
+        "event_type as updated_policies",
+    ],
 }
 
 
-def _request_columns(kind: str) -> str:
-    return (
-        "event_id as source_id, cast(event_id as string) as request_id, cast(user_id as string) as user_id, "
-        f"ts, {_REQUEST_FIELDS[kind]}"
-    )
+def _request_columns(kind: str) -> list[str]:
+    return [
+        "cast(event_id as string) as request_id", "cast(user_id as string) as user_id", "ts", *_REQUEST_FIELDS[kind],
+    ]
 
 
 def request_events(spark, sf_dir, kind: str) -> DataFrame:
     """Audit rows of one kind for all events."""
-    rows = events(spark, sf_dir).selectExpr(*_select_items(_request_columns(kind)))
+    rows = events(spark, sf_dir).selectExpr(*_request_columns(kind))
     return audit.audit_events(rows, kind, extra_details=["updated_policies"] if kind == "admin" else None)
 
 
-def _select_items(columns: str) -> list[str]:
-    """Split a select list at its top-level commas."""
-    items, depth, start, quoted = [], 0, 0, False
-    for i, c in enumerate(columns):
-        quoted ^= c == "'"
-        if not quoted:
-            depth += (c == "(") - (c == ")")
-            if c == "," and depth == 0:
-                items.append(columns[start:i].strip())
-                start = i + 1
-    return [*items, columns[start:].strip()]
-
-
 _DETAIL_FIELDS = {k: [*f, *(["updated_policies"] if k == "admin" else [])] for k, (_, f) in audit.EVENT_KINDS.items()}
 _NUMBERS = {"risk_score": "double", "processing_time_ms": "double", "text_length": "int", "entities_detected": "int", "entities_masked": "int", "status_code": "int", "sanitization_applied": "boolean"}
 
@@ -301,7 +325,7 @@ for _kind, (_component, _fields) in audit.EVENT_KINDS.items():
     query(
         f"audit_{_kind}",
         f"select request_id, user_id, '{_kind}' as event_type, '{_component}' as component, '0.1.0' as version, strftime(ts, '%Y-%m-%d') as event_day, "
-        f"{', '.join(_DETAIL_FIELDS[_kind])} from (select {_request_columns(_kind).replace(' as string', ' as varchar')} from events)",
+        f"{', '.join(_DETAIL_FIELDS[_kind])} from (select {', '.join(_request_columns(_kind)).replace(' as string', ' as varchar')} from events)",
     )(_audit_query(_kind))
 
 _START, _END = datetime(2024, 1, 8), datetime(2024, 1, 15, 12)
@@ -390,19 +414,22 @@ def write_report(spark, sf_dir):
 
 # --- metrics
 
-_REQUEST_LABELS = (
-    "case when event_type = 'view' then 'GET' else 'POST' end as method, '/' || event_type as endpoint, "
-    "case when event_type = 'error' then 500 else 200 end as status_code, value / 50 as duration"
-)
+_REQUEST_LABELS = [
+    "case when event_type = 'view' then 'GET' else 'POST' end as method",
+    "'/' || event_type as endpoint",
+    "case when event_type = 'error' then 500 else 200 end as status_code",
+    "value / 50 as duration",
+]
+_REQUESTS_SQL = f"select {', '.join(_REQUEST_LABELS)} from events"
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).selectExpr("ts", *_select_items(_REQUEST_LABELS))
+    return events(spark, sf_dir).selectExpr("ts", *_REQUEST_LABELS)
 
 
 @query(
     "request_counter",
-    f"select method, endpoint, status_code::varchar as status_code, count(*) as value from (select {_REQUEST_LABELS} from events) group by 1, 2, 3",
+    f"select method, endpoint, status_code::varchar as status_code, count(*) as value from ({_REQUESTS_SQL}) group by 1, 2, 3",
 )
 def request_counter(spark, sf_dir):
     return metrics.request_counter(_requests(spark, sf_dir))
@@ -425,7 +452,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(
     "duration_histogram",
-    _histogram_sql(f"select {_REQUEST_LABELS} from events", ["method", "endpoint"], "duration", metrics.REQUEST_DURATION_BUCKETS),
+    _histogram_sql(_REQUESTS_SQL, ["method", "endpoint"], "duration", metrics.REQUEST_DURATION_BUCKETS),
 )
 def duration_histogram(spark, sf_dir):
     return _rounded(metrics.request_duration(_requests(spark, sf_dir)))
