@@ -1,25 +1,25 @@
-"""Where intermediate tables go: the shared folder the cluster names in ``spark.checkpoint.dir``."""
+"""Where intermediate tables go: a folder that the driver and all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, else one inside the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable; a folder of this machine only where none is named."""
+    """Make ``checkpoint()`` usable where no folder has been set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """Name of a folder of its own for one run's intermediate tables."""
-    base = shared_folder(spark)
-    return f"{base}/{purpose}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"{purpose}-")
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
