@@ -28,9 +28,9 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def text_key(text: Column = F.col("text")) -> Column:
+def text_key(text: str = "text") -> Column:
     """64-bit key of a text; null and empty texts have different keys."""
-    return F.xxhash64(text.isNull(), text)
+    return F.xxhash64(F.col(text).isNull(), F.col(text))
 
 
 def texts_of(column: pa.Array) -> list[str]:
