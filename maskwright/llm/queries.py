@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import simhash
+from maskwright.llm import ngram_lm, simhash
 from maskwright.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,32 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: shingles of four words, links at four bits or fewer."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+@query(
+    "op10_backoff_scores",
+    r"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+p as (select doc_id, ws, unnest(generate_series(1, len(ws))) as i from t),
+g as (select doc_id, i, ws[i] as c, case when i > 1 then ws[i - 1] end as b, case when i > 2 then ws[i - 2] end as a from p),
+c1 as (select c, count(*) as n from g group by c),
+c2 as (select b, c, count(*) as n from g where i > 1 group by b, c),
+c3 as (select a, b, c, count(*) as n from g where i > 2 group by a, b, c),
+s as (
+  select g.doc_id, case
+    when i > 2 and c3.n >= 2 then ln(c3.n / ab.n)
+    when i > 1 and c2.n >= 2 then ln(c2.n / cb.n) + case when i > 2 then ln(0.4) else 0 end
+    else ln(c1.n / (select count(*) from g)) + (least(i, 3) - 1) * ln(0.4) end as x
+  from g join c1 on g.c = c1.c left join c1 as cb on g.b = cb.c
+  left join c2 on g.b = c2.b and g.c = c2.c left join c2 as ab on g.a = ab.b and g.b = ab.c
+  left join c3 on g.a = c3.a and g.b = c3.b and g.c = c3.c),
+d as (select doc_id, count(*) as n, sum(x) as x from s group by doc_id)
+select t.doc_id, coalesce(n, 0) as n_words, round(coalesce(x, 0), 3) as log_score, round(x / n, 6) as mean_log_score
+from t left join d using (doc_id)""",
+)
+def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents from trigram, bigram and word counts of all."""
+    found = ngram_lm.backoff_scores(table(spark, sf_dir, "documents"), order=3, min_count=2, backoff=0.4)
+    return found.select(
+        "doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score")
+    )
