@@ -26,7 +26,7 @@ HIDDEN, WORD_DIM, CHAR_DIM = 12, 8, 8
 CHAR_BUCKETS = 1 << 13
 CHANCE = 4.0
 EXTRA, SPREAD = 1, 4.0
-DROPPED, RATE_DECAY = 0.2, 0.002
+DROPPED, RATE_DECAY = 0.1, 0.01
 VOCABULARY, MIN_TEXTS, MIN_SHARE = 20_000, 3, 0.005
 WORDS_KEPT = 300_000  # word types whose inputs a task remembers
 WINDOWS_AT_ONCE = 2048
