@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.tables import slices, type_of
+from maskwright.llm.tables import opened, shared, slices, type_of
 
 PASSAGE, STRIDE = 256, 192
 SEGMENT = PASSAGE - STRIDE  # longer items are indexed in pieces of so many words; a passage holds any piece whole
@@ -199,10 +199,10 @@ def leaks(
             cut = len(words) - len(words) // 4
             parts.append((row["item_id"], words[:cut], words[cut:]) if answer is None else (row["item_id"], words, last))
         parts = sorted((p for p in parts if p[1] or p[2]), key=lambda p: (p[0] is None, p[0] or 0, p[1:]))
-        index = spark.sparkContext.broadcast(Index(parts))
+        index = shared(spark, Index(parts))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = index.value
+            own = opened(index)
             for batch in batches:
                 for part in slices(batch, max_bytes=2_000_000):
                     yield _search(own, part, threshold, overlap, part_overlap, shingle_words)

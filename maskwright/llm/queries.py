@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import langid, ngram_lm, simhash, toxicity
+from maskwright.llm import decontaminate, langid, ngram_lm, simhash, toxicity, vectors
 from maskwright.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,37 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, by a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
+
+
+@query("op5_vectors")
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link counts and components of all embeddings of equal label at a cosine of 0.98 or more."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@query(
+    "op8_decontaminate",
+    r"""
+with b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from benchmark),
+i as (select item_id, w, len(w) as n, len(w) - len(w) // 4 as cut from b where len(w) >= 5),
+g as (
+  select item_id, n, cut, unnest(generate_series(1, n - 4)) as k, w from i),
+s as (
+  select distinct item_id, array_to_string(w[k:k + 4], ' ') as s, p from
+  (select *, unnest(['all', case when k <= greatest(cut - 4, 1) then 'question' end, case when k >= least(cut + 1, n - 4) then 'answer' end]) as p from g)
+  where p is not null),
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents),
+t as (
+  select distinct doc_id, array_to_string(w[k:k + 4], ' ') as s
+  from (select doc_id, w, unnest(generate_series(1, len(w) - 4)) as k from d where len(w) >= 5)),
+hit as (select doc_id, item_id, p, count(*) as n from s join t using (s) group by all),
+total as (select item_id, p, count(*) as n from s group by all),
+share as (select hit.doc_id, hit.item_id, hit.p, hit.n / total.n as x from hit join total using (item_id, p))
+select doc_id, item_id, max(x) filter (where p = 'question') as question_overlap, max(x) filter (where p = 'answer') as answer_overlap
+from share group by doc_id, item_id
+having max(x) filter (where p = 'all') >= 0.8 and max(x) filter (where p = 'question') >= 0.5 and max(x) filter (where p = 'answer') >= 0.5""",
+)
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item whose text stands in it."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "question_overlap", "answer_overlap")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,15 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """Send an object of bounded size to the executors, its class by value; ``opened`` reads it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(sent: Broadcast) -> object:
+    return cloudpickle.loads(sent.value)
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
