@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import decontaminate, langid, ngram_lm, simhash, toxicity, vectors
+from maskwright.llm import decontaminate, langid, line_dedup, mixing, ngram_lm, simhash, toxicity, vectors
 from maskwright.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,55 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item whose text stands in it."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "question_overlap", "answer_overlap")
+
+
+@query(
+    "op1_line_dedup",
+    """
+with d as (select doc_id, coalesce(text, '') as text, string_split(text, chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, unnest(generate_series(1, len(ls))) as i from d),
+n as (select doc_id, line, i, row_number() over (partition by doc_id order by i) as r from l where trim(line) <> ''),
+w as (
+  select a.doc_id, a.r, a.line || chr(10) || b.line || chr(10) || c.line as w
+  from n a join n b on a.doc_id = b.doc_id and b.r = a.r + 1 join n c on a.doc_id = c.doc_id and c.r = a.r + 2),
+f as (select doc_id, r, row_number() over (partition by w order by doc_id, r) as k from w),
+g as (select distinct doc_id, r + s as r from f, (select unnest([0, 1, 2]) as s) where k > 1),
+kept as (
+  select l.doc_id, string_agg(l.line, chr(10) order by l.i) as text
+  from l left join n on l.doc_id = n.doc_id and l.i = n.i left join g on l.doc_id = g.doc_id and n.r = g.r
+  where g.r is null group by l.doc_id),
+c as (select doc_id, count(*) as k from g group by doc_id)
+select d.doc_id, coalesce(kept.text, '') as text, len(d.ls) as n_lines, coalesce(c.k, 0) as n_removed
+from d left join kept using (doc_id) left join c using (doc_id)""",
+)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all documents without repeated three-line windows."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
+
+
+@query(
+    "op6_mix",
+    r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    ('0x' || substr(md5('17:' || cast(doc_id as varchar)), 1, 15))::bigint as draw from documents),
+s as (select source, sum(size) as n, row_number() over (order by source nulls last) as k from d group by source),
+w as (select source, n, case k % 3 when 1 then 5.0 when 2 then 2.0 else 1.0 end as w from s),
+r as (
+  select source, n, w, 2.0 * n / w as r, 1.5 * sum(n) over () - sum(2.0 * n) over (order by 2.0 * n / w, source) + 2.0 * n as left_over,
+    sum(w) over () - sum(w) over (order by 2.0 * n / w, source) + w as w_left from w),
+level as (select max(left_over / w_left) as x from r),
+t as (select source, n, least(2.0 * n, w * x) as target from r, level),
+c as (
+  select doc_id, size, n, target, cast(floor(target + 0.5) as bigint) as q,
+    sum(size) over (partition by d.source order by draw, doc_id, size rows unbounded preceding) - size as pos
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, cast(n as bigint) as source_size, round(target, 6) as target,
+  cast(size * (cast(2 * pos + size < 2 * q as int) + cast(2 * (pos + n) + size < 2 * q as int)) as bigint) as taken
+from c""",
+)
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of all documents: sources weigh 5, 2, 1 in turn and share 150 % of all words."""
+    found = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"), repeats=2, share=1.5, weights=(5.0, 2.0, 1.0))
+    return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
