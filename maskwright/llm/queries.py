@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import decontaminate, langid, line_dedup, mixing, ngram_lm, simhash, toxicity, vectors
+from maskwright.llm import chat, decontaminate, langid, line_dedup, mixing, ngram_lm, quality, simhash, toxicity, vectors
 from maskwright.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,40 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mix of all documents: sources weigh 5, 2, 1 in turn and share 150 % of all words."""
     found = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"), repeats=2, share=1.5, weights=(5.0, 2.0, 1.0))
     return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+CHAT_EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query(
+    "op3_chat",
+    r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (
+  select *, length(text) + length(text) - length(replace(text, '\', ''))
+    + len(regexp_extract_all(text, '\[/?SYS\]|\[/?INST\]|</?s>|\[ROLE\]|\[/?TEXT\]'))
+    + cast(regexp_matches(text, '(<|</|<s|</s|\[|\[/|\[S|\[SY|\[SYS|\[/S|\[/SY|\[/SYS|\[I|\[IN|\[INS|\[INST|\[/I|\[/IN|\[/INS|\[/INST|\[R|\[RO|\[ROL|\[ROLE|\[T|\[TE|\[TEX|\[TEXT|\[/T|\[/TE|\[/TEX|\[/TEXT)$') as int)
+    + case role when 'system' then 11 when 'user' then 13 when 'assistant' then 7 else 19 + length(role) end as chars
+  from c),
+o as (
+  select *, coalesce(case lag(role) over (partition by conv_id order by turn, role, text)
+    when 'system' then role = 'user' when 'user' then role = 'assistant' when 'assistant' then role = 'user'
+    else role in ('system', 'user') and lag(role) over (partition by conv_id order by turn, role, text) is null end, false) as fine from e)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars, bool_and(fine) as in_order
+from o group by conv_id""",
+)
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one that holds control strings, read from their formatted text."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(CHAT_EXTRA, "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_turns(own.unionByName(extra)))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by a scorer trained on weak labels."""
+    return quality.score_quality(table(spark, sf_dir, "documents"))
