@@ -165,7 +165,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
             own = np.where(jump, reach, own)
             own -= own.max(axis=1, keepdims=True)
         v[:k] = own + scores[at]
-    label = v.argmax(axis=1).astype(np.int32) if len(v) else np.zeros(0, np.int32)
+    label = v.argmax(axis=1).astype(np.int32) if v.size else np.zeros(len(v), np.int32)
     for t in range(len(active) - 1, -1, -1):
         k = active[t]
         at, own = begin[:k] + t, label[:k]

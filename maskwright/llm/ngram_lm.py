@@ -36,6 +36,8 @@ def pack(values: np.ndarray) -> bytes:
 
 
 def unpack(blob: bytes, n: int) -> np.ndarray:
+    if n == 0:
+        return np.zeros(0, dtype=np.uint64)
     out = np.zeros((n, 8), dtype=np.uint8)
     planes = np.frombuffer(blob, dtype=np.uint8).reshape(-1, n)
     out[:, : len(planes)] = planes.T

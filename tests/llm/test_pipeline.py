@@ -1,0 +1,110 @@
+"""The pipeline's stages on odd rows and on planted cases, and the registered queries."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as spark_entry
+import check_queries
+import corpus_pipeline
+from maskwright.llm import langid, queries, simhash
+from maskwright.llm.tables import table
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, mix_size string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    docs = table(spark, SF, "documents")
+    own = docs.withColumn("mix_size", F.lit("own"))
+    item = table(spark, SF, "benchmark").orderBy("item_id").first()["text"]
+    clean = docs.filter("lang = 'en'").orderBy("doc_id").first()["text"]
+    rows = [
+        (9001, None, None, None, None, None), (9002, "", "en", "a", 0, None), (9003, "... 12", "en", "a", 6, None),
+        (None, "und hier ist ein kurzer Satz ohne Nummer", "de", None, 5, None), (9004, f"before it {item} after it", "en", "a", 1, None),
+        (9005, clean + " one more ending", "en", "a", 1, None), (9006, "a b", "en", "a", 3, None), (9006, "a b", "en", "a", 3, None),
+    ]
+    return own.unionByName(spark.createDataFrame(rows, SCHEMA)).cache()
+
+
+def ids(df):
+    return sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=repr)
+
+
+def test_stages_in_turn(spark, odd):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language", "lines", "near_duplicates", "benchmark_leaks", "mixture"]
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, SF).cache()
+        if name != "mixture":
+            assert found.columns == odd.columns
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        before, after = ids(docs), ids(found)
+        if name == "language":
+            assert {i for i in before if i not in after} >= {9001, 9002, 9003} and len(before) - len(after) < 10
+        if name == "benchmark_leaks":
+            assert 9004 in before and 9004 not in after
+        if name == "near_duplicates":
+            assert after.count(9006) == 1 and None in after
+            classes = simhash.near_duplicates(docs, shingle_words=5)
+            assert len(after) == classes.select("component_id", F.col("doc_id").isNull()).distinct().count()
+        docs = found
+    assert docs.filter("mix_taken <= 0 or mix_taken > 2 * mix_size").count() == 0
+    assert docs.count() == docs.select("doc_id").distinct().count() > 20
+
+
+def test_stages_judged_alone(spark, odd):
+    """Each stage on the raw rows: nulls, repeats and clashing columns do not stop it."""
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        found = stage(spark, odd, SF)
+        assert found.count() > 50, name
+
+
+def test_lines_drop_only_what_repeats(spark):
+    rows = [(1, "a\nb\nc\nown"), (2, "a\nb\nc"), (3, "x\na\nb\nc"), (4, ""), (5, "a\nb")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.lit(-1))
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert found == {1: ("a\nb\nc\nown", -1), 3: ("x", 1), 4: ("", -1), 5: ("a\nb", -1)}
+
+
+def test_run_is_registered(spark):
+    assert spark_entry.queries()["pipeline"] is corpus_pipeline.run
+    assert set(queries.QUERIES) <= set(spark_entry.queries())
+    for n in range(1, 11):
+        assert sum(name.startswith(f"op{n}_") for name in spark_entry.queries()) == 1
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in check_queries.TABLES:
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    mine = [tuple(r) for r in df.collect()]
+    cursor = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in cursor.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert check_queries.rows_of(df.columns, mine) == check_queries.rows_of(columns, cursor.fetchall())
+
+
+def test_language_held_out_accuracy(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    found = langid.identify(docs, langid.fit(docs)).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+
+
+def test_toxicity_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels").filter("toxic is not null")
+    found = queries.QUERIES["op2_toxicity"](spark, sf).filter("held_out").join(labels, "doc_id")
+    by = {r["toxic"]: r["m"] for r in found.groupBy("toxic").agg(F.avg("predicted").alias("m")).collect()}
+    assert by[1] > 0.9 and by[0] < 0.05
+
+
+def test_quality_agrees_with_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = table(spark, sf, "labels").filter("quality is not null")
+    found = queries.QUERIES["op9_quality"](spark, sf).join(labels, "doc_id")
+    assert found.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.95
