@@ -26,7 +26,7 @@ HIDDEN, WORD_DIM, CHAR_DIM = 12, 8, 8
 CHAR_BUCKETS = 1 << 13
 CHANCE = 4.0
 EXTRA, SPREAD = 1, 4.0
-DROPPED, RATE_DECAY = 0.1, 0.01
+DROPPED, RATE_DECAY = 0.1, 0.04
 VOCABULARY, MIN_TEXTS, MIN_SHARE = 20_000, 3, 0.005
 WORDS_KEPT = 300_000  # word types whose inputs a task remembers
 WINDOWS_AT_ONCE = 2048
@@ -269,7 +269,6 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, seed: int = 7)
     steps = np.arange(WINDOW)
     draw = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-3), 0.5 / max(1 - labels.mean(), 1e-3))
     done = 0
     per_batch = int(np.clip(len(texts) // 12, 8, 96))
     epochs = max(epochs, min(30, 14 * 1200 // max(len(texts), 1)))
@@ -297,7 +296,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, seed: int = 7)
             mask &= draw.random(mask.shape) >= DROPPED
             logit, state = net.forward((e @ net.p["w"] + net.p["b"])[place.reshape(at.shape)], mask, keep=True)
             target = labels[text[w]]
-            d_logit = ((_sigmoid(logit) - target) * weight[text[w]] / len(w)).astype(np.float32)
+            d_logit = ((_sigmoid(logit) - target) / len(w)).astype(np.float32)
             grads, dx = net.backward(d_logit, mask, state)
             flat = dx.reshape(-1, dx.shape[2]) * mask.reshape(-1, 1)
             by_type = np.zeros((len(own), dx.shape[2]), np.float32)

@@ -100,7 +100,7 @@ def test_toxicity_held_out_accuracy(spark):
     labels = table(spark, sf, "labels").filter("toxic is not null")
     found = queries.QUERIES["op2_toxicity"](spark, sf).filter("held_out").join(labels, "doc_id")
     by = {r["toxic"]: r["m"] for r in found.groupBy("toxic").agg(F.avg("predicted").alias("m")).collect()}
-    assert by[1] > 0.9 and by[0] < 0.05
+    assert by[1] > 0.85 and by[0] < 0.03
 
 
 def test_quality_agrees_with_labels(spark):
