@@ -95,32 +95,30 @@ def _partial(span: Column, char: Column) -> Column:
     )
 
 
+def _long(n: int) -> Column:
+    return F.lit(n).cast("bigint")
+
+
 def _pick(choices: list[str], number: Column) -> Column:
     return F.element_at(
-        F.array(*[F.lit(c) for c in choices]), (F.pmod(number, F.lit(len(choices))) + 1).cast("int")
+        F.array(*[F.lit(c) for c in choices]), (F.pmod(number, _long(len(choices))) + _long(1)).cast("int")
     )
 
 
 def _synthetic(span: Column, seed: int) -> Column:
-    """Stand-in values drawn from a hash of the original: equal inputs get equal stand-ins, so
+    """Stand-in values drawn from an md5 of the original: equal inputs get equal stand-ins, so
     a re-run or a retried task writes the same text."""
     text, kind = span["text"], span["entity_type"]
 
     def draw(n: int) -> Column:
-        return F.xxhash64(text, F.lit(seed), F.lit(n))
+        # Types are spelled out: in deeply nested expressions each implicit cast is analyzer work.
+        digest = F.md5(F.concat(text, F.lit(f":{seed}:{n}")).cast("binary"))
+        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
     def between(n: int, low: int, high: int) -> Column:
-        return (F.pmod(draw(n), F.lit(high - low + 1)) + F.lit(low)).cast("string")
+        return (F.pmod(draw(n), _long(high - low + 1)) + _long(low)).cast("string")
 
-    letters = F.array_join(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(8)),
-            lambda i: F.substring(
-                F.lit(LETTERS), (F.pmod(F.xxhash64(text, F.lit(seed), i), F.lit(26)) + 1).cast("int"), F.lit(1)
-            ),
-        ),
-        "",
-    )
+    letters = F.concat(*[_pick(list(LETTERS), draw(n)) for n in range(11, 19)])
     return (
         F.when(kind == "EMAIL", F.concat(letters, F.lit("@"), _pick(SYNTHETIC_EMAIL_DOMAINS, draw(0))))
         .when(

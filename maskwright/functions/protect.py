@@ -17,25 +17,31 @@ def decrypt_value(value: Column, key: Column) -> Column:
     return F.aes_decrypt(F.unbase64(value), key, F.lit("GCM")).cast("string")
 
 
-def _protected(df: DataFrame, text_col: str, entities_col: str, change: Callable[[Column], Column]) -> DataFrame:
+def _protected(df: DataFrame, text_col: str | None, entities_col: str | None, change: Callable[[Column], Column]) -> DataFrame:
     def entity(e: Column) -> Column:
         return e.withField("text", change(e["text"])).withField("context", change(e["context"]))
 
-    if entities_col in df.columns:
+    missing = [c for c in (text_col, entities_col) if c and c not in df.columns]
+    if missing:
+        raise ValueError(f"no such columns: {missing}; name the columns to protect, or None for none")
+    if entities_col:
         df = df.withColumn(entities_col, F.transform(entities_col, entity))
-    if text_col in df.columns:
+    if text_col:
         df = df.withColumn(text_col, change(F.col(text_col)))
     return df
 
 
 def encrypt_findings(
-    df: DataFrame, key: Column, text_col: str = "original_text", entities_col: str = "detected_entities"
+    df: DataFrame, key: Column, text_col: str | None = "text", entities_col: str | None = "entities"
 ) -> DataFrame:
-    """Encrypt the text and each span's text and context; ``key`` is 16, 24 or 32 bytes."""
+    """Encrypt the text and each span's text and context, by default the columns that ``detect`` gives.
+
+    ``key`` is 16, 24 or 32 bytes. A named column that is absent is an error.
+    """
     return _protected(df, text_col, entities_col, lambda c: encrypt_value(c, key))
 
 
 def decrypt_findings(
-    df: DataFrame, key: Column, text_col: str = "original_text", entities_col: str = "detected_entities"
+    df: DataFrame, key: Column, text_col: str | None = "text", entities_col: str | None = "entities"
 ) -> DataFrame:
     return _protected(df, text_col, entities_col, lambda c: decrypt_value(c, key))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.functions.regex import jvm_regex
+from maskwright.functions.regex import jvm_regex, replacing
 from maskwright.functions.spans import let
 
 # --- Fixed values: order matters, each pattern sees the result of those before it.
@@ -30,11 +30,11 @@ _GATES = [("@", ""), (r"\d{4}", r"\d"), (r"-\d{4}", r"\d"), (r"\d{4}", r"\d")]
 
 
 def _replaced(text: Column, pattern: str, label: str, gate: str, lead: str) -> Column:
-    regex = jvm_regex(pattern, lead=lead)
+    regex, before, _ = replacing(pattern, lead=lead)
     return let(
         text,
         lambda t: F.when(
-            F.rlike(t, F.lit(jvm_regex(gate))), F.regexp_replace(t, F.lit(regex), F.lit(label))
+            F.rlike(t, F.lit(jvm_regex(gate))), F.regexp_replace(t, F.lit(regex), F.lit(before + label))
         ).otherwise(t),
     )
 
@@ -58,21 +58,41 @@ def _redact_value(value: Column, kind: T.DataType) -> Column:
             for f in kind.fields
         ]
         return F.when(value.isNotNull(), F.struct(*fields))
-    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
-        return F.transform_values(
-            value,
-            lambda k, v: F.when(F.lower(k).isin(SENSITIVE_FIELDS), F.lit(REDACTED)).otherwise(redact_string(v)),
-        )
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-        return F.transform(value, redact_string)
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        text = isinstance(kind.valueType, T.StringType)
+        hidden = F.lit(REDACTED if text else None).cast(_redacted_type(kind.valueType))
+
+        def of(k: Column, v: Column) -> Column:
+            return F.when(F.lower(k).isin(SENSITIVE_FIELDS), hidden).otherwise(_redact_value(v, kind.valueType))
+
+        return F.transform_values(value, of)
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, v: _redact_value(v, kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _redact_value(v, kind.elementType))
     return value
 
 
+def _redacted_type(kind: T.DataType) -> T.DataType:
+    """The type a value has after redaction: sensitive fields of records become strings."""
+    if isinstance(kind, T.StructType):
+        fields = [
+            T.StructField(f.name, T.StringType() if is_sensitive(f.name) else _redacted_type(f.dataType)) for f in kind.fields
+        ]
+        return T.StructType(fields)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _redacted_type(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_redacted_type(kind.elementType))
+    return kind
+
+
 def redact_fields(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Redact every column of a table of log records; nested records are walked by schema.
 
-    A field with a sensitive name becomes ``[REDACTED]`` whatever its type. Lists are redacted only
-    where they hold strings.
+    A field with a sensitive name becomes ``[REDACTED]`` whatever its type. Lists and maps are
+    walked; a sensitive key of a map becomes ``[REDACTED]`` where the map holds strings and null
+    where it holds anything else.
     """
     columns = [
         F.col(f"`{f.name}`")

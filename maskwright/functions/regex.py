@@ -23,6 +23,25 @@ _CLASSES = {"d": DIGIT, "w": WORD, "s": SPACE}
 _TOKEN = re.compile(r"\\.|\[|\]", re.DOTALL)
 
 
+_RUN_BEFORE_AT = re.compile(r"\\b(\[[^\]]*\])\+@(.*)", re.DOTALL)
+
+
+def replacing(pattern: str, ignore_case: bool = False, lead: str = "") -> tuple[str, str, str]:
+    """(Java regex, what to write before a match, the match itself) for ``regexp_replace``.
+
+    A pattern ``\\b[run]+@...`` searched plainly tries every boundary of a run that no ``@`` follows,
+    each time to the run's end. Whether it matches does not depend on where in the run it begins, so
+    each run is tried once: from its first boundary, or from where the match before ended.
+    """
+    found = _RUN_BEFORE_AT.fullmatch(pattern)
+    if not found:
+        return jvm_regex(pattern, ignore_case, lead), "", "$0"
+    run, rest = found.groups()
+    start = rf"(?:\G|(?<!{run}))(?={run})"
+    regex = f"{start}((?>{run}*?{BOUNDARY}))({run}++@{jvm_regex(rest)})"
+    return (f"(?iu){regex}" if ignore_case else regex), "$1", "$2"
+
+
 def jvm_regex(pattern: str, ignore_case: bool = False, lead: str = "") -> str:
     """Java regex for ``pattern``; ``lead`` is a class every match is known to start with."""
     inside = False

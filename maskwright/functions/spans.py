@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwright.functions import registry
-from maskwright.functions.regex import SPACE, jvm_regex
+from maskwright.functions.regex import SPACE, jvm_regex, replacing
 from maskwright.functions.registry import Recognizer
 
 RAW_SPAN = (
@@ -145,8 +145,8 @@ def _gates(text: Column, gates: list[tuple[str, ...]], body: Callable[[Column],
 
 
 def _marked(text: Column, recognizer: Recognizer, gate: Column) -> Column:
-    pattern = jvm_regex(recognizer.pattern, recognizer.ignore_case, recognizer.lead)
-    return F.when(gate, F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")))
+    pattern, before, match = replacing(recognizer.pattern, recognizer.ignore_case, recognizer.lead)
+    return F.when(gate, F.regexp_replace(text, F.lit(pattern), F.lit(f"{before}{MARK}{match}{MARK}")))
 
 
 def _confidence(text: Column, fact: Column) -> Column:
@@ -160,8 +160,11 @@ def _confidence(text: Column, fact: Column) -> Column:
     )
 
 
-def _cut(text: Column, marked: Column, fact: Column) -> Column:
-    """Spans of one marked text: every second piece between marks is a match."""
+def _cut(original: Column, text: Column, marked: Column, fact: Column) -> Column:
+    """Spans of one marked text: every second piece between marks is a match.
+
+    A piece with the mark's substitute is cut anew from the original, which may hold the mark there.
+    """
 
     def spans(x: Column) -> Column:
         def span(i: Column) -> Column:
@@ -173,7 +176,9 @@ def _cut(text: Column, marked: Column, fact: Column) -> Column:
                 fact["entity_type"].alias("entity_type"),
                 x["confidence"].alias("confidence"),
                 fact["source"].alias("source"),
-                piece.alias("text"),
+                F.when(F.contains(piece, F.lit(MARK_SUBSTITUTE)), slice_text(original, start, start + F.length(piece)))
+                .otherwise(piece)
+                .alias("text"),
             )
 
         return F.transform(F.sequence(F.lit(1), F.size(x["pieces"]) - 2, F.lit(2)), span)
@@ -221,7 +226,7 @@ def recognize(
             lambda m, i: F.struct(m.alias("marked"), F.get(facts, i).alias("fact")),
         )
         hits = F.filter(marked, lambda row: F.contains(row["marked"], F.lit(MARK)))
-        return F.flatten(F.transform(hits, lambda row: _cut(clean, row["marked"], row["fact"])))
+        return F.flatten(F.transform(hits, lambda row: _cut(text, clean, row["marked"], row["fact"])))
 
     return F.when(text.isNull(), F.array().cast(f"array<{RAW_SPAN}>")).otherwise(
         let(_without_marks(text), find)

@@ -59,9 +59,9 @@ def detect_distinct(
 
     Worth it when texts repeat: one shuffle of distinct texts (after a partial distinct per task)
     instead of repeated searches. A text that makes up much of the table is split when results
-    are joined back; only hashes and results travel then.
+    are joined back by hash; the columns of ``df`` travel with it.
     """
-    keyed = df.withColumn("__key", F.sha2(F.col(text_col), 256))
+    keyed = df.withColumn("__key", F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")))  # null: a key of its own
     distinct = keyed.select("__key", text_col).dropDuplicates(["__key"])
     results = detect(distinct, text_col, rows=rows).select("__key", *DETECTION_COLUMNS)
     joined = join_unique(keyed, results, "__key", [F.col(c) for c in row_id])

@@ -243,13 +243,20 @@ def _rebuilt(payload_col: str) -> Column:
     ).otherwise(payload)
 
 
+def _status(payload_col: str, blocked: Column) -> Column:
+    parsed = F.try_parse_json(F.col(payload_col))
+    return F.when(parsed.isNull(), F.lit("invalid")).when(blocked, F.lit("blocked")).otherwise(F.lit("ok"))
+
+
 def sanitize_payload(
     df: DataFrame, payload_col: str = "payload", service_col: str = "service", policy: Policy | None = None
 ) -> DataFrame:
     """Sanitize request bodies: one blocked text rejects the whole body.
 
-    Adds ``status`` (ok, blocked), ``sanitized_payload`` (null when blocked), ``detected_entities``
-    (text by text; those of the first blocked text when blocked) and ``sanitization_applied``.
+    Adds ``status`` (ok, blocked, invalid), ``sanitized_payload`` (null unless ok),
+    ``detected_entities`` (text by text; those of the first blocked text when blocked) and
+    ``sanitization_applied``. A body that is no JSON value (null, broken, with a repeated key, or too
+    large to parse) is invalid: nothing of it was searched, so nothing of it leaves.
     """
     found = _with_outcomes(df, payload_col, service_col, "content_paths", policy or Policy(), ["mask"])
     blocked = F.filter("__outcomes", lambda o: o["action"] == "block")
@@ -258,7 +265,7 @@ def sanitize_payload(
     )
     entities = F.when(F.size(blocked) > 0, F.get(blocked, F.lit(0))["entities"]).otherwise(F.flatten(per_text))
     return (
-        found.withColumn("status", F.when(F.size(blocked) > 0, F.lit("blocked")).otherwise(F.lit("ok")))
+        found.withColumn("status", _status(payload_col, F.size(blocked) > 0))
         .withColumn("detected_entities", entities)
         .withColumn(
             "sanitized_payload",
@@ -274,12 +281,17 @@ def sanitize_payload(
 def sanitize_response(
     df: DataFrame, payload_col: str = "payload", service_col: str = "service", policy: Policy | None = None
 ) -> DataFrame:
-    """Sanitize response bodies: texts that would be blocked are masked as well."""
+    """Sanitize response bodies: texts that would be blocked are masked as well.
+
+    Adds ``status`` (ok, invalid) and ``sanitized_payload`` (null when invalid, as in ``sanitize_payload``).
+    """
     found = _with_outcomes(
         df, payload_col, service_col, "response_paths", policy or Policy(), ["block", "mask"]
     )
-    return found.withColumn("sanitized_payload", _rebuilt(payload_col)).drop(
-        "__keys", "__texts", "__outcomes"
+    return (
+        found.withColumn("status", _status(payload_col, F.lit(False)))
+        .withColumn("sanitized_payload", F.when(F.col("status") == "ok", _rebuilt(payload_col)))
+        .drop("__keys", "__texts", "__outcomes")
     )
 
 
@@ -307,12 +319,16 @@ def sanitize_conversations(
     turn_id: list[str] | None = None,
     policy: Policy | None = None,
 ) -> DataFrame:
-    """Every turn sanitized; the turns of a rejected conversation carry no text."""
-    # The texts are searched once: the turns are kept while the blocked ones are looked up.
+    """Every turn sanitized, without its original text; the turns of a rejected conversation carry none.
+
+    Turns are written once, with what may leave in place of the text, while the blocked ones are
+    looked up.
+    """
     use_checkpoint_dir(df.sparkSession)
+    others = [c for c in df.columns if c != text_col]
     turns = (
         sanitize(df, policy, text_col=text_col)
-        .select(*[F.col(c) for c in df.columns], "action_taken", "sanitized_text")
+        .select(*[F.col(c) for c in others], "action_taken", "sanitized_text")
         .checkpoint()
     )
     rejected = (
@@ -324,7 +340,7 @@ def sanitize_conversations(
     flagged = join_unique(turns, rejected, key, [F.col(c) for c in (turn_id or [key, "turn"])])
     refused = F.coalesce("__rejected", F.lit(False))
     return flagged.select(
-        *[F.col(c) for c in df.columns],
+        *[F.col(c) for c in others],
         "action_taken",
         refused.alias("rejected"),
         F.when(~refused, F.col("sanitized_text")).alias("sanitized_text"),

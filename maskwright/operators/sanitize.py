@@ -34,21 +34,21 @@ def reject_blank(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.filter(~is_blank(F.col(text_col)))
 
 
-def outbound_valid(text: Column, tone: Column | str = "clear") -> Column:
+def outbound_valid(text: Column, tone: Column | str = "clear", max_length: int = OUTBOUND_MAX_LENGTH) -> Column:
     tone = tone if isinstance(tone, Column) else F.lit(tone)
     return (
         F.coalesce(tone.isin(OUTBOUND_TONES), F.lit(False))
         & ~is_blank(text)
-        & F.coalesce(F.length(text) <= OUTBOUND_MAX_LENGTH, F.lit(False))
+        & F.coalesce(F.length(text) <= max_length, F.lit(False))
     )
 
 
-def outbound_status(text: Column, tone: Column | str = "clear") -> Column:
+def outbound_status(text: Column, tone: Column | str = "clear", max_length: int = OUTBOUND_MAX_LENGTH) -> Column:
     """``ok``, or why the text cannot be sent."""
     tone_col = tone if isinstance(tone, Column) else F.lit(tone)
     return (
         F.when(~F.coalesce(tone_col.isin(OUTBOUND_TONES), F.lit(False)), F.lit("unsupported_tone"))
-        .when(~outbound_valid(text, tone_col), F.lit("invalid_length"))
+        .when(~outbound_valid(text, tone_col, max_length), F.lit("invalid_length"))
         .otherwise(F.lit("ok"))
     )
 
@@ -78,18 +78,20 @@ def mask(
     text_col: str = "text",
     policy: Policy | None = None,
     seed: int = 0,
+    external_col: str | None = None,
 ) -> DataFrame:
     """Detect, then mask with the given settings or those of the policy."""
     if config is None:
         config = (policy or Policy()).default_masking_config()
-    return _with_masked(detect(df, text_col), text_col, config, seed, disjoint=True)
+    found = detect(df, text_col, external_col=external_col)
+    return _with_masked(found, text_col, config, seed, disjoint=True)
 
 
 def mask_uniform(
-    df: DataFrame, mask_type: str = "partial", text_col: str = "text", seed: int = 0
+    df: DataFrame, mask_type: str = "partial", text_col: str = "text", seed: int = 0, external_col: str | None = None
 ) -> DataFrame:
     """Detect, then mask every type with one strategy."""
-    return mask(df, {"DEFAULT": {"mask_type": mask_type}}, text_col, seed=seed)
+    return mask(df, {"DEFAULT": {"mask_type": mask_type}}, text_col, seed=seed, external_col=external_col)
 
 
 def mask_provided(
@@ -175,13 +177,14 @@ def prepare_outbound(
     policy: Policy | None = None,
     text_col: str = "text",
     tone: Column | str = "clear",
+    max_length: int = OUTBOUND_MAX_LENGTH,
 ) -> DataFrame:
     """Text that may leave: every span redacted, nothing at all for blocked or invalid rows.
 
     ``status`` is ok, blocked, unsupported_tone or invalid_length.
     """
     text, entities = F.col(text_col), F.col("entities")
-    checked = df.withColumn("status", outbound_status(text, tone))
+    checked = df.withColumn("status", outbound_status(text, tone, max_length))
     decided = evaluate_policy(detect(checked, text_col), policy)
     status = F.when(
         (F.col("status") == "ok") & (F.col("decision.action") == "block"), F.lit("blocked")

@@ -18,10 +18,6 @@ UNKNOWN_TYPE_SIMILARITY = 0.5
 MIN_NER_EXAMPLES = 50
 # --- end of fixed values
 
-# Prototype sets are configuration (a few dozen vectors). Above this many rows they are joined
-# without a broadcast.
-MAX_BROADCAST_PROTOTYPES = 10_000
-
 
 def semantic_scores(spans: DataFrame, prototypes: DataFrame) -> DataFrame:
     """Add pattern_similarity and context_similarity to spans with two embedding columns.
@@ -37,9 +33,6 @@ def semantic_scores(spans: DataFrame, prototypes: DataFrame) -> DataFrame:
         .agg(F.collect_list("v").alias("__patterns"))
     )
     contexts = vectors.filter(F.col("kind") == "context").agg(F.collect_list("v")).scalar()
-    # Counting the configuration table decides how it may be joined.
-    if prototypes.limit(MAX_BROADCAST_PROTOTYPES + 1).count() <= MAX_BROADCAST_PROTOTYPES:
-        patterns = F.broadcast(patterns)
     joined = spans.join(patterns, "entity_type", "left").withColumn("__contexts", contexts)
     return joined.select(
         *spans.columns,

@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Keys outside the HOT_KEYS most frequent ones hold less than 1/HOT_KEYS of the rows each, so
-# only these can be hot. The list is HOT_KEYS small rows at most, whatever the data: it may be
-# broadcast.
-HOT_KEYS = 1000
+# At most one key in so many rows is hot, and how their list is joined is left to the optimizer.
 ROWS_PER_SLICE = 1_000_000
 
 
 def hot_keys(counts: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """(key, slices) of keys with more rows than one task should take.
+    """(key, slices) of all keys with more rows than one task should take.
 
-    ``counts`` is (key, n) with one row per key. Ties are broken by key, so both sides of a join see
-    the same list.
+    ``counts`` is (key, n) with one row per key.
     """
-    return (
-        counts.filter(F.col("n") > rows_per_slice)
-        .orderBy(F.desc("n"), key)
-        .limit(HOT_KEYS)
-        .select(key, F.ceil(F.col("n") / rows_per_slice).cast("int").alias("__slices"))
+    return counts.filter(F.col("n") > rows_per_slice).select(
+        key, F.ceil(F.col("n") / rows_per_slice).cast("int").alias("__slices")
     )
 
 
@@ -41,7 +34,7 @@ def join_unique(
     usual. Every row is joined exactly once.
     """
     counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    hot = F.broadcast(hot_keys(counts, key, rows_per_slice))
+    hot = hot_keys(counts, key, rows_per_slice)
     sliced = rows.join(hot, key, "left").withColumn(
         "__slice", F.pmod(F.xxhash64(*row_id), F.coalesce("__slices", F.lit(1))).cast("int")
     )

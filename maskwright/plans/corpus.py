@@ -41,19 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): one templated text per customer."""
-    customers = spread(table(spark, sf_dir, "customer").select("c_custkey"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
     return spark.sql(CORPUS_SQL, customer=customers)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table arrives in far fewer pieces than there are cores.
-
-    Large tables already come in many pieces and are left alone, so this never shuffles them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with an instant ``ts`` (the file holds it without a zone; it is UTC)."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

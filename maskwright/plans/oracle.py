@@ -117,6 +117,19 @@ def mask_sql(kind: str, txt: str = "txt", typ: str = "typ", char: str = "'*'", s
         return f"'[HASH_' || upper(left(sha256({txt} || '{salt}'), 8)) || ']'"
     if kind == "redact":
         return f"'[REDACTED_' || {typ} || ']'"
+    if kind == "synthetic":
+        draw = lambda n: f"('0x' || left(md5({txt} || ':0:{n}'), 15))::bigint"
+        pick = lambda choices, n: f"list_extract({choices}, 1 + ({draw(n)} % {len(choices)})::int)"
+        between = lambda n, low, high: f"({draw(n)} % {high - low + 1} + {low})::varchar"
+        letters = " || ".join(pick(list(masking.LETTERS), n) for n in range(11, 19))
+        return (
+            f"case {typ} when 'EMAIL' then {letters} || '@' || {pick(masking.SYNTHETIC_EMAIL_DOMAINS, 0)} "
+            f"when 'PHONE_NUMBER' then '555-' || {between(1, 100, 999)} || '-' || {between(2, 1000, 9999)} "
+            f"when 'PERSON' then {pick(masking.SYNTHETIC_FIRST_NAMES, 1)} || ' ' || {pick(masking.SYNTHETIC_LAST_NAMES, 2)} "
+            f"when 'IP_ADDRESS' then '192.168.' || {between(1, 1, 255)} || '.' || {between(2, 1, 255)} "
+            f"when 'CREDIT_CARD' then '{masking.SYNTHETIC_CREDIT_CARD}' when 'US_SSN' then '{masking.SYNTHETIC_SSN}' "
+            f"else '[SYNTHETIC_' || {typ} || ']' end"
+        )
     raise ValueError(kind)
 
 

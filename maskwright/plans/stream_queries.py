@@ -15,7 +15,7 @@ from maskwright.streaming import jobs
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return jobs.read_stream(spark, sf_dir, table(spark, sf_dir, name).schema, f"{name}.parquet")
+    return jobs.read_stream(spark, f"{sf_dir}/{name}.parquet*", table(spark, sf_dir, name).schema)
 
 
 def _events(spark, sf_dir) -> DataFrame:

@@ -11,7 +11,7 @@ from maskwright.functions import calibration as cal, protect, redaction, spans
 from maskwright.operators import access, batch, detect as detection, external, metrics, payload, sanitize as sanitizing, semantic
 from maskwright.plans import oracle as o
 from maskwright.plans.catalog import query
-from maskwright.plans.corpus import corpus, events, spread, table
+from maskwright.plans.corpus import corpus, events, table
 from maskwright.sources import audit, texts as text_io
 from maskwright.sources.folders import new_folder
 
@@ -23,6 +23,9 @@ _PAYLOAD = """case doc_id % 4 when 0 then '{"model":"m1","temperature":0.50,"mes
   when 1 then '{"content":["' || text || '",null,true],"max_tokens":100,"system":"' || text || '"}'
   when 2 then '[{"text":"' || text || '"},{"contents":"hello ' || text || '","text":["' || text || '"]}]'
   else '{"prompt":"' || text || '"}' end"""
+# Some bodies are no JSON: a repeated key, a broken end, nothing at all.
+_BROKEN = """case doc_id % 11 when 3 then '{"prompt":"' || text || '","prompt":"' || text || '"}' when 5 then '{"prompt":"' || text when 7 then null else payload end"""
+_INVALID_SQL = "b.doc_id % 11 in (3, 5, 7)"
 _TARGETS = """select doc_id, case doc_id % 5 when 0 then 'https://api.openai.com/v1/x/' when 1 then 'https://api.anthropic.com/v1/y/'
  when 2 then 'https://generativelanguage.googleapis.com/z/' when 3 then 'http://proxy/?u=https://api.openai.com' else 'https://other.example/' end || doc_id as url from ({corpus})"""
 _BODIES_SQL = f"select doc_id, text, {_SERVICE} as service, {_PAYLOAD} as payload from ({o.CORPUS})"
@@ -81,13 +84,13 @@ _REBUILT_SQL = """case service when 'openai' then '{"model":"m1","temperature":'
 
 @query(
     "sanitize_payloads",
-    f"with {_body_ctes("out.action = 'mask'")} select b.doc_id, b.service, case when coalesce(blocked, false) then 'blocked' else 'ok' end as status, "
-    f"case when coalesce(blocked, false) then null else {_REBUILT_SQL} end as sanitized_payload, "
-    "coalesce(case when blocked then first_blocked_n else n end, 0)::int as detected_entities, (not coalesce(blocked, false) and coalesce(n, 0) > 0) as sanitization_applied "
+    f"with {_body_ctes("out.action = 'mask'")} select b.doc_id, b.service, case when {_INVALID_SQL} then 'invalid' when coalesce(blocked, false) then 'blocked' else 'ok' end as status, "
+    f"case when {_INVALID_SQL} or coalesce(blocked, false) then null else {_REBUILT_SQL} end as sanitized_payload, "
+    f"case when {_INVALID_SQL} then 0 else coalesce(case when blocked then first_blocked_n else n end, 0)::int end as detected_entities, (not {_INVALID_SQL} and not coalesce(blocked, false) and coalesce(n, 0) > 0) as sanitization_applied "
     f"from ({_BODIES_SQL}) b left join per on per.doc_id = b.doc_id",
 )
 def sanitize_payloads(spark, sf_dir):
-    return payload.sanitize_payload(bodies(spark, sf_dir)).select(
+    return payload.sanitize_payload(bodies(spark, sf_dir).withColumn("payload", F.expr(_BROKEN))).select(
         "doc_id", "service", "status", "sanitized_payload", F.size("detected_entities").alias("detected_entities"), "sanitization_applied"
     )
 
@@ -109,11 +112,11 @@ _RESPONSE_SRC = (
     "sanitize_responses",
     f"with {o.sanitize_ctes(_RESPONSE_SRC)}, rep as (select id // 10 as doc_id, id % 10 as ord, case when action in ('block', 'mask') "
     "then masked else text end as r, action, n from out), per as (select doc_id, max(case when ord = 1 then r end) as r1, max(case when ord = 2 then r end) as r2 from rep group by doc_id) "
-    f"select b.doc_id, b.service, {_RESPONSE_REBUILT} as sanitized_payload from ({_RESPONSES_SQL}) b join per on per.doc_id = b.doc_id",
+    f"select b.doc_id, b.service, case when {_INVALID_SQL} then 'invalid' else 'ok' end as status, case when not {_INVALID_SQL} then {_RESPONSE_REBUILT} end as sanitized_payload from ({_RESPONSES_SQL}) b join per on per.doc_id = b.doc_id",
 )
 def sanitize_responses(spark, sf_dir):
-    responses = bodies(spark, sf_dir).withColumn("payload", F.expr(_RESPONSE))
-    return payload.sanitize_response(responses).select("doc_id", "service", "sanitized_payload")
+    responses = bodies(spark, sf_dir).withColumn("payload", F.expr(_RESPONSE)).withColumn("payload", F.expr(_BROKEN))
+    return payload.sanitize_response(responses).select("doc_id", "service", "status", "sanitized_payload")
 
 
 _TURN_TEXT = "text || case when conv_id % 5 = 0 and turn = 1 then ' my card 4532-1234-5678-9012' when conv_id % 3 = 0 then ' mail me at a' || conv_id || '@x.org' else '' end"
@@ -121,7 +124,7 @@ _TURN_TEXT = "text || case when conv_id % 5 = 0 and turn = 1 then ' my card 4532
 
 def _conversations(spark, sf_dir, marked: bool) -> DataFrame:
     text = F.expr(_TURN_TEXT) if marked else F.col("text")
-    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
 
 
 def _summary_sql(text: str) -> str:
@@ -168,17 +171,26 @@ def explode_requests(spark, sf_dir):
     return batch.explode_requests(requests)
 
 
+def _with_failing(spark, sf_dir, name: str) -> DataFrame:
+    """All documents, and a row without text for each benchmark item."""
+    failing = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.lit("src0").alias(name))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias(name), "text").unionByName(
+        failing.withColumn("text", F.lit(None).cast("string"))
+    )
+
+
+_FAILING_SRC = f"{o.DOCUMENTS_SRC} union all select -1 - item_id, null from benchmark"
+
+
 @query(
     "batch_summary",
-    f"with {o.detection_ctes(o.DOCUMENTS_SRC)} select source as request_id, count(*) as total_texts_processed, "
-    "sum(case when d.doc_id % 50 = 0 then 0 else n end)::bigint as total_entities_detected, count(*) filter (high and d.doc_id % 50 <> 0) as high_risk_texts, "
-    "count(*) filter (d.doc_id % 50 = 0) as failed_texts, ceil(count(*) / 10.0)::bigint as batches_processed, "
-    "count(*)::double / ceil(count(*) / 10.0)::double as average_batch_size from doc join documents d on d.doc_id = doc.id group by source",
+    f"with {o.detection_ctes(_FAILING_SRC)}, q as (select coalesce(d.source, 'src0') as source, n, high, d.doc_id is null as failed from doc left join documents d on d.doc_id = doc.id) "
+    "select source as request_id, count(*) as total_texts_processed, sum(n)::bigint as total_entities_detected, count(*) filter (high) as high_risk_texts, "
+    "count(*) filter (failed) as failed_texts, ceil(count(*) / 10.0)::bigint as batches_processed, "
+    "count(*)::double / ceil(count(*) / 10.0)::double as average_batch_size from q group by source",
 )
 def batch_summary(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("request_id"), "text"))
-    failing = df.withColumn("text", F.when(F.col("doc_id") % 50 != 0, F.col("text")))
-    return batch.batch_summary(failing)
+    return batch.batch_summary(_with_failing(spark, sf_dir, "request_id"))
 
 
 _REUSE_SQL = """with recursive t as (select event_type as key, epoch_us(ts) as t from events),
@@ -205,11 +217,10 @@ def reuse_accounting_split(spark, sf_dir):
 
 @query(
     "detect_distinct",
-    f"with {o.detection_ctes(o.DOCUMENTS_SRC)} select id as doc_id, n as total_entities, risk as risk_score, high as has_high_risk_pii from doc",
+    f"with {o.detection_ctes(_FAILING_SRC)} select id as doc_id, n as total_entities, risk as risk_score, high as has_high_risk_pii from doc",
 )
 def detect_distinct(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return batch.detect_distinct(df, ["doc_id"]).select(
+    return batch.detect_distinct(_with_failing(spark, sf_dir, "source"), ["doc_id"]).select(
         "doc_id", F.size("entities").alias("total_entities"), "risk_score", "has_high_risk_pii"
     )
 
@@ -332,12 +343,14 @@ _START, _END = datetime(2024, 1, 8), datetime(2024, 1, 15, 12)
 _RANGE_SQL = "ts between timestamp '2024-01-08 00:00:00' and timestamp '2024-01-15 12:00:00'"
 
 
-@query(
-    "detection_report",
+_REPORT_SQL = (
     f"with e as (select user_id % 7 as b, value / 500 as risk from events where {_RANGE_SQL}) "
     "select 'total_detections' as metric, null::int as bucket, round(count(*)::double, 9) as value from e union all select 'average_risk_score', null, round(avg(risk), 9) from e "
-    "union all select 'total_documents', null, count(*)::double from e union all select 'entities_distribution', b::int, n::double from (select b, count(*) as n from e group by b order by n desc, b limit 10)",
+    "union all select 'total_documents', null, count(*)::double from e union all select 'entities_distribution', b::int, n::double from (select b, count(*) as n from e group by b)"
 )
+
+
+@query("detection_report", _REPORT_SQL)
 def detection_report(spark, sf_dir):
     all_events = audit.union_events(request_events(spark, sf_dir, "detection"), request_events(spark, sf_dir, "sanitization"))
     return audit.detection_report(all_events, _START, _END).withColumn("value", F.round("value", 9))
@@ -346,7 +359,7 @@ def detection_report(spark, sf_dir):
 @query(
     "blocked_report",
     "select strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as at, 'blocked for ' || user_id as reason, case user_id % 3 when 0 then 'admin' when 1 then 'user' else 'analyst' end as user_role, "
-    f"value / 500 as risk_score, (user_id % 7)::int as entities_detected from events where event_type = 'error' and {_RANGE_SQL} order by ts, event_id limit 1000",
+    f"value / 500 as risk_score, (user_id % 7)::int as entities_detected from events where event_type = 'error' and {_RANGE_SQL}",
 )
 def blocked_report(spark, sf_dir):
     all_events = audit.union_events(request_events(spark, sf_dir, "sanitization"), request_events(spark, sf_dir, "response"))
@@ -401,15 +414,14 @@ def write_masked(spark, sf_dir):
 
 @query(
     "write_report",
-    f"with e as (select user_id % 7 as b from events where {_RANGE_SQL}) "
-    "select 'entities_distribution' as metric, b::int as bucket, count(*)::double as value from e group by b",
+    _REPORT_SQL,
 )
 def write_report(spark, sf_dir):
-    """A report written as JSON and read back: its distribution rows."""
+    """A report written as JSON and read back."""
     path = new_folder(spark, "report")
     text_io.write_report(audit.detection_report(request_events(spark, sf_dir, "detection"), _START, _END), f"{path}/out")
     back = spark.read.schema("metric string, bucket int, value double").json(f"{path}/out")
-    return back.filter("bucket is not null")
+    return back.withColumn("value", F.round("value", 9))
 
 
 # --- metrics
@@ -477,7 +489,7 @@ def masking_duration_histogram(spark, sf_dir):
 
 
 def _detected_documents(spark, sf_dir) -> DataFrame:
-    return detection.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return detection.detect(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 @query(
@@ -501,7 +513,7 @@ def confidence_histogram(spark, sf_dir):
     f"with {o.detection_ctes(o.DOCUMENTS_SRC)} select case when typ in ('EMAIL', 'PHONE_NUMBER') then 'partial' else 'full' end as mask_type, typ as entity_type, count(*) as value from ent group by 1, 2",
 )
 def mask_counter(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     return metrics.masking_counter(sanitizing.mask(df))
 
 
@@ -753,19 +765,17 @@ _KEY = "0123456789abcdef0123456789abcdef"
     "(select id, string_agg(txt || '/' || context, '|' order by ord) as l from ent group by id) q on q.id = doc.id",
 )
 def encrypt_roundtrip(spark, sf_dir):
-    found = detection.detect(corpus(spark, sf_dir)).select(
-        "doc_id", F.col("text").alias("original_text"), F.col("entities").alias("detected_entities"), F.col("text").alias("plain")
-    )
+    found = detection.detect(corpus(spark, sf_dir)).withColumn("plain", F.col("text"))
     key = F.lit(_KEY)
     hidden = protect.encrypt_findings(found, key)
     hidden = hidden.withColumn(
         "all_hidden",
-        (F.col("original_text") != F.col("plain"))
-        & ~F.exists("detected_entities", lambda e: F.contains(F.col("plain"), e["text"])),
+        (F.col("text") != F.col("plain"))
+        & ~F.exists("entities", lambda e: F.contains(F.col("plain"), e["text"])),
     )
     shown = protect.decrypt_findings(hidden, key)
-    quoted = F.array_join(F.transform("detected_entities", lambda e: F.concat(e["text"], F.lit("/"), e["context"])), "|")
-    return shown.select("doc_id", "original_text", quoted.alias("quoted"), "all_hidden")
+    quoted = F.array_join(F.transform("entities", lambda e: F.concat(e["text"], F.lit("/"), e["context"])), "|")
+    return shown.select("doc_id", F.col("text").alias("original_text"), quoted.alias("quoted"), "all_hidden")
 
 
 def _redact_sql(text: str) -> str:
@@ -781,7 +791,7 @@ def redact_strings(spark, sf_dir):
 
 @query("redact_documents", f"select doc_id, {_redact_sql('text')} as redacted from documents")
 def redact_documents(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     return df.select("doc_id", redaction.redact_string(F.col("text")).alias("redacted"))
 
 
@@ -923,14 +933,14 @@ def calibration_features(spark, sf_dir):
     f"with {_features_sql(o.DOCUMENTS_SRC)} select id as doc_id, ord - 1 as ord, round(1 / (1 + exp(-5 * (({_SCORE_SQL}) - 0.5::double))), 9) as calibrated_confidence from feat",
 )
 def calibrate(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = semantic.calibrate(semantic.span_features(detection.detect(df)))
     return out.select("doc_id", "ord", F.round("calibrated_confidence", 9).alias("calibrated_confidence"))
 
 
 def calibration_samples(spark, sf_dir) -> DataFrame:
     """Spans of all documents, labelled by the document's quality."""
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     features = semantic.span_features(detection.detect(df)).select("doc_id", "features")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
     return features.join(labels, "doc_id")
@@ -964,7 +974,7 @@ hit as (select ent.id, ent.ord, arg_min(sentence, k) as sentence from ent join p
 select ent.id as doc_id, (ent.ord - 1)::int as ord, coalesce(hit.sentence, ent.context) as sentence, ent.s / length(src.text)::double as position_ratio from ent join src on src.id = ent.id left join hit on hit.id = ent.id and hit.ord = ent.ord""",
 )
 def sentence_context(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = detection.detect(df).select("doc_id", "text", F.posexplode("entities").alias("ord", "e"))
     text, start, end = F.col("text"), F.col("e.start"), F.col("e.end")
     return rows.select(

@@ -10,7 +10,7 @@ from maskwright.functions.policy import Policy
 from maskwright.operators import detect as detection, policies as policy_tables, sanitize as sanitizing
 from maskwright.plans import oracle as o
 from maskwright.plans.catalog import query
-from maskwright.plans.corpus import corpus, spread, table
+from maskwright.plans.corpus import corpus, table
 
 
 def entity_rows(df: DataFrame, key: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _entity_sql(src: str, key: str) -> str:
     "risk as risk_score, high as has_high_risk_pii, n as total_entities, blocked_reason from out",
 )
 def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sanitizing.sanitize(df).select(
         "doc_id", "action_taken", "sanitized_text", "risk_score", "has_high_risk_pii",
         F.size("entities").alias("total_entities"), "blocked_reason",
@@ -51,19 +51,19 @@ def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("detect_documents", _entity_sql(o.DOCUMENTS_SRC, "doc_id"))
 def detect_documents(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     return entity_rows(detection.detect(df), "doc_id")
 
 
 @query("detect_pages", _entity_sql(o.PAGES_SRC, "page_id"))
 def detect_pages(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
+    df = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
     return entity_rows(detection.detect(df), "page_id")
 
 
 @query("detect_urls", _entity_sql(o.URLS_SRC, "page_id"))
 def detect_urls(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text")))
+    df = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text"))
     return entity_rows(detection.detect(df), "page_id")
 
 
@@ -137,7 +137,7 @@ def context_flags(spark, sf_dir):
         spans.has_context(F.col("text"), t).alias(f"has_{t.lower()}")
         for t in [*registry.CONTEXT_KEYWORDS, "URL"]
     ]
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *flags)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").select("doc_id", *flags)
 
 
 @query(
@@ -185,7 +185,7 @@ def risk_indicator(spark, sf_dir):
     "count(*) filter (high) as high_risk_texts from doc join documents d on d.doc_id = doc.id group by source",
 )
 def high_risk_filter(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return (
         detection.detect(df)
         .groupBy("source")
@@ -202,20 +202,21 @@ _TONE = "case doc_id % 4 when 0 then 'clear' when 1 then 'professional' when 2 t
     "when trim(text) = '' or length(text) > 10000 then 'invalid_length' else 'ok' end as status from documents",
 )
 def outbound_valid(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     tone = F.expr(_TONE)
     return df.select("doc_id", tone.alias("tone"), sanitizing.outbound_status(F.col("text"), tone).alias("status"))
 
 
-_BLANKED = "case when doc_id % 7 = 0 then '  ' when doc_id % 7 = 1 then '' else text end"
+_BLANKS = "select -1 - doc_id as doc_id, case doc_id % 3 when 0 then '  ' when 1 then '' end as text from"
 
 
 @query(
     "reject_blank",
-    f"select doc_id, text from (select doc_id, {_BLANKED} as text from ({o.CORPUS})) where trim(text) <> ''",
+    f"select doc_id, text from (select doc_id, text from ({o.CORPUS}) union all {_BLANKS} ({o.CORPUS})) where trim(text) <> ''",
 )
 def reject_blank(spark, sf_dir):
-    return sanitizing.reject_blank(corpus(spark, sf_dir).select("doc_id", F.expr(_BLANKED).alias("text")))
+    texts = corpus(spark, sf_dir).select("doc_id", "text")
+    return sanitizing.reject_blank(texts.unionByName(spark.sql(f"{_BLANKS} {{texts}}", texts=texts)))
 
 
 @query(
@@ -279,37 +280,47 @@ def resolve_external(spark, sf_dir):
 # --- masking
 
 
-def _mask_sql(kind: str) -> str:
+def _mask_sql(kind: str, source: str) -> str:
     return (
-        f"with {o.detection_ctes(o.CORPUS_SRC)}, {o.spliced_cte('spl', o.mask_sql(kind))} "
+        f"with {o.detection_ctes(source)}, {o.spliced_cte('spl', o.mask_sql(kind))} "
         "select id as doc_id, masked as masked_text from spl"
     )
 
 
-def _mask_query(kind: str):
+def _mask_query(kind: str, texts):
     def run(spark, sf_dir):
-        return sanitizing.mask_uniform(corpus(spark, sf_dir), kind).select("doc_id", "masked_text")
+        return sanitizing.mask_uniform(texts(spark, sf_dir), kind).select("doc_id", "masked_text")
 
     return run
 
 
-for _kind in ("full", "partial", "hash", "redact"):
-    query(f"mask_{_kind}", _mask_sql(_kind))(_mask_query(_kind))
-# Synthetic values are drawn from a hash only Spark has: rows are checked by shape in the tests.
-query("mask_synthetic", None)(_mask_query("synthetic"))
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+for _kind in ("full", "partial", "hash", "redact", "synthetic"):
+    query(f"mask_{_kind}", _mask_sql(_kind, o.CORPUS_SRC))(_mask_query(_kind, corpus))
+    query(f"mask_{_kind}_documents", _mask_sql(_kind, o.DOCUMENTS_SRC))(_mask_query(_kind, _documents))
 
 
 @query(
-    "mask_synthetic_constants",
-    f"with {o.detection_ctes(o.CORPUS_SRC)}, {o.spliced_cte('spl', '''case typ when 'CREDIT_CARD' then '4000-1234-5678-9012' when 'US_SSN' then '000-12-3456' else '[SYNTHETIC_' || typ || ']' end''')} "
-    "select id as doc_id, masked as masked_text from spl where id not in (select id from ent where typ in ('EMAIL', 'PHONE_NUMBER', 'IP_ADDRESS', 'PERSON'))",
+    "mask_synthetic_persons",
+    f"with {o.detection_ctes(o.CORPUS_SRC, external=_EXTERNAL_CTE)}, {o.spliced_cte('spl', o.mask_sql('synthetic'))} "
+    "select id as doc_id, masked as masked_text from spl",
 )
+def mask_synthetic_persons(spark, sf_dir):
+    """Synthetic masking with spans from outside, which are the only source of names."""
+    from maskwright.operators.external import external_spans
+
+    joined = external_spans(corpus(spark, sf_dir), external_rows(spark, sf_dir), "doc_id")
+    return sanitizing.mask_uniform(joined, "synthetic", external_col="external_spans").select("doc_id", "masked_text")
+
+
+@query("mask_synthetic_constants", _mask_sql("synthetic", o.PAGES_SRC))
 def mask_synthetic_constants(spark, sf_dir):
-    """Synthetic masking of the types whose stand-in is a fixed text."""
-    random_types = ["EMAIL", "PHONE_NUMBER", "IP_ADDRESS", "PERSON"]
-    masked = sanitizing.mask_uniform(corpus(spark, sf_dir), "synthetic")
-    drawn = F.exists("entities", lambda e: e["entity_type"].isin(random_types))
-    return masked.filter(~drawn).select("doc_id", "masked_text")
+    """Synthetic masking of pages, most of whose types have a fixed stand-in."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return sanitizing.mask_uniform(pages, "synthetic").select("doc_id", "masked_text")
 
 
 _DEFAULT_CHOICE = (
@@ -564,7 +575,7 @@ def sanitize_corpus(spark, sf_dir):
 
 @query("sanitize_pages", _sanitize_sql(o.PAGES_SRC, "page_id"))
 def sanitize_pages(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
+    df = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
     return sanitizing.sanitize(df).select("page_id", "action_taken", "sanitized_text", "blocked_reason")
 
 
@@ -598,7 +609,7 @@ def _outbound(df: DataFrame) -> DataFrame:
 
 @query("outbound_ready", _outbound_sql(o.DOCUMENTS_SRC))
 def outbound_ready(spark, sf_dir):
-    return _outbound(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return _outbound(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("outbound_corpus", _outbound_sql(o.CORPUS_SRC))
@@ -612,5 +623,5 @@ def outbound_corpus(spark, sf_dir):
     "from spl join doc on doc.id = spl.id",
 )
 def output_scan(spark, sf_dir):
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sanitizing.scan_output(df).select("doc_id", "redacted_text", F.size("entities").alias("total_entities"))

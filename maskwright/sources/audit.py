@@ -38,8 +38,6 @@ EVENT_KINDS = {
 }
 EVENT_TYPES = [*EVENT_KINDS, "policy_update"]
 DEFAULT_REPORT_DAYS = 7
-DISTRIBUTION_SIZE = 10
-BLOCKED_REPORT_SIZE = 1000
 # --- end of fixed values
 
 IDENTITY = ["session_id", "user_id", "client_ip", "request_id"]
@@ -107,15 +105,22 @@ def write_audit(events: DataFrame, path: str) -> None:
     ).json(path)
 
 
+def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+    """One micro-batch's events, by day and then by batch, so that reports list only the days they need."""
+    numbered = batch.withColumn("batch_id", F.lit(batch_id))
+    writer = numbered.write.partitionBy("event_date", "batch_id").mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def bulk_audit_sink(path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer into a partitioned parquet audit table.
 
-    Each micro-batch replaces its own folder, so a batch that is run again after a failure does
+    Each micro-batch replaces its own folders, so a batch that is run again after a failure does
     not write its events twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.partitionBy("event_date").mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        write_batch(batch, path, batch_id)
 
     return write
 
@@ -136,10 +141,11 @@ def default_range(now: datetime) -> tuple[datetime, datetime]:
     return now - timedelta(days=DEFAULT_REPORT_DAYS), now
 
 
-def detection_report(events: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """(metric, bucket, value): totals, average risk and the ten most frequent entity counts.
+def detection_report(events: DataFrame, start: datetime, end: datetime, size: int | None = None) -> DataFrame:
+    """(metric, bucket, value): totals, average risk and the frequencies of entity counts.
 
-    Both range ends count. Equal frequencies are listed by ascending bucket.
+    Both range ends count. ``size`` asks for the most frequent counts only; of equal frequencies the
+    smaller count comes first.
     """
     found = _in_range(events.filter(F.col("event_type") == "detection"), start, end)
     buckets = found.groupBy("entities_detected").agg(
@@ -167,30 +173,28 @@ def detection_report(events: DataFrame, start: datetime, end: datetime) -> DataF
             )
         )
     )
-    top = (
-        buckets.filter(F.col("entities_detected").isNotNull())
-        .orderBy(F.desc("n"), "entities_detected")
-        .limit(DISTRIBUTION_SIZE)
-        .select(
-            F.lit("entities_distribution").alias("metric"),
-            F.col("entities_detected").alias("bucket"),
-            F.col("n").cast("double").alias("value"),
-        )
+    known = buckets.filter(F.col("entities_detected").isNotNull())
+    if size is not None:
+        known = known.orderBy(F.desc("n"), "entities_detected").limit(size)
+    top = known.select(
+        F.lit("entities_distribution").alias("metric"),
+        F.col("entities_detected").alias("bucket"),
+        F.col("n").cast("double").alias("value"),
     )
     return lines.unionByName(top)
 
 
 def blocked_report(
-    events: DataFrame, start: datetime, end: datetime, size: int = BLOCKED_REPORT_SIZE
+    events: DataFrame, start: datetime, end: datetime, size: int | None = None
 ) -> DataFrame:
-    """The first ``size`` blocked sanitization events by time."""
+    """Blocked sanitization events by time: all, or the first ``size``."""
     blocked = events.filter((F.col("event_type") == "sanitization") & (F.col("action_taken") == "block"))
-    return (
+    rows = (
         _in_range(blocked, start, end)
         .select(
             "timestamp", F.col("blocked_reason").alias("reason"), "user_role", "risk_score",
             "entities_detected", "event_id",
         )
         .orderBy("timestamp", "event_id")
-        .limit(size)
     )
+    return rows if size is None else rows.limit(size)

@@ -18,14 +18,14 @@ from maskwright.functions.policy import Policy
 from maskwright.operators import batch, metrics
 from maskwright.operators.detect import detect
 from maskwright.operators.sanitize import sanitize
-from maskwright.sources.audit import audit_events, bulk_audit_sink, json_rows
+from maskwright.sources.audit import audit_events, bulk_audit_sink, json_rows, write_batch
 
 WATERMARK = "1 hour"
 
 
-def read_stream(spark: SparkSession, path: str, schema, files: str = "*", per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream; ``files`` is a file name pattern."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+def read_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
+    """Parquet files as a stream; ``path`` may hold wild cards and name files or folders."""
+    reader = spark.readStream.schema(schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     return reader.parquet(path)
@@ -82,7 +82,7 @@ def start_sanitize(
         rows.write.mode("overwrite").parquet(target)
         written = rows.sparkSession.read.schema(rows.schema).parquet(target)
         events = audit_events(written, "sanitization")
-        events.write.mode("overwrite").partitionBy("event_date").parquet(batch_folder(audit_path, batch_id))
+        write_batch(events, audit_path, batch_id)
 
     return _start(out, checkpoint, write)
 
@@ -109,9 +109,11 @@ def start_bulk_audit(events: DataFrame, path: str, checkpoint: str) -> Streaming
     return _start(events, checkpoint, bulk_audit_sink(path))
 
 
-def windowed_counter(df: DataFrame, labels: list[str], ts: str = "ts", every: str = "1 hour") -> DataFrame:
+def windowed_counter(
+    df: DataFrame, labels: list[str], ts: str = "ts", every: str = "1 hour", watermark: str = WATERMARK
+) -> DataFrame:
     """Counts per time window and labels; on a stream, with a watermark."""
-    source = df.withWatermark(ts, WATERMARK) if df.isStreaming else df
+    source = df.withWatermark(ts, watermark) if df.isStreaming else df
     return (
         source.groupBy(F.window(ts, every).alias("window"), *labels)
         .agg(F.count("*").alias("value"))
@@ -136,9 +138,11 @@ def latest(changes: DataFrame, keys: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
-def blocked_alert_stream(df: DataFrame, is_blocked: Column, threshold: int = metrics.BLOCKED_ALERT_THRESHOLD) -> DataFrame:
+def blocked_alert_stream(
+    df: DataFrame, is_blocked: Column, threshold: int = metrics.BLOCKED_ALERT_THRESHOLD, watermark: str = WATERMARK
+) -> DataFrame:
     """Hours with too many blocked requests, as soon as they have them (``update`` mode)."""
-    return metrics.blocked_alerts(df.withWatermark("ts", WATERMARK), is_blocked, threshold)
+    return metrics.blocked_alerts(df.withWatermark("ts", watermark), is_blocked, threshold)
 
 
 def _previous(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
@@ -156,12 +160,13 @@ def start_alerts(
     duration: Column,
     rules: list[metrics.AlertRule] | None = None,
     every: str = "1 hour",
+    watermark: str = WATERMARK,
 ) -> StreamingQuery:
     """Alert changes from closed time windows; which alerts are active carries over batches.
 
     State is one row per rule. A window is judged once, when the watermark has passed its end.
     """
-    rates = metrics.windowed_rates(df.withWatermark("ts", WATERMARK), is_error, duration, every=every)
+    rates = metrics.windowed_rates(df.withWatermark("ts", watermark), is_error, duration, every=every)
 
     def write(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession

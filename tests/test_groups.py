@@ -8,8 +8,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as spark_entry
 from maskwright.operators import batch, metrics
-from maskwright.operators.skew import join_unique
+from maskwright.operators.skew import hot_keys, join_unique
 from maskwright.sources import audit
 from maskwright.streaming import jobs
 
@@ -75,6 +76,14 @@ def test_join_unique_splits_hot_keys(spark):
     assert joined.filter("(key is null or key = 'k5') and v is not null").count() == 0
 
 
+def test_join_unique_splits_any_number_of_hot_keys(spark):
+    rows = spark.range(60_000).select("id", F.pmod("id", F.lit(1500)).alias("key"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    assert hot_keys(counts, "key", 20).filter("__slices = 2").count() == 1500
+    joined = join_unique(rows, counts, "key", [F.col("id")], rows_per_slice=20)
+    assert joined.count() == 60_000 and joined.filter("n <> 40").count() == 0
+
+
 def test_detect_distinct_with_one_text_in_a_third_of_rows(spark):
     df = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, F.lit("mail a@b.co")).when(F.col("id") % 3 == 1, F.concat(F.lit("n "), F.col("id").cast("string"))).alias("text"))
     rows = batch.detect_distinct(df, ["id"]).collect()
@@ -147,7 +156,7 @@ def event_files(spark, tmp_path_factory):
 
 def test_streams_in_several_batches_equal_batch_results(spark, event_files, tmp_path):
     folder, df = event_files
-    stream = jobs.read_stream(spark, folder, df.schema, "*.parquet", per_trigger=1)
+    stream = jobs.read_stream(spark, f"{folder}/*.parquet", df.schema, per_trigger=1)
 
     counts = jobs.windowed_counter(stream, ["event_type"])
     jobs.start_changes(counts, f"{tmp_path}/c", f"{tmp_path}/c_cp").awaitTermination()
@@ -174,6 +183,17 @@ def test_streams_in_several_batches_equal_batch_results(spark, event_files, tmp_
     assert sorted(map(tuple, changes.collect())) == sorted(map(tuple, all_changes.select("rule", "window_start", "status").collect()))
 
 
+def test_stream_queries_read_files_and_folders(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/folder/events.parquet")
+    events.coalesce(1).write.parquet(f"{tmp_path}/one")
+    os.makedirs(f"{tmp_path}/file")
+    os.rename(glob.glob(f"{tmp_path}/one/part-*.parquet")[0], f"{tmp_path}/file/events.parquet")
+    for kind in ("folder", "file"):
+        found = spark_entry.queries()["stream_counters"](spark, f"{tmp_path}/{kind}")
+        assert found.agg(F.sum("value")).first()[0] == events.count()
+
+
 def test_stream_state_operators_keep_late_requests_as_hits(spark):
     before = spark.createDataFrame([("a", START)], "key string, since timestamp")
     rows = [("a", START - timedelta(minutes=5)), ("a", START + timedelta(minutes=1)), ("a", START + timedelta(minutes=40)), ("b", START)]

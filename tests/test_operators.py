@@ -2,16 +2,17 @@
 
 import json
 import re
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import calibration as cal, masking, protect, redaction, spans
 from maskwright.functions.policy import DEFAULT_DOCUMENT, Policy, fallback_document, load_policy
-from maskwright.operators import access, external, payload, policies, sanitize as sanitizing, semantic
+from maskwright.operators import access, batch, external, payload, policies, sanitize as sanitizing, semantic
 from maskwright.operators.detect import detect
 from maskwright.plans import corpus as corpora
-from maskwright.sources import texts as text_io
+from maskwright.sources import audit, texts as text_io
 
 SF = "/root/testdata/sf0.001"
 
@@ -119,7 +120,7 @@ def test_payload_edges(spark):
     assert rows[3]["status"] == "blocked" and rows[3]["sanitized_payload"] is None
     assert [e["entity_type"] for e in rows[3]["detected_entities"]] == ["US_SSN"]
     assert json.loads(rows[4]["sanitized_payload"]) == [{"content": "mail a@b.co"}, 5, "mail a@b.co"]
-    assert rows[5]["sanitized_payload"] == "not json" and rows[6]["sanitized_payload"] == cases[6][1]
+    assert (rows[5]["status"], rows[5]["sanitized_payload"]) == ("invalid", None) and rows[6]["sanitized_payload"] == cases[6][1]
     assert rows[7]["sanitized_payload"] == "{}"
     longer = spark.createDataFrame([("openai", '{"z":1,"prompt":"mail jane@b.co","input":["mail jane@b.co","k"]}')], "service string, payload string")
     assert payload.sanitize_payload(longer).first()["sanitized_payload"] == '{"z":1,"prompt":"mail j***@b.co","input":["mail j***@b.co","k"]}'
@@ -164,13 +165,49 @@ def test_access(spark):
 
 
 def test_encryption(spark):
-    df = detect(one(spark, original_text="mail a@b.co"), "original_text").withColumnRenamed("entities", "detected_entities")
+    df = detect(one(spark, text="mail a@b.co"))
     key = F.lit("0123456789abcdef")
     hidden = protect.encrypt_findings(df, key).cache()
     row = hidden.first()
-    assert row["original_text"] != "mail a@b.co" and row["detected_entities"][0]["text"] != "a@b.co"
-    assert row["detected_entities"][0]["entity_type"] == "EMAIL" and row["risk_score"] == df.first()["risk_score"]
+    assert row["text"] != "mail a@b.co" and row["entities"][0]["text"] != "a@b.co"
+    assert row["entities"][0]["entity_type"] == "EMAIL" and row["risk_score"] == df.first()["risk_score"]
     assert protect.decrypt_findings(hidden, key).drop("detection_metadata").first() == df.drop("detection_metadata").first()
+    with pytest.raises(ValueError):
+        protect.encrypt_findings(df.withColumnRenamed("entities", "found"), key)
+
+
+@pytest.mark.parametrize("body", ['{"prompt":"ssn 123-45-6789","prompt":"x"}', '{"prompt":"ssn 123-45-6789"', "ssn 123-45-6789", None])
+def test_bodies_that_do_not_parse_stay_inside(spark, body):
+    df = spark.createDataFrame([("openai", body)], "service string, payload string")
+    for found in (payload.sanitize_payload(df), payload.sanitize_response(df)):
+        row = found.first()
+        assert (row["status"], row["sanitized_payload"]) == ("invalid", None)
+
+
+def test_nested_maps_are_redacted(spark):
+    kind = "m map<string,int>, n map<string,array<string>>, p map<string,map<string,string>>, q array<struct<token:int,t:string>>"
+    row = ({"password": 123, "x": 1}, {"k": ["a@b.co"], "email": ["z"]}, {"o": {"secret": "s", "t": "call 555-123-4567"}}, [(5, "a@b.co")])
+    got = redaction.redact_fields(spark.createDataFrame([row], kind)).first()
+    assert got["m"] == {"password": None, "x": 1} and got["n"] == {"k": ["[EMAIL]"], "email": None}
+    assert got["p"] == {"o": {"secret": "[REDACTED]", "t": "call [PHONE]"}}
+    assert [tuple(x) for x in got["q"]] == [("[REDACTED]", "[EMAIL]")]
+
+
+def test_detect_distinct_equals_detect(spark):
+    df = spark.createDataFrame([(1, None), (2, "mail a@b.co"), (3, None), (4, "mail a@b.co"), (5, "")], "id int, text string")
+    columns = ["id", "entities", "risk_score", "has_high_risk_pii", "detection_metadata"]
+    want = sorted(map(str, detect(df).select(columns).collect()))
+    assert sorted(map(str, batch.detect_distinct(df, ["id"]).select(columns).collect())) == want
+
+
+def test_reports_are_whole_unless_asked(spark):
+    rows = [(f"e{i}", "sanitization", datetime(2024, 1, 2), date(2024, 1, 2), "block", "r", "user", 0.5, i) for i in range(1200)]
+    schema = "event_id string, event_type string, timestamp timestamp, event_date date, action_taken string, blocked_reason string, user_role string, risk_score double, entities_detected int"
+    df = spark.createDataFrame(rows, schema)
+    span = (datetime(2024, 1, 1), datetime(2024, 1, 3))
+    assert audit.blocked_report(df, *span).count() == 1200 and audit.blocked_report(df, *span, size=7).count() == 7
+    found = df.withColumn("event_type", F.lit("detection"))
+    assert audit.detection_report(found, *span).count() == 1203 and audit.detection_report(found, *span, size=10).count() == 13
 
 
 def test_log_redaction(spark):

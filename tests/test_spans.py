@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from maskwright.functions import masking, registry, scoring, spans
-from maskwright.functions.regex import jvm_regex
+from maskwright.functions.regex import jvm_regex, replacing
 from maskwright.operators.detect import detect
 from maskwright.operators.sanitize import mask_uniform, scan_output
 
@@ -194,3 +194,22 @@ def test_spelled_out_classes(spark, pattern):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = df.select("t", F.rlike("t", F.lit(jvm_regex(pattern))).alias("m")).collect()
     assert all(r["m"] == bool(re.search(pattern, r["t"])) for r in rows)
+
+
+def test_email_search_is_linear_and_equals_a_plain_search(spark):
+    draw = random.Random(3)
+    parts = ["a", "b.", "%", "2a", "@", "@b.co", "é", "-", " ", ".", "x@company.com", "\U0001f600", "_", "m", "|C", "@x.y.zz"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in registry.CUSTOM_PATTERNS["EMAIL"] + registry.BUSINESS_PATTERNS["BUSINESS_INTERNAL_EMAIL"]:
+        regex, before, match = replacing(pattern)
+        marked = F.regexp_replace("t", F.lit(regex), F.lit(f"{before}<{match}>"))
+        assert [r[0] for r in df.select(marked).collect()] == [re.sub(pattern, lambda m: f"<{m[0]}>", t) for t in texts]
+    long = spark.createDataFrame([("%2a" * 330_000 + " @",), ("%2a" * 330_000 + "@ ",)], "text string")
+    assert [len(r["entities"]) for r in detect(long).select("entities").collect()] == [0, 0]
+
+
+def test_spans_quote_the_original_text(spark):
+    own = [registry.Recognizer("TAG", "<[^>]+>")]
+    row = detect(spark.createDataFrame([("a <\ue000x> b <\ue001y>",)], "text string"), rows=own).first()
+    assert [e["text"] for e in row["entities"]] == ["<\ue000x>", "<\ue001y>"]
