@@ -73,9 +73,9 @@ def role_permissions(roles: DataFrame) -> DataFrame:
     ``inherits`` lists all ancestors. The role itself need not be active.
     """
     parents = roles.filter("is_active").select(F.col("role").alias("parent"), F.col("permissions").alias("given"))
+    named = roles.select("role", F.explode("inherits").alias("parent"))
     inherited = (
-        roles.select("role", F.explode("inherits").alias("parent"))
-        .join(parents, "parent")
+        join_unique(named, parents, "parent", [F.col("role")], "inner")
         .groupBy("role")
         .agg(F.array_distinct(F.flatten(F.collect_set("given"))).alias("inherited"))
     )
@@ -91,13 +91,13 @@ def role_permissions(roles: DataFrame) -> DataFrame:
 def with_permissions(users: DataFrame, roles: DataFrame) -> DataFrame:
     """Users with ``total_permissions``; inactive users have none.
 
-    The sets of a user's roles are joined as arrays: one row per user and role, at most.
+    The sets of a user's roles are joined as arrays: one row per user and role, at most. A role that
+    many users hold is split over tasks.
     """
     sets = role_permissions(roles).filter("is_active").select("role", "effective")
+    held = users.filter("is_active").select("user_id", F.explode(F.array_distinct("roles")).alias("role"))
     from_roles = (
-        users.filter("is_active")
-        .select("user_id", F.explode(F.array_distinct("roles")).alias("role"))
-        .join(sets, "role")
+        join_unique(held, sets, "role", [F.col("user_id")], "inner")
         .groupBy("user_id")
         .agg(F.array_distinct(F.flatten(F.collect_set("effective"))).alias("__granted"))
     )
@@ -207,4 +207,5 @@ def deletable_roles(users: DataFrame, roles: DataFrame) -> DataFrame:
 def invalid_role_refs(updates: DataFrame, roles: DataFrame) -> DataFrame:
     """(user_id, role) of updates that name an unknown role: such updates are rejected."""
     named = updates.select("user_id", F.explode("roles").alias("role"))
-    return named.join(roles.select("role"), "role", "left_anti").select("user_id", "role")
+    known = roles.select("role").distinct()
+    return join_unique(named, known, "role", [F.col("user_id")], "left_anti").select("user_id", "role")

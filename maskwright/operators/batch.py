@@ -243,50 +243,36 @@ def ema(
     order: list[str],
     value: str,
     alpha: float = EMA_ALPHA,
-    chunk: Column | None = None,
     before: DataFrame | None = None,
 ) -> DataFrame:
     """Exponential moving average per key after its last row: (key, n, ema).
 
-    The average equals a weighted sum, with weights given by each row's position from the end, so
-    it is a plain sum with partial sums per task. Positions are counted inside time chunks
-    (``chunk``, by default the day of the first order column) and shifted by the sizes of the
-    earlier chunks, so no task sorts a whole key. ``before`` is an earlier result to go on from.
+    A row maps the average x to (1 - alpha) x + alpha v, and such maps compose: a run of n rows maps x
+    to (1 - alpha)^n x + shift. Rows are dealt out by ranges of key and order, so a key with most of
+    the rows spans many ranges; each range gives one (n, shift), and these are applied in turn.
+    ``before`` is an earlier result to go on from.
     """
-    if chunk is None:
-        chunk = F.to_date(order[0])
-    chunked = df.withColumn("__chunk", chunk)
-    sizes = chunked.groupBy(key, "__chunk").agg(F.count("*").alias("__size"))
-    by_chunk = Window.partitionBy(key).orderBy("__chunk")
-    placed = sizes.select(
-        key,
-        "__chunk",
-        (F.sum("__size").over(by_chunk) - F.col("__size")).alias("__before"),
-        F.sum("__size").over(Window.partitionBy(key)).alias("n"),
-    )
-    inside = F.row_number().over(Window.partitionBy(key, "__chunk").orderBy(*order))
-    rows = chunked.withColumn("__pos", inside).join(placed, [key, "__chunk"])
-    position = F.col("__before") + F.col("__pos")
+    dealt = df.select(F.col(key), *[F.col(c) for c in order if c != key], F.col(value).cast("double").alias("__v"))
+    dealt = dealt.repartitionByRange(key, *order).withColumn("__range", F.spark_partition_id())
+    run = Window.partitionBy(key, "__range")
+    placed = dealt.withColumn("__pos", F.row_number().over(run.orderBy(*order))).withColumn("__n", F.count("*").over(run))
     decay = F.lit(1.0 - alpha)
+    runs = placed.groupBy(key, "__range").agg(
+        F.max("__n").alias("n"),
+        F.sum(F.col("__v") * F.lit(alpha) * F.pow(decay, F.col("__n") - F.col("__pos"))).alias("shift"),
+        F.max(F.when(F.col("__pos") == 1, F.col("__v"))).alias("first"),
+    )
+    # One entry per range that a key spans.
+    in_turn = F.array_sort(F.collect_list(F.struct("__range", "n", "shift", "first"))).alias("__runs")
+    keyed = runs.groupBy(key).agg(F.sum("n").alias("n"), in_turn)
     if before is None:
-        starts = position == 1
-        rows = rows.withColumn("__old_n", F.lit(None).cast("long")).withColumn("__old", F.lit(None).cast("double"))
+        keyed = keyed.withColumn("__old_n", F.lit(0).cast("bigint")).withColumn("__old", F.lit(None).cast("double"))
     else:
         old = before.select(key, F.col("n").alias("__old_n"), F.col("ema").alias("__old"))
-        rows = rows.join(old, key, "left")
-        starts = (position == 1) & F.col("__old_n").isNull()
-    weight = F.pow(decay, F.col("n") - position) * F.when(starts, F.lit(1.0)).otherwise(F.lit(alpha))
-    result = rows.groupBy(key).agg(
-        F.max("n").alias("__new_n"),
-        F.sum(F.col(value) * weight).alias("__sum"),
-        F.max("__old_n").alias("__old_n"),
-        F.max("__old").alias("__old"),
-    )
-    updated = result.select(
-        key,
-        (F.col("__new_n") + F.coalesce("__old_n", F.lit(0))).alias("n"),
-        (F.col("__sum") + F.coalesce(F.col("__old") * F.pow(decay, F.col("__new_n")), F.lit(0.0))).alias("ema"),
-    )
+        keyed = keyed.join(old, key, "left")
+    start = F.coalesce("__old", F.get("__runs", F.lit(0))["first"])  # the first value stands for what was before it
+    last = F.aggregate("__runs", start, lambda x, r: x * F.pow(decay, r["n"]) + r["shift"])
+    updated = keyed.select(key, (F.col("n") + F.coalesce("__old_n", F.lit(0))).alias("n"), last.alias("ema"))
     if before is None:
         return updated
     return updated.unionByName(before.join(updated, key, "left_anti").select(key, "n", "ema"))
