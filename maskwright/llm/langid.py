@@ -110,9 +110,11 @@ def fit(docs: DataFrame, per_language: int = 1500, train_chars: int = 16_384) ->
     usable = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= train_chars)
     )
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("__n"))  # a row for each language
+    # One number per language: nothing beside the model, which has tens of thousands for each.
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    size = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair]), F.col("lang")) if sizes else F.lit(0)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = usable.join(sizes, "lang").filter(place * F.col("__n") < per_language).select("lang", "text")
+    sample = usable.filter(place * size < per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
