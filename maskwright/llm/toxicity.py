@@ -26,7 +26,8 @@ HIDDEN, WORD_DIM, CHAR_DIM = 12, 8, 8
 CHAR_BUCKETS = 1 << 13
 CHANCE = 4.0
 EXTRA, SPREAD = 1, 4.0
-DROPPED, RATE_DECAY = 0.1, 0.04
+DROPPED = 0.1
+DECAY, MOST_DECAY = 12.0, 0.04  # word vectors shrink by DECAY / toxic texts of a step, at most
 VOCABULARY, MIN_TEXTS, MIN_SHARE = 20_000, 3, 0.005
 WORDS_KEPT = 300_000  # word types whose inputs a task remembers
 WINDOWS_AT_ONCE = 2048
@@ -269,7 +270,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, seed: int = 7)
     steps = np.arange(WINDOW)
     draw = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    done = 0
+    done, decay = 0, min(MOST_DECAY, DECAY / max(int(labels.sum()), 1))
     per_batch = int(np.clip(len(texts) // 12, 8, 96))
     epochs = max(epochs, min(30, 14 * 1200 // max(len(texts), 1)))
     signs = np.concatenate([[0.0], np.cumsum(np.abs(net.p["word"][ids[words], 0]))])
@@ -315,7 +316,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, seed: int = 7)
                 v *= 0.99
                 v += 0.01 * g * g
                 rate = 0.01 * np.sqrt(1 - 0.99**done) / (1 - 0.9**done)
-                net.p[k] -= (rate * m / (np.sqrt(v) + 1e-7) + (RATE_DECAY * net.p[k] if k in ("word", "char") else 0)).astype(np.float32)
+                net.p[k] -= (rate * m / (np.sqrt(v) + 1e-7) + (decay * net.p[k] if k in ("word", "char") else 0)).astype(np.float32)
     return net
 
 
