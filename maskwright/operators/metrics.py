@@ -100,8 +100,8 @@ def cache_counter(df: DataFrame) -> DataFrame:
 
 
 def cache_hit_rate(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Last reported rate per cache type."""
-    return df.groupBy("cache_type").agg(F.max_by("hit_rate", ts).alias("hit_rate"))
+    """Last reported rate per cache type; of rates reported at one time, the highest."""
+    return df.groupBy("cache_type").agg(F.max_by("hit_rate", F.struct(ts, "hit_rate")).alias("hit_rate"))
 
 
 def error_counter(df: DataFrame) -> DataFrame:

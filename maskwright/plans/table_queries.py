@@ -571,7 +571,7 @@ def cache_counter(spark, sf_dir):
     return metrics.cache_counter(rows)
 
 
-@query("cache_hit_rate", "select event_type as cache_type, arg_max(value / 500, ts) as hit_rate from events group by 1")
+@query("cache_hit_rate", "select event_type as cache_type, arg_max(value / 500, row(ts, value / 500)) as hit_rate from events group by 1")
 def cache_hit_rate(spark, sf_dir):
     rows = events(spark, sf_dir).selectExpr("event_type as cache_type", "value / 500 as hit_rate", "ts")
     return metrics.cache_hit_rate(rows)
