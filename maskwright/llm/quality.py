@@ -20,6 +20,8 @@ from maskwright.llm.tables import slices, type_of
 
 BUCKETS = 1 << 16
 WORDS_KEPT = 300_000
+PIECE = 64  # longer words become several
+STRETCH = 5000  # words over which variety is taken, fewer than that
 SYMBOLS = b"#$%&*+/<=>@[\\]^_`{|}~"
 MARKS = set(SYMBOLS.decode())
 LABELLERS = (
@@ -29,6 +31,20 @@ LABELLERS = (
 BAD, NOTHING, GOOD = 0, 1, 2
 
 
+def pieces(words: list[str]) -> list[str]:
+    """The words, those of more than PIECE characters cut into consecutive pieces."""
+    if all(len(w) <= PIECE for w in words):
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+
+
+def variety(words: list[str]) -> float:
+    """Share of different words: the mean over equal stretches of the text, each under STRETCH words."""
+    n = -(-len(words) // (STRETCH - 1))
+    cuts = [len(words) * i // n for i in range(n + 1)] if n else []
+    return sum(len(set(words[a:b])) for a, b in zip(cuts, cuts[1:])) / max(len(words), 1)
+
+
 def vote(text: str, words: list[str]) -> list[int]:
     """Each labeller's vote on a text. Thresholds are shares of letters, characters, words or lines."""
     raw = text.encode("utf-8", "replace")
@@ -49,7 +65,7 @@ def vote(text: str, words: list[str]) -> list[int]:
         "marked_words": sum(w[-1] in MARKS for w in words) / count > 0.3,
         "letters": letters < 0.8 and solid > 40,
         "repeated_words": repeated > 0.2,
-        "variety": 50 < len(words) < 5000 and len(set(words)) / count < 0.2,
+        "variety": len(words) > 50 and variety(words) < 0.2,
         "bars": n[124] / count > 0.1,
         "lone_marks": sum(len(w) == 1 and not w.isalnum() for w in words) / count > 0.1,
         "repeated_lines": len(lines) > 5 and len(set(lines)) < 0.5 * len(lines),
@@ -106,7 +122,7 @@ class _Numbers(dict):
 def _shape(word: str) -> str:
     """The kinds of a word's characters, runs shortened, and its length up to 12."""
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)
@@ -114,7 +130,9 @@ def _shape(word: str) -> str:
 
 
 class Features:
-    """Hashed features of texts: shapes of words, and of pairs of words with whether they are equal."""
+    """Hashed features of texts: shapes of words, and of pairs of words with whether they are equal.
+
+    Words come as ``pieces``, so that a text without white space counts as a whole."""
 
     def __init__(self) -> None:
         self.forget()
@@ -177,7 +195,8 @@ def score_quality(docs: DataFrame, sample: int = 6000, train_chars: int = 16_384
     good, 1 where it is at least 0.5, and the weak labels' own probability.
 
     Vote patterns are counted over all rows; the scorer learns from about ``sample`` texts of at
-    most ``train_chars``, chosen by a hash of the text. Null, empty and blank texts score 0. Repeated
+    most ``train_chars``, chosen by a hash of the text. Its words are runs of anything but white
+    space; a longer run than 64 characters counts as several words. Null, empty and blank texts score 0. Repeated
     rows stay; an empty table gives no rows; extra columns are not read.
     """
 
@@ -200,7 +219,7 @@ def score_quality(docs: DataFrame, sample: int = 6000, train_chars: int = 16_384
         texts = [t for b in batches for t in b.column(0).to_pylist()]
         words = [t.split() for t in texts]
         labels = np.array([posterior[pattern(vote(t, w))] for t, w in zip(texts, words)])
-        weights, bias = train(words, labels) if texts else (np.zeros((2, BUCKETS)), 0.0)
+        weights, bias = train([pieces(w) for w in words], labels) if texts else (np.zeros((2, BUCKETS)), 0.0)
         blob = np.append(weights.ravel(), bias).astype(np.float32).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([blob])], ["model"])
 
@@ -214,7 +233,7 @@ def score_quality(docs: DataFrame, sample: int = 6000, train_chars: int = 16_384
             for part in slices(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 words = [t.split() for t in texts]
-                value = _means(weights, features.of(words), len(texts)) + bias
+                value = _means(weights, features.of([pieces(w) for w in words]), len(texts)) + bias
                 some = np.array([len(w) > 0 for w in words])
                 score = np.where(some, 1 / (1 + np.exp(-np.clip(value, -30, 30))), 0.0)
                 weak = [posterior.get(pattern(vote(t, w)), 0.5) for t, w in zip(texts, words)]
