@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import chat, decontaminate, langid, line_dedup, mixing, ngram_lm, quality, simhash, toxicity, vectors
+from maskwright.llm import (
+    chat, decontaminate, langid, line_dedup, mixing, ngram_lm, quality, simhash, token_counts, toxicity, vectors,
+)
 from maskwright.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +197,16 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents by a scorer trained on weak labels."""
     return quality.score_quality(table(spark, sf_dir, "documents"))
+
+
+#: The tokenizer of ``op11_token_counts``: a file of the package of public tokenizers.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents, and whether they have more than 1,024 tokens."""
+    import public_tokenizers
+
+    tokenizer = token_counts.read_tokenizer(spark, public_tokenizers.path(TOKENIZER))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer, limit=1024)
