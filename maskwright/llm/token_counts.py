@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from maskwright.llm.tables import opened, saved, shared, slices
+from maskwright.llm.tables import opened, shared, slices
+from maskwright.sources.folders import new_folder
 
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 32_000_000
@@ -97,32 +98,52 @@ class Splitter:
         return sum(len(merge(p)) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(pre_token))
 
 
-def _chunk(splitter: Splitter, batch: pa.RecordBatch) -> tuple[list[str], list]:
-    """The distinct pre-tokens of a batch, frequent ones first, and its texts' frequencies:
-    (length, number, times) arrays, and what their added tokens add."""
-    numbers: dict[str, int] = {}
+def _chunk(splitter: Splitter, batch: pa.RecordBatch) -> tuple[list[str], dict[str, np.ndarray]]:
+    """The distinct pre-tokens of a batch in order, and its texts' frequencies over their numbers.
+
+    Frequent pre-tokens have small numbers (``number``: of each in order); ``lengths`` has the
+    number of entries of each text, ``steps`` the differences of its ascending numbers, ``times``
+    how often each stands there, ``extra`` its added tokens.
+    """
+    first: dict[str, int] = {}
     slots, times, lengths, extra, size = [], [], [], [], []
     for text in batch.column("text").to_pylist():
         found, added = splitter.frequencies(text or "")
-        slots.append(np.fromiter((numbers.setdefault(p, len(numbers)) for p in found), np.int32, len(found)))
+        slots.append(np.fromiter((first.setdefault(p, len(first)) for p in found), np.int64, len(found)))
         times.append(np.fromiter(found.values(), np.int32, len(found)))
         lengths.append(len(found))
         extra.append(added)
         size.append(len((text or "").encode("utf-8", "surrogatepass")))
     slots, times = np.concatenate(slots), np.concatenate(times)
-    order = np.argsort(-np.bincount(slots, minlength=len(numbers)), kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    names = list(numbers)
-    return [names[i] for i in order], [np.array(lengths, np.int32), rank[slots].astype(np.int32), times, np.array(extra, np.int32), size]
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(-np.bincount(slots, minlength=len(first)), kind="stable")] = np.arange(len(first))
+    text_of = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.lexsort((rank[slots], text_of))
+    ranked = rank[slots[order]]
+    starts = np.concatenate([[True], np.diff(text_of) > 0])[: len(ranked)]
+    steps = np.where(starts, ranked, np.diff(ranked, prepend=0))
+    names = sorted(first)
+    number = rank[np.fromiter((first[n] for n in names), np.int64, len(names))]
+    return names, {"number": number, "lengths": lengths, "steps": steps, "times": times[order], "extra": extra, "bytes": size}
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values, np.int32).tobytes(), codec="zstd", asbytes=True)
+    planes = np.ascontiguousarray(values, np.int32).view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.int32)
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel().astype(np.int64)
+
+
+def _in_buckets(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``: a join by it moves the other side only."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "chunks")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -138,11 +159,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_bytes
     spark = docs.sparkSession
     sent = shared(spark, tokenizer)
     id_type = docs.schema["doc_id"].dataType
+    packed = ("number", "lengths", "steps", "times", "extra")
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("pre_tokens", T.ArrayType(T.StringType())),
         T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("bytes", T.ArrayType(T.LongType())),
-        *[T.StructField(n, T.BinaryType()) for n in ("lengths", "slots", "times", "extra")],
-        T.StructField("n_slots", T.LongType()),
+        T.StructField("entries", T.LongType()), *[T.StructField(n, T.BinaryType()) for n in packed],
     ])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +173,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_bytes
 
         def row() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            names, (lengths, slots, times, extra, size) = _chunk(splitter, rows)
-            packed = [pa.array([_packed(v)], pa.binary()) for v in (lengths, slots, times, extra)]
+            names, held_by = _chunk(splitter, rows)
             ids = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column("doc_id"))
-            columns = [pa.array([chunk]), pa.array([names], pa.list_(pa.string())), ids, pa.array([size], pa.list_(pa.int64())), *packed, pa.array([len(slots)])]
-            return pa.RecordBatch.from_arrays(columns, schema.names)
+            own = [pa.array([chunk]), pa.array([names], pa.list_(pa.string())), ids, pa.array([held_by["bytes"]], pa.list_(pa.int64())), pa.array([len(held_by["steps"])])]
+            return pa.RecordBatch.from_arrays([*own, *(pa.array([_packed(held_by[n])], pa.binary()) for n in packed)], schema.names)
 
         for batch in batches:
             for part in slices(batch, max_bytes=chunk_bytes):
@@ -178,24 +198,28 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_bytes
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {n: batch.column(n)[i] for n in batch.schema.names}
-                ids, size = r["doc_ids"].values, r["bytes"].values
-                lengths, extra = (_unpacked(r[n].as_py(), len(ids)) for n in ("lengths", "extra"))
-                slots, times = (_unpacked(r[n].as_py(), r["n_slots"].as_py()) for n in ("slots", "times"))
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                ids, size, found = row["doc_ids"].values, row["bytes"].values, row["found"].values
+                lengths, extra = (_unpacked(row[n].as_py(), len(ids)) for n in ("lengths", "extra"))
+                steps, times = (_unpacked(row[n].as_py(), row["entries"].as_py()) for n in ("steps", "times"))
                 n_of = np.zeros(0, np.int64)
-                if r["found"].is_valid:
-                    n_of = np.empty(len(r["found"].values), np.int64)
-                    n_of[r["found"].values.field("slot").to_numpy()] = r["found"].values.field("pieces").to_numpy()
-                total = np.concatenate([[0], np.cumsum(n_of[slots] * times)])
+                if found is not None:
+                    n_of = np.empty(len(found), np.int64)
+                    in_order = np.empty(len(found), np.int64)
+                    in_order[found.field("place").to_numpy()] = found.field("pieces").to_numpy()
+                    n_of[_unpacked(row["number"].as_py(), len(found))] = in_order
                 ends = np.cumsum(lengths)
-                n = total[ends] - total[ends - lengths] + extra
+                starts = ends - lengths
+                climbed = np.concatenate([[0], np.cumsum(steps)])
+                total = np.concatenate([[0], np.cumsum(n_of[climbed[1:] - np.repeat(climbed[starts], lengths)] * times)])
+                n = total[ends] - total[starts] + extra
                 yield pa.RecordBatch.from_arrays([ids, size, pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
     read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chunks = saved(read.mapInArrow(split, schema), "chunks")
-    lists = chunks.select("chunk", F.posexplode("pre_tokens").alias("slot", "pre_token"))
+    chunks = _in_buckets(read.mapInArrow(split, schema), "chunk")
+    lists = chunks.select("chunk", F.posexplode("pre_tokens").alias("place", "pre_token"))
     counts = lists.select("pre_token").distinct().mapInArrow(pieces, "pre_token string, pieces int")
-    found = lists.join(counts, "pre_token").groupBy("chunk").agg(F.collect_list(F.struct("slot", "pieces")).alias("found"))
+    found = lists.join(counts, "pre_token").groupBy("chunk").agg(F.collect_list(F.struct("place", "pieces")).alias("found"))
     kept = chunks.drop("pre_tokens").join(found, "chunk", "left").drop("chunk")
     out = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return kept.mapInArrow(add, out).withColumn("over_limit", F.col("n_tokens") > limit)
