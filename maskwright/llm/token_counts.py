@@ -98,8 +98,8 @@ class Splitter:
         return sum(len(merge(p)) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(pre_token))
 
 
-def _chunk(splitter: Splitter, batch: pa.RecordBatch) -> tuple[list[str], dict[str, np.ndarray]]:
-    """The distinct pre-tokens of a batch in order, and its texts' frequencies over their numbers.
+def _chunk(splitter: Splitter, batches: list[pa.RecordBatch]) -> tuple[list[str], dict[str, np.ndarray]]:
+    """The distinct pre-tokens of a chunk in order, and its texts' frequencies over their numbers.
 
     Frequent pre-tokens have small numbers (``number``: of each in order); ``lengths`` has the
     number of entries of each text, ``steps`` the differences of its ascending numbers, ``times``
@@ -107,24 +107,25 @@ def _chunk(splitter: Splitter, batch: pa.RecordBatch) -> tuple[list[str], dict[s
     """
     first: dict[str, int] = {}
     slots, times, lengths, extra, size = [], [], [], [], []
-    for text in batch.column("text").to_pylist():
-        found, added = splitter.frequencies(text or "")
-        slots.append(np.fromiter((first.setdefault(p, len(first)) for p in found), np.int64, len(found)))
-        times.append(np.fromiter(found.values(), np.int32, len(found)))
-        lengths.append(len(found))
-        extra.append(added)
-        size.append(len((text or "").encode("utf-8", "surrogatepass")))
-    slots, times = np.concatenate(slots), np.concatenate(times)
-    rank = np.empty(len(first), np.int64)
-    rank[np.argsort(-np.bincount(slots, minlength=len(first)), kind="stable")] = np.arange(len(first))
-    text_of = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.lexsort((rank[slots], text_of))
-    ranked = rank[slots[order]]
-    starts = np.concatenate([[True], np.diff(text_of) > 0])[: len(ranked)]
-    steps = np.where(starts, ranked, np.diff(ranked, prepend=0))
+    for part in (p for b in batches for p in slices(b, max_bytes=1_000_000)):
+        for text in part.column("text").to_pylist():
+            found, added = splitter.frequencies(text or "")
+            slots.append(np.fromiter((first.setdefault(p, len(first)) for p in found), np.int32, len(found)))
+            times.append(np.fromiter(found.values(), np.int32, len(found)))
+            lengths.append(len(found))
+            extra.append(added)
+            size.append(len((text or "").encode("utf-8", "surrogatepass")))
+    often = np.bincount(np.concatenate(slots), minlength=len(first))
+    rank = np.empty(len(first), np.int32)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(first))
+    for i, own in enumerate(slots):
+        ranked = rank[own]
+        order = np.argsort(ranked)
+        slots[i] = np.diff(ranked[order], prepend=np.int32(0))
+        times[i] = times[i][order]
     names = sorted(first)
-    number = rank[np.fromiter((first[n] for n in names), np.int64, len(names))]
-    return names, {"number": number, "lengths": lengths, "steps": steps, "times": times[order], "extra": extra, "bytes": size}
+    number = rank[np.fromiter((first[n] for n in names), np.int32, len(names))]
+    return names, {"number": number, "lengths": lengths, "steps": np.concatenate(slots), "times": np.concatenate(times), "extra": extra, "bytes": size}
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -172,9 +173,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_bytes
         room = chunk_bytes
 
         def row() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            names, held_by = _chunk(splitter, rows)
-            ids = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column("doc_id"))
+            names, held_by = _chunk(splitter, held)
+            ids = pa.concat_arrays([b.column("doc_id") for b in held])
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             own = [pa.array([chunk]), pa.array([names], pa.list_(pa.string())), ids, pa.array([held_by["bytes"]], pa.list_(pa.int64())), pa.array([len(held_by["steps"])])]
             return pa.RecordBatch.from_arrays([*own, *(pa.array([_packed(held_by[n])], pa.binary()) for n in packed)], schema.names)
 
