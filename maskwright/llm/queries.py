@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm import (
     chat, decontaminate, langid, line_dedup, mixing, ngram_lm, quality, simhash, token_counts, toxicity, vectors,
+    whitening,
 )
 from maskwright.llm.tables import table
 
@@ -210,3 +211,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tokenizer = token_counts.read_tokenizer(spark, public_tokenizers.path(TOKENIZER))
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer, limit=1024)
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 16 leading components of their distinct integer vectors, whitened."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), k=16)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
