@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import (
-    chat, decontaminate, langid, line_dedup, mixing, ngram_lm, quality, simhash, token_counts, toxicity, vectors,
+    chat, decontaminate, langid, line_dedup, merkle, mixing, ngram_lm, quality, simhash, token_counts, toxicity, vectors,
     whitening,
 )
 from maskwright.llm.tables import table
@@ -218,3 +218,60 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings on the 16 leading components of their distinct integer vectors, whitened."""
     found = whitening.whiten(table(spark, sf_dir, "embeddings"), k=16)
     return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def _leaf_sql(n_chars: str) -> str:
+    parts = [f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", f"({n_chars})::varchar", "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+# CRC-32 of a short text, byte by byte and bit by bit.
+_CRC_SQL = """(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, 1 + length({0})), lambda i: ascii(substr({0}, i, 1))::bigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))))"""
+
+
+@query(
+    "op12_merkle",
+    f"""
+with recursive d as (
+  select doc_id, lang, {_leaf_sql("n_chars")} as leaf,
+    case when xor({_CRC_SQL.format("doc_id::varchar")}, 4294967295) % 7 = 0 then {_leaf_sql("n_chars + 1")} end as changed
+  from documents),
+l as (
+  select *, count(*) over (partition by lang) as n, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos from d),
+up as (
+  select lang, 0 as lvl, pos, n, leaf as h from l
+  union all
+  select lang, lvl + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' order by pos)) from up where n > 1 group by lang, lvl, pos // 2),
+sub as (
+  select lang, h, lvl as height, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from up where n = 1),
+top as (
+  select 0 as lvl, pos, n, h from sub
+  union all
+  select lvl + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' order by pos)) from top where n > 1 group by lvl, pos // 2),
+path as (
+  select l.doc_id, l.leaf, up.lvl, (l.pos >> up.lvl) % 2 = 1 as is_right, s.h as sibling, l.changed
+  from l join up on l.lang is not distinct from up.lang and l.pos >> up.lvl = up.pos and up.n > 1
+  left join up as s on s.lang is not distinct from l.lang and s.lvl = up.lvl and s.pos = xor(up.pos, 1)
+  union all
+  select l.doc_id, l.leaf, sub.height + top.lvl, (sub.pos >> top.lvl) % 2 = 1, s.h, l.changed
+  from l join sub on l.lang is not distinct from sub.lang join top on sub.pos >> top.lvl = top.pos and top.n > 1
+  left join top as s on s.lvl = top.lvl and s.pos = xor(top.pos, 1)),
+proof as (
+  select doc_id, leaf, coalesce(changed, leaf) as h, coalesce(string_agg(sibling, '' order by lvl), '') as p,
+    list(struct_pack(r := is_right, s := coalesce(sibling, '')) order by lvl) as steps
+  from path group by doc_id, leaf, changed),
+folding as (
+  select doc_id, leaf, 1 as k, h, steps from proof
+  union all
+  select doc_id, leaf, k + 1, sha256(case when steps[k].r then steps[k].s || h else h || steps[k].s end), steps from folding where k <= len(steps)),
+done as (select doc_id, leaf, h from folding where k = len(steps) + 1)
+select proof.doc_id, proof.leaf, sub.h as subroot, (select h from top where n = 1) as root, sha256(proof.p) as proof_sha256,
+  done.h as folded_root, done.h = (select h from top where n = 1) as verified
+from proof join done on proof.doc_id = done.doc_id join l on l.doc_id = proof.doc_id join sub on l.lang is not distinct from sub.lang""",
+)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents; every seventh by CRC-32 of its id is folded with one character too many."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(docs, altered={"n_chars": tampered})
