@@ -72,7 +72,7 @@ def test_lines_drop_only_what_repeats(spark):
 def test_run_is_registered(spark):
     assert spark_entry.queries()["pipeline"] is corpus_pipeline.run
     assert set(queries.QUERIES) <= set(spark_entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in spark_entry.queries()) == 1
 
 
