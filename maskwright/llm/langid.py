@@ -84,24 +84,35 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 @dataclass
 class Model:
-    """log_probs: languages x buckets; allowed: scripts x languages."""
+    """log_probs: languages x buckets; allowed: scripts x languages; used: scripts that some language
+    uses; typical, spread: mean and deviation of an n-gram's log-probability in a language's own sample."""
 
     languages: list[str]
     log_probs: np.ndarray
     allowed: np.ndarray
+    used: np.ndarray
+    typical: np.ndarray
+    spread: np.ndarray
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores (0 for the best language, below it for others) and letters of each word."""
+        scores, letters, *_ = self.word_fits(words)
+        return scores, letters
+
+    def word_fits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``word_scores``, and of each word the sums of log-probabilities per language, the number of
+        its n-grams, and its letters if some language uses its script (else 0)."""
         buckets, owners, script, letters = word_grams(words)
         out = np.zeros((len(words), len(self.languages)))
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(owners, weights=self.log_probs[k, buckets], minlength=len(words))
+        sums, grams = out, np.bincount(owners, minlength=len(words))
         open_to = self.allowed[script]
         out = np.where(open_to, out, -np.inf)
         out = np.maximum(out - out.max(axis=1, keepdims=True), -WORST)
         out[~open_to] = -4 * WORST
         out[letters == 0] = 0
-        return out, letters
+        return out, letters, sums, grams, np.where(self.used[script], letters, 0)
 
 
 def fit(docs: DataFrame, per_language: int = 1500, train_chars: int = 16_384) -> Model:
@@ -140,8 +151,13 @@ def fit(docs: DataFrame, per_language: int = 1500, train_chars: int = 16_384) ->
     grams, scripts = counts[:, :BUCKETS] + 0.1, counts[:, BUCKETS:]
     share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
     allowed = (share >= SCRIPT_SHARE).T
-    allowed[~allowed.any(axis=1)] = True
-    return Model(languages, np.log(grams / grams.sum(axis=1, keepdims=True)), allowed)
+    used = allowed.any(axis=1)
+    allowed[~used] = True
+    log_probs = np.log(grams / grams.sum(axis=1, keepdims=True))
+    weight = counts[:, :BUCKETS] / np.maximum(counts[:, :BUCKETS].sum(axis=1, keepdims=True), 1)
+    typical = (weight * log_probs).sum(axis=1)
+    spread = np.sqrt(np.maximum((weight * log_probs**2).sum(axis=1) - typical**2, 0))
+    return Model(languages, log_probs, allowed, used, typical, spread)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -188,14 +204,17 @@ class _Words(dict):
 
 
 class Labeller:
-    def __init__(self, model: Model, penalty: float):
-        self.model, self.penalty = model, penalty
+    def __init__(self, model: Model, penalty: float, fitness: bool = False):
+        self.model, self.penalty, self.fitness = model, penalty, fitness
         self.forget()
 
     def forget(self) -> None:
         self.known = _Words()
         self.scores = np.zeros((1 << 15, len(self.model.languages)))
         self.letters = np.zeros(1 << 15, dtype=np.int64)
+        # What ``fits`` needs of each word: how much likelier than typical, n-grams, letters of a used script.
+        self.excess = np.zeros((len(self.scores) * self.fitness, len(self.model.languages)), dtype=np.float32)
+        self.grams = np.zeros((len(self.excess), 2), dtype=np.int64)
 
     def label(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Labels and letters of all tokens in order, and the number of tokens of each text."""
@@ -208,20 +227,38 @@ class Labeller:
         while len(self.known) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+            self.excess = np.concatenate([self.excess, np.zeros_like(self.excess)])
+            self.grams = np.concatenate([self.grams, np.zeros_like(self.grams)])
         for i in range(0, len(new), 50_000):
             first = len(self.known) - len(new) + i
-            scores, letters = self.model.word_scores([_letters(w) for w in new[i : i + 50_000]])
+            scores, letters, sums, grams, used = self.model.word_fits([_letters(w) for w in new[i : i + 50_000]])
             self.scores[first : first + len(letters)] = scores
             self.letters[first : first + len(letters)] = letters
-        place = np.array(numbers, dtype=np.int64)
+            if self.fitness:
+                self.excess[first : first + len(letters)] = sums - grams[:, None] * self.model.typical
+                self.grams[first : first + len(letters)] = np.stack([grams, used], axis=1)
+        self.place = place = np.array(numbers, dtype=np.int64)
         lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         return viterbi(self.scores[place], lengths, self.penalty), self.letters[place], lengths
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 8.0, spans: bool = False) -> DataFrame:
+    def fits(self, labels: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text labelled last: the deviations by which its n-grams are likelier in its words'
+        languages than those of their samples (below 0: less likely), and its letters of used scripts."""
+        by = np.bincount(owner, weights=self.excess[self.place, labels], minlength=count)
+        grams = np.bincount(owner, weights=self.grams[self.place, 0], minlength=count)
+        spread = np.bincount(owner, weights=self.model.spread[labels] * self.grams[self.place, 0], minlength=count)
+        return by / np.maximum(spread, 1e-9) * (grams > 0), np.bincount(owner, weights=self.grams[self.place, 1], minlength=count)
+
+
+def identify(docs: DataFrame, model: Model, penalty: float = 8.0, spans: bool = False, fitness: bool = False) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, and ``spans`` (start, end, lang: runs of
     words of one language, offsets in characters) if asked for.
 
+    With ``fitness`` also ``n_letters``, ``known_share`` (share of letters in words of a script that a
+    learned language uses) and ``fit``: by how many deviations of a single n-gram the text's n-grams
+    are on average likelier than those its languages were learned from (below 0: less likely).
+
     lang_pred has most of the text's letters, score is its share of them; ties take the first
     language by code point. Null texts and texts without a letter, or any text when no language has
     been learned: ``und``, 0, no spans. Repeated rows stay; an empty table gives no rows.
@@ -241,7 +278,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, spans: bool =
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model, penalty)
+        labeller = Labeller(model, penalty, fitness)
         count = max(len(model.languages), 1)
         for batch in batches:
             for part in slices(batch):
@@ -260,10 +297,13 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, spans: bool =
                     cuts = np.cumsum(lengths)[:-1]
                     own = [runs(*x) for x in zip(texts, np.split(labels, cuts), np.split(letters, cuts))]
                     arrays.append(pa.array(own, pa.list_(pa.struct(fields))))
-                columns = ["doc_id", "lang_pred", "score", "spans"][: len(arrays)]
-                yield pa.RecordBatch.from_arrays(arrays, columns)
+                if fitness:
+                    fit, used = labeller.fits(labels, owner, len(texts)) if model.languages else (np.zeros(len(texts)),) * 2
+                    arrays += [pa.array(total.astype(np.int64)), pa.array(used / np.maximum(total, 1)), pa.array(fit)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score", *rest])
 
+    rest = ["spans"] * spans + ["n_letters", "known_share", "fit"] * fitness
     schema = f"doc_id {kind}, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
+    schema += ", n_letters bigint, known_share double, fit double" * fitness
     found = docs.select("doc_id", "text").mapInArrow(run, schema)
-    rest = ["spans"] * spans
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", *rest)

@@ -47,7 +47,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key, then the first in the text. A text with fewer than ``window`` lines that are not blank
     stays as it is, and null stays null (0 lines). Rows with equal doc_id and text are one document:
     their windows do not repeat each other. A line of a removed window is removed even where an
-    earlier, kept window overlaps it. An empty table gives no rows.
+    earlier, kept window overlaps it. An empty table gives no rows. Own columns of the two new names
+    are replaced, all others come back as they are.
     """
     lines = F.split(F.col("text"), "\n")
     key = docs.select("doc_id", text_key().alias("__key"), "text")
@@ -65,7 +66,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     gone = gone.select(
         F.col("doc_id").alias("__id"), F.col("__key").alias("__other"), F.array_distinct(F.flatten("__sets")).alias("__gone")
     )
-    marked = docs.withColumn("__key", text_key())
+    # The other columns travel in one, whatever their names.
+    marked = docs.select("doc_id", text_key().alias("__key"), "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"))
     joined = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__other")), "left")
 
     def without(own: Column) -> Column:
@@ -73,10 +75,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return F.array_join(F.transform(kept, lambda i: F.get(own, i)), "\n")
 
     text = let(lines, without)
-    whole = [
-        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text).alias(c) if c == "text" else F.col(f"`{c}`")
-        for c in docs.columns
-    ]
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text)
+    whole = [(text if c == "text" else F.col("__row")[c]).alias(c) for c in docs.columns if c not in ("__lines", "__removed")]
     counts = [F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("__gone"), F.lit(0))]
     counts = [F.when(F.col("text").isNull(), 0).otherwise(counts[0]).alias("__lines")] + [
         F.when(F.col("__gone").isNull(), 0).otherwise(counts[1]).alias("__removed")
