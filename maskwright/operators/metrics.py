@@ -148,8 +148,8 @@ def windowed_rates(
     )
 
 
-def rule_states(rates: DataFrame, rules: list[AlertRule] | None = None) -> DataFrame:
-    """One row per window and enabled rule: is it triggered?"""
+def rule_states(rates: DataFrame, rules: list[AlertRule] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """One row per window and enabled rule: is it triggered? ``keep`` names columns to keep."""
     rows = [
         F.struct(
             F.lit(r.name).alias("rule"),
@@ -161,7 +161,7 @@ def rule_states(rates: DataFrame, rules: list[AlertRule] | None = None) -> DataF
         for r in (DEFAULT_RULES if rules is None else rules)
         if r.enabled
     ]
-    return rates.select("window_start", F.inline(F.array(*rows)))
+    return rates.select("window_start", *(keep or []), F.inline(F.array(*rows)))
 
 
 def alert_transitions(rates: DataFrame, rules: list[AlertRule] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +19,7 @@ from maskwright.operators import batch, metrics
 from maskwright.operators.detect import detect
 from maskwright.operators.sanitize import sanitize
 from maskwright.sources.audit import audit_events, bulk_audit_sink, json_rows, write_batch
+from maskwright.streaming.state import Runs, Verdicts, use_rocks_store
 
 WATERMARK = "1 hour"
 
@@ -145,11 +146,17 @@ def blocked_alert_stream(
     return metrics.blocked_alerts(df.withWatermark("ts", watermark), is_blocked, threshold)
 
 
-def _previous(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """State left by the batch before; none before the first."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(batch_folder(f"{path}/state", batch_id - 1))
+def _ticks(spark: SparkSession, path: str) -> DataFrame:
+    """The stream of times up to which the events are known to be complete."""
+    folder = f"{path}/ticks"
+    spark.createDataFrame([], "ts timestamp").write.mode("append").parquet(folder)
+    return spark.readStream.schema("ts timestamp").parquet(folder)
+
+
+def complete_until(spark: SparkSession, path: str, ts: Column) -> None:
+    """Say that no more events from before ``ts`` will come: the next run of the job with this
+    ``path`` judges what had to wait for the watermark. ``ts`` is an expression without columns."""
+    spark.range(1).select(ts.cast("timestamp").alias("ts")).write.mode("append").parquet(f"{path}/ticks")
 
 
 def start_alerts(
@@ -162,30 +169,45 @@ def start_alerts(
     every: str = "1 hour",
     watermark: str = WATERMARK,
 ) -> StreamingQuery:
-    """Alert changes from closed time windows; which alerts are active carries over batches.
+    """Alert changes from closed time windows, in ``path``/changes; which alerts are active carries over.
 
-    State is one row per rule. A window is judged once, when the watermark has passed its end.
+    A window is judged once, when the watermark has passed its end: by later events, or by a time
+    given to ``complete_until``. Verdicts are compared in the order of windows by timers on keyed state,
+    one key a rule; what reaches them is one row a window and rule, not events. ``every`` is in
+    seconds, minutes, hours or days.
     """
-    rates = metrics.windowed_rates(df.withWatermark("ts", watermark), is_error, duration, every=every)
+    spark = df.sparkSession
+    use_rocks_store(spark)
+    window_ms = int(spark.range(1).select(F.expr(f"cast(interval {every} as interval day to second)").alias("i")).first()["i"].total_seconds() * 1000)
+    events = df.select(
+        F.col("ts"), F.coalesce(is_error, F.lit(False)).alias("failed"), duration.cast("double").alias("took"), F.lit(False).alias("tick")
+    )
+    ticks = _ticks(spark, path).withColumns({"failed": F.lit(False), "took": F.lit(None).cast("double"), "tick": F.lit(True)})
+    counted = (
+        events.unionByName(ticks)
+        .withWatermark("ts", watermark)
+        .groupBy(F.window("ts", every).alias("window"))
+        .agg(F.count_if(~F.col("tick")).alias("requests"), F.count_if("failed").alias("failed"), F.avg("took").alias("avg_response_time"))
+        .filter("requests > 0")
+    )
+    rates = counted.select(
+        F.window_time("window").alias("ts"), F.col("window.start").alias("window_start"), "requests",
+        (F.col("failed") / F.col("requests")).alias("error_rate"), "avg_response_time",
+    )
+    states = metrics.rule_states(rates, rules, keep=["ts"])
+    changes = (
+        states.select("rule", "severity", "value", "triggered", F.unix_millis("window_start").alias("at"), "ts")
+        .groupBy("rule")
+        .transformWithStateInPandas(Verdicts(window_ms), Verdicts.output, outputMode="Append", timeMode="EventTime")
+    )
+    return _start(changes, checkpoint, lambda rows, n: rows.write.mode("overwrite").parquet(batch_folder(f"{path}/changes", n)))
 
-    def write(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        before = _previous(spark, path, batch_id, "rule string, window_start timestamp, triggered boolean")
-        states = metrics.rule_states(rows, rules)
-        old = before.withColumn("carried", F.lit(True))
-        both = states.withColumn("carried", F.lit(False)).unionByName(old, allowMissingColumns=True)
-        ordered = Window.partitionBy("rule").orderBy("window_start")
-        seen = both.withColumn("was", F.coalesce(F.lag("triggered").over(ordered), F.lit(False)))
-        changed = seen.filter(~F.col("carried") & (F.col("was") != F.col("triggered")))
-        changed.select(
-            "rule", "severity", "window_start", "value",
-            F.when(F.col("triggered"), F.lit("active")).otherwise(F.lit("resolved")).alias("status"),
-        ).write.mode("overwrite").parquet(batch_folder(f"{path}/changes", batch_id))
-        both.groupBy("rule").agg(
-            F.max("window_start").alias("window_start"), F.max_by("triggered", "window_start").alias("triggered")
-        ).write.mode("overwrite").parquet(batch_folder(f"{path}/state", batch_id))
-
-    return _start(rates, checkpoint, write)
+
+def _previous(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """State left by the batch before; none before the first."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(batch_folder(f"{path}/state", batch_id - 1))
 
 
 def start_reuse(
@@ -229,15 +251,38 @@ def start_ema(
     order: list[str],
     value: str,
     alpha: float = batch.EMA_ALPHA,
+    stretch: str = "1 hour",
+    watermark: str = WATERMARK,
 ) -> StreamingQuery:
-    """Running averages per key; (key, n, ema) after each batch is both state and output."""
+    """Running averages per key, as one map for each key and stretch of event time in ``path``/runs;
+    ``current_ema`` applies them in turn.
 
-    def write(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        key_type = rows.schema[key].dataType.simpleString()
-        before = _previous(spark, path, batch_id, f"`{key}` {key_type}, n long, ema double")
-        batch.ema(rows, key, order, value, alpha, before=before).write.mode("overwrite").parquet(
-            batch_folder(f"{path}/state", batch_id)
-        )
-
-    return _start(df, checkpoint, write)
+    ``order`` starts with the event time. A row may come late, by ``watermark``, and takes its place in
+    the order; older ones are dropped. A key with most of the rows is many stretches, each with its own
+    state; choose them so that the rows of one fit a task. Rows with null values, times or keys are left out.
+    """
+    use_rocks_store(df.sparkSession)
+    seconds = df.sparkSession.range(1).select(F.expr(f"cast(interval {stretch} as interval day to second)").alias("i")).first()["i"].total_seconds()
+    stretch_ms = int(seconds * 1000)
+    at = F.unix_millis(order[0])
+    rows = df.select(
+        F.col(key).alias("key"), (at - F.pmod(at, F.lit(stretch_ms))).alias("stretch"), F.col(order[0]).alias("__ts"),
+        F.unix_micros(order[0]).alias("o0"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order[1:], 1)], F.col(value).cast("double").alias("value"),
+    ).filter("key is not null and stretch is not null and value is not null").withWatermark("__ts", watermark)
+    names = [f"o{i}" for i in range(len(order))]
+    types = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    kind = rows.schema["key"].dataType.simpleString()
+    runs = rows.groupBy("key", "stretch").transformWithStateInPandas(
+        Runs(names, types, alpha, stretch_ms), f"key {kind}, stretch bigint, n bigint, shift double, first double",
+        outputMode="Update", timeMode="EventTime",
+    )
+    return start_changes(runs, f"{path}/runs", checkpoint)
+
+
+def current_ema(runs: DataFrame, alpha: float = batch.EMA_ALPHA) -> DataFrame:
+    """(key, n, ema) from the written maps of ``start_ema``: the last of each stretch, in turn."""
+    now = latest(runs, ["key", "stretch"])
+    in_turn = F.array_sort(F.collect_list(F.struct("stretch", "n", "shift", "first")))  # one entry a stretch
+    keyed = now.groupBy("key").agg(F.sum("n").alias("n"), in_turn.alias("runs"))
+    step = F.aggregate("runs", F.col("runs")[0]["first"], lambda x, r: x * F.pow(F.lit(1.0 - alpha), r["n"]) + r["shift"])
+    return keyed.select("key", "n", step.alias("ema"))

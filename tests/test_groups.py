@@ -154,6 +154,12 @@ def event_files(spark, tmp_path_factory):
     return f"{folder}/in", df
 
 
+def same_averages(found, want):
+    rows = found.collect()
+    assert {r["key"]: r["n"] for r in rows} == {k: n for k, (n, _) in want.items()}
+    assert {r["key"]: r["ema"] for r in rows} == pytest.approx({k: x for k, (_, x) in want.items()})
+
+
 def test_streams_in_several_batches_equal_batch_results(spark, event_files, tmp_path):
     folder, df = event_files
     stream = jobs.read_stream(spark, f"{folder}/*.parquet", df.schema, per_trigger=1)
@@ -171,16 +177,60 @@ def test_streams_in_several_batches_equal_batch_results(spark, event_files, tmp_
 
     keyed = stream.withColumnRenamed("event_type", "key")
     jobs.start_ema(keyed, f"{tmp_path}/e", f"{tmp_path}/e_cp", "key", ["ts", "event_id"], "value").awaitTermination()
-    ema_now = jobs.latest(spark.read.parquet(f"{tmp_path}/e/state"), ["key"])
+    ema_now = jobs.current_ema(spark.read.parquet(f"{tmp_path}/e/runs"))
     ema_want = batch.ema(df.withColumnRenamed("event_type", "key"), "key", ["ts", "event_id"], "value")
-    assert {r["key"]: r["ema"] for r in ema_now.collect()} == pytest.approx({r["key"]: r["ema"] for r in ema_want.collect()})
+    same_averages(ema_now, {r["key"]: (r["n"], r["ema"]) for r in ema_want.collect()})
+    assert not os.path.exists(f"{tmp_path}/e/state")
 
+
+def test_alerts_go_on_from_the_checkpoint_and_judge_the_last_windows(spark, event_files, tmp_path):
     is_error, duration = F.col("event_type") == "error", F.col("value") / 50
-    jobs.start_alerts(stream, f"{tmp_path}/a", f"{tmp_path}/a_cp", is_error, duration).awaitTermination()
-    changes = spark.read.parquet(f"{tmp_path}/a/changes").select("rule", "window_start", "status")
-    closed = F.col("window_start") + F.expr("interval 1 hour") <= F.lit(df.agg(F.max("ts")).first()[0] - timedelta(hours=1))
-    all_changes = metrics.alert_transitions(metrics.windowed_rates(df, is_error, duration)).filter(closed)
-    assert sorted(map(tuple, changes.collect())) == sorted(map(tuple, all_changes.select("rule", "window_start", "status").collect()))
+    every = metrics.alert_transitions(metrics.windowed_rates(event_files[1], is_error, duration))
+    # The events end in a window that brings a change.
+    df = event_files[1].filter(F.col("ts") < F.lit(every.agg(F.max("window_start")).first()[0] + timedelta(hours=1)))
+    df.repartitionByRange(5, "ts").sortWithinPartitions("ts").write.parquet(f"{tmp_path}/files")
+    files = sorted(glob.glob(f"{tmp_path}/files/part-*.parquet"))
+    os.makedirs(f"{tmp_path}/in")
+    for i, name in enumerate(files):
+        os.utime(name, (1_700_000_000 + i, 1_700_000_000 + i))
+    want = metrics.alert_transitions(metrics.windowed_rates(df, is_error, duration)).select("rule", "window_start", "status", F.round("value", 9))
+    want = sorted(map(tuple, want.collect()))
+
+    def run():
+        stream = jobs.read_stream(spark, f"{tmp_path}/in/*.parquet", df.schema, per_trigger=1)
+        jobs.start_alerts(stream, f"{tmp_path}/a", f"{tmp_path}/cp", is_error, duration).awaitTermination()
+        found = spark.read.parquet(f"{tmp_path}/a/changes").select("rule", "window_start", "status", F.round("value", 9))
+        return sorted(map(tuple, found.collect()))
+
+    for part in (files[:3], files[3:]):  # the second run goes on where the first has ended
+        for name in part:
+            os.link(name, f"{tmp_path}/in/{os.path.basename(name)}")
+        found = run()
+        newest = spark.read.parquet(f"{tmp_path}/in").agg(F.max("ts")).first()[0]
+        assert found == [r for r in want if r[1] + timedelta(hours=1) <= newest - timedelta(hours=1)]
+    jobs.complete_until(spark, f"{tmp_path}/a", F.lit(newest + timedelta(hours=3)))
+    assert run() == want and len(want) > len(found)
+    assert run() == want  # nothing new: nothing changes
+    assert not os.path.exists(f"{tmp_path}/a/state")
+
+
+def test_streamed_averages_place_late_rows_in_order(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.choice("aab"), i, START + timedelta(minutes=20 * i), rng.random()) for i in range(90)]
+    rows += [("a", 500, rows[7][2], 0.5), ("a", 500, rows[7][2], 0.5), (None, 501, START, 1.0), ("b", 502, START, None)]  # ties, nulls
+    come = sorted(rows, key=lambda r: r[2] + timedelta(minutes=rng.randint(0, 170)))
+    late = ("a", 503, START, 9.0)  # after all others: beyond the watermark
+    schema = "key string, id int, ts timestamp, v double"
+    for n, part in enumerate((come[:40], come[40:41], come[41:80], [*come[80:], late])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = jobs.read_stream(spark, f"{tmp_path}/in/*", spark.createDataFrame([], schema).schema, per_trigger=1)
+        jobs.start_ema(stream, f"{tmp_path}/e", f"{tmp_path}/cp", "key", ["ts", "id"], "v", stretch="2 hours", watermark="3 hours").awaitTermination()
+    state = {}
+    for k, _, _, v in sorted((r for r in rows if r[0] and r[3] is not None), key=lambda r: (r[2], r[1])):
+        n, x = state.get(k, (0, v))
+        state[k] = n + 1, 0.1 * v + 0.9 * x
+    found = jobs.current_ema(spark.read.parquet(f"{tmp_path}/e/runs"))
+    same_averages(found, state)
 
 
 def test_stream_queries_read_files_and_folders(spark, tmp_path):
