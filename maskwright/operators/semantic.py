@@ -12,36 +12,63 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import calibration as cal
 from maskwright.functions.spans import span_context
+from maskwright.operators.skew import hot_keys
 
 # --- Fixed values: what stands in for a type without prototypes, and the training minimum.
 UNKNOWN_TYPE_SIMILARITY = 0.5
 MIN_NER_EXAMPLES = 50
 # --- end of fixed values
 
+VECTORS_PER_BLOCK = 256
+ROWS_PER_SLICE = 100_000
+
+
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """(label, vectors): the distinct unit vectors of each label in blocks of about ``VECTORS_PER_BLOCK``."""
+    known = vectors.filter(F.col("v").isNotNull()).distinct()
+    sizes = known.groupBy("label").agg(F.ceil(F.count("*") / VECTORS_PER_BLOCK).alias("blocks"))
+    dealt = known.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    return dealt.groupBy("label", "block").agg(F.collect_list("v").alias("vectors")).select("label", "vectors")
+
+
+def _nearest(rows: DataFrame, label: Column, vector: str, blocks: DataFrame, name: str) -> DataFrame:
+    """``rows`` (id, row) with ``name``: the highest similarity of row's ``vector`` to its label's blocks.
+
+    Rows of a label that many share are dealt out in slices and its blocks repeated for each. A row
+    meets one block after the other and the highest similarity is a partial maximum, so neither a
+    type's prototypes nor its rows are ever gathered.
+    """
+    named = rows.withColumn("label", label)
+    counts = named.groupBy("label").agg(F.count("*").alias("n"))
+    hot = hot_keys(counts.filter(F.col("label").isNotNull()), "label", ROWS_PER_SLICE).withColumnRenamed("__slices", "slices")
+    slices = F.coalesce("slices", F.lit(1))
+    dealt = named.join(hot, "label", "left").withColumn("slice", F.pmod(F.xxhash64("id"), slices).cast("int"))
+    repeated = blocks.join(hot, "label", "left").select("label", "vectors", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    met = dealt.drop("slices").join(repeated, ["label", "slice"], "left")
+    met = met.withColumn(name, cal.best_similarity(F.col("row")[vector], F.col("vectors")))
+    carried = [F.any_value(c).alias(f"any_{c}") for c in rows.columns if c != "id"]
+    best = met.groupBy("label", "slice", "id").agg(F.max(name).alias(name), *carried)
+    return best.select("id", *[F.col(f"any_{c}").alias(c) for c in rows.columns if c != "id"], name)
+
 
 def semantic_scores(spans: DataFrame, prototypes: DataFrame) -> DataFrame:
     """Add pattern_similarity and context_similarity to spans with two embedding columns.
 
     ``spans`` has entity_type, embedding and context_embedding. ``prototypes`` has kind, label and
     embedding: kind ``pattern`` (label: an entity type) or ``context``. Each span is compared with
-    the patterns of its own type and with all contexts.
+    the patterns of its own type and with all contexts, of which there may be any number. Spans without
+    a type, a vector or prototypes get the similarity of an unknown type, and 0 for contexts.
     """
     vectors = prototypes.select("kind", "label", cal.unit(F.col("embedding")).alias("v"))
-    patterns = (
-        vectors.filter(F.col("kind") == "pattern")
-        .groupBy(F.col("label").alias("entity_type"))
-        .agg(F.collect_list("v").alias("__patterns"))
-    )
-    contexts = vectors.filter(F.col("kind") == "context").agg(F.collect_list("v")).scalar()
-    joined = spans.join(patterns, "entity_type", "left").withColumn("__contexts", contexts)
-    return joined.select(
-        *spans.columns,
-        F.coalesce(
-            cal.best_similarity(F.col("embedding"), F.col("__patterns")), F.lit(UNKNOWN_TYPE_SIMILARITY)
-        ).alias("pattern_similarity"),
-        F.greatest(
-            F.lit(0.0), F.coalesce(cal.best_similarity(F.col("context_embedding"), F.col("__contexts")), F.lit(0.0))
-        ).alias("context_similarity"),
+    patterns = _blocks(vectors.filter("kind = 'pattern'").select("label", "v"))
+    contexts = _blocks(vectors.filter("kind = 'context'").select(F.lit("context").alias("label"), "v"))
+    rows = spans.select(F.monotonically_increasing_id().alias("id"), F.struct(*[f"`{c}`" for c in spans.columns]).alias("row"))
+    rows = _nearest(rows, F.col("row.entity_type"), "embedding", patterns, "pattern")
+    rows = _nearest(rows, F.lit("context"), "context_embedding", contexts, "context")
+    return rows.select(
+        "row.*",
+        F.coalesce("pattern", F.lit(UNKNOWN_TYPE_SIMILARITY)).alias("pattern_similarity"),
+        F.greatest(F.lit(0.0), F.coalesce("context", F.lit(0.0))).alias("context_similarity"),
     )
 
 
@@ -61,6 +88,26 @@ def enhance(spans: DataFrame, prototypes: DataFrame, text_col: str = "text") ->
     )
 
 
+def enhance_texts(detected: DataFrame, vectors: DataFrame, prototypes: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """Detected texts with the entities' context and confidence as ``enhance`` gives them.
+
+    ``detected`` has the ``key``, which is unique, the text and its entities; ``vectors`` is (key, ord,
+    embedding, context_embedding) of the entity at place ``ord`` of the array. The entities keep their
+    order; those without vectors are enhanced by their context alone. Grouping is per text.
+    """
+    spans = detected.select(key, text_col, F.posexplode("entities").alias("ord", "entity"))
+    spans = spans.select(
+        key, text_col, "ord", "entity", F.col("entity.entity_type").alias("entity_type"), F.col("entity.start").alias("start"),
+        F.col("entity.end").alias("end"), F.col("entity.confidence").alias("confidence"),
+    )
+    found = enhance(spans.join(vectors.select(key, "ord", "embedding", "context_embedding"), [key, "ord"], "left"), prototypes, text_col)
+    entity = F.col("entity").withField("confidence", F.col("confidence")).withField("context", F.col("context"))
+    in_order = F.array_sort(F.collect_list(F.struct("ord", entity.alias("entity"))))
+    grouped = found.groupBy(key).agg(F.transform(in_order, lambda x: x["entity"]).alias("__enhanced"))
+    whole = F.coalesce("__enhanced", "entities").alias("entities")
+    return detected.join(grouped, key, "left").select(*[whole if c == "entities" else F.col(f"`{c}`") for c in detected.columns])
+
+
 def span_features(detected: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per detected span with its five calibration scores."""
     others = [c for c in detected.columns if c not in ("entities", "detection_metadata")]

@@ -903,6 +903,72 @@ def adjust_confidence(spark, sf_dir):
     return out.select("vec_id", "context_relevance", F.round("confidence", 9).alias("confidence"))
 
 
+def _many_prototypes(spark, sf_dir) -> DataFrame:
+    """Some two hundred prototypes of each type and as many contexts: mean vectors of groups of all rows."""
+    dims = table(spark, sf_dir, "embeddings").select(
+        "label", F.pmod("vec_id", F.lit(200)).alias("g"), F.posexplode("embedding").alias("i", "x")
+    )
+    means = dims.groupBy("label", "g", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    vectors = means.groupBy("label", "g").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
+    return vectors.select(
+        F.when(F.col("label") <= 5, F.lit("pattern")).otherwise(F.lit("context")).alias("kind"),
+        F.expr(_TYPE_OF_LABEL).alias("label"),
+        F.transform("v", lambda p: p["m"]).alias("embedding"),
+    )
+
+
+@query(
+    "semantic_many_prototypes",
+    f"""with dims as (select label, vec_id % 200 as g, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
+means as (select label, g, i, avg(x) as m from dims group by 1, 2, 3), protos as (select label, g, list(m order by i) as v from means group by 1, 2),
+named as (select *, {_TYPE_OF_LABEL} as typ from protos),
+spans as (select vec_id, case when vec_id % 3 = 0 then 'EMAIL' else {_TYPE_OF_LABEL} end as entity_type, list_reverse(embedding)::double[] as own, embedding::double[] as around from embeddings),
+pat as (select vec_id, max(list_cosine_similarity(own, v)) as x from spans join named on typ = entity_type and label <= 5 group by 1),
+con as (select vec_id, max(list_cosine_similarity(around, v)) as x from spans join named on label > 5 group by 1)
+select vec_id, entity_type, round(coalesce(pat.x, 0.5::double), 6) as pattern_similarity, round(greatest(0.0::double, coalesce(con.x, 0)), 6) as context_similarity
+from spans left join pat using (vec_id) left join con using (vec_id)""",
+)
+def semantic_many_prototypes(spark, sf_dir):
+    """Similarity to the nearest of hundreds of prototypes of a type; one type has a third of all spans and more."""
+    spans = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 3 == 0, F.lit("EMAIL")).otherwise(F.expr(_TYPE_OF_LABEL)).alias("entity_type"),
+        F.reverse("embedding").alias("embedding"),
+        F.col("embedding").alias("context_embedding"),
+    )
+    out = semantic.semantic_scores(spans, _many_prototypes(spark, sf_dir))
+    return out.select(
+        "vec_id", "entity_type", F.round("pattern_similarity", 6).alias("pattern_similarity"), F.round("context_similarity", 6).alias("context_similarity")
+    )
+
+
+@query(
+    "enhance_texts",
+    f"""with {o.detection_ctes(o.CORPUS_SRC)}, dims as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
+means as (select label, i, avg(x) as m from dims group by 1, 2), protos as (select label, {_TYPE_OF_LABEL} as typ, list(m order by i) as v from means group by 1),
+sp as (select ent.id, ord, typ, c, s, e, substring(src.text, greatest(s - 100, 0) + 1, e + 100 - greatest(s - 100, 0)) as context, embedding::double[] as own, list_reverse(embedding)::double[] as around
+ from ent join src on src.id = ent.id left join embeddings on vec_id = (ent.id + ord - 1) % (select count(*) from embeddings)),
+sims as (select sp.*, coalesce((select max(list_cosine_similarity(own, v)) from protos p where p.typ = sp.typ and label <= 5), 0.5::double) as pattern_similarity,
+ greatest(0.0::double, coalesce((select max(list_cosine_similarity(around, v)) from protos p where label > 5), 0)) as context_similarity from sp),
+boosted as (select *, 0.4::double * pattern_similarity + 0.3::double * context_similarity + 0.3::double * {_RELEVANCE_SQL} as boost from sims),
+adjusted as (select *, least(1.0::double, greatest(0.0::double, case when boost > 0.6 then c + (1 - c) * 0.2::double when boost < 0.3 then c * 0.8::double else c end)) as c2 from boosted)
+select src.id as doc_id, coalesce(string_agg(typ || ':' || s || ':' || cast(round(c2 * 1000000) as bigint) || ':' || length(context), ' ' order by ord), '') as entities
+from src left join adjusted on adjusted.id = src.id group by src.id""",
+)
+def enhance_texts(spark, sf_dir):
+    """Detected texts whose entities carry the confidence that vectors and context support."""
+    detected = detection.detect(corpus(spark, sf_dir)).select("doc_id", "text", "entities")
+    embeddings = table(spark, sf_dir, "embeddings")
+    places = detected.select("doc_id", F.posexplode("entities").alias("ord", "entity"))
+    named = places.withColumn("vec_id", F.pmod(F.col("doc_id") + F.col("ord"), F.lit(max(embeddings.count(), 1))))
+    vectors = named.join(embeddings, "vec_id").select("doc_id", "ord", "embedding", F.reverse("embedding").alias("context_embedding"))
+    out = semantic.enhance_texts(detected, vectors, _centroids(spark, sf_dir), "doc_id")
+    told = F.transform("entities", lambda e: F.concat_ws(
+        ":", e["entity_type"], e["start"].cast("string"), F.round(e["confidence"] * 1_000_000).cast("bigint").cast("string"), F.length(e["context"]).cast("string")
+    ))
+    return out.select("doc_id", F.array_join(told, " ").alias("entities"))
+
+
 _SHARE_SQL = "(" + " + ".join(f"contains(lower(context), '{w}')::int" for w in cal.CALIBRATION_WORDS) + ") / 4.0::double"
 _SUSPICIOUS = o.strings(cal.SUSPICIOUS_WORDS)
 
