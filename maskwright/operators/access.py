@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.operators.skew import join_unique
-
 # --- Fixed values: permissions, default roles, role hierarchy.
 PERMISSIONS = [
     "detect_pii", "detect_batch", "view_detection_results",
@@ -70,42 +68,47 @@ def default_roles(spark: SparkSession) -> DataFrame:
 def role_permissions(roles: DataFrame) -> DataFrame:
     """(role, is_active, effective): own permissions and those of active inherited roles.
 
-    ``inherits`` lists all ancestors. The role itself need not be active.
+    ``inherits`` lists all ancestors. The role itself need not be active. Role names are unique.
     """
-    parents = roles.filter("is_active").select(F.col("role").alias("parent"), F.col("permissions").alias("given"))
-    named = roles.select("role", F.explode("inherits").alias("parent"))
-    inherited = (
-        join_unique(named, parents, "parent", [F.col("role")], "inner")
-        .groupBy("role")
-        .agg(F.array_distinct(F.flatten(F.collect_set("given"))).alias("inherited"))
-    )
-    return roles.join(inherited, "role", "left").select(
-        "role",
-        "is_active",
-        F.array_sort(
-            F.array_union("permissions", F.coalesce("inherited", F.array().cast("array<string>")))
-        ).alias("effective"),
+    none = F.array().cast("array<string>")
+    line = F.array_distinct(F.array_append(F.coalesce("inherits", none), F.col("role")))
+    named = roles.select("role", "is_active", F.explode(line).alias("giver"))
+    givers = roles.select(F.col("role").alias("giver"), F.col("is_active").alias("gives"), F.col("permissions").alias("given"))
+    given = named.join(givers, "giver").filter(F.col("gives") | (F.col("giver") == F.col("role")))
+    return given.groupBy("role", "is_active").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("given")))).alias("effective"))
+
+
+def role_set(roles: Column) -> Column:
+    """A user's roles as a key: sorted, each once, null if there are none."""
+    own = F.array_sort(F.array_distinct(F.array_compact(roles)))
+    return F.when(F.size(own) > 0, own)
+
+
+def set_permissions(sets: DataFrame, roles: DataFrame) -> DataFrame:
+    """(role_set, granted): what each distinct set of roles grants. Inactive and unknown roles grant nothing."""
+    known = role_permissions(roles).filter("is_active").select("role", "effective")
+    held = sets.filter(F.col("role_set").isNotNull()).distinct().select("role_set", F.explode("role_set").alias("role"))
+    return held.join(known, "role").groupBy("role_set").agg(
+        F.array_distinct(F.flatten(F.collect_set("effective"))).alias("granted")
     )
 
 
 def with_permissions(users: DataFrame, roles: DataFrame) -> DataFrame:
     """Users with ``total_permissions``; inactive users have none.
 
-    The sets of a user's roles are joined as arrays: one row per user and role, at most. A role that
-    many users hold is split over tasks.
+    Users hold few different sets of roles: each is resolved once, and users are joined to their
+    set's permissions. A set that many users hold is one row of the small side, which is sent to all
+    tasks or whose partition is split by Spark's treatment of skewed joins.
     """
-    sets = role_permissions(roles).filter("is_active").select("role", "effective")
-    held = users.filter("is_active").select("user_id", F.explode(F.array_distinct("roles")).alias("role"))
-    from_roles = (
-        join_unique(held, sets, "role", [F.col("user_id")], "inner")
-        .groupBy("user_id")
-        .agg(F.array_distinct(F.flatten(F.collect_set("effective"))).alias("__granted"))
-    )
     none = F.array().cast("array<string>")
+    named = users.withColumn("__set", F.when(F.col("is_active"), role_set(F.col("roles"))))
+    granted = set_permissions(named.select(F.col("__set").alias("role_set")), roles).select(
+        F.col("role_set").alias("__set"), F.col("granted").alias("__granted")
+    )
     total = F.array_union(F.coalesce("permissions", none), F.coalesce("__granted", none))
-    return users.join(from_roles, "user_id", "left").withColumn(
-        "total_permissions", F.when(F.col("is_active"), F.array_sort(total)).otherwise(none)
-    ).drop("__granted")
+    return named.join(granted, "__set", "left").select(
+        *[F.col(f"`{c}`") for c in users.columns], F.when(F.col("is_active"), F.array_sort(total)).otherwise(none).alias("total_permissions")
+    )
 
 
 def user_permissions(users: DataFrame, roles: DataFrame) -> DataFrame:
@@ -132,15 +135,16 @@ def _owns(user_id: Column, permission: Column, resource_type: Column, resource_i
     )
 
 
-def authorize(requests: DataFrame, users: DataFrame, roles: DataFrame, request_id: str = "request_id") -> DataFrame:
+def authorize(requests: DataFrame, users: DataFrame, roles: DataFrame) -> DataFrame:
     """Requests with ``granted`` and ``reason``.
 
-    A user who makes a large share of all requests is split over many tasks.
+    ``users`` has one row a user. The partition of a user who makes a large share of all requests is
+    split by Spark's treatment of skewed joins, which reads its size as it is shuffled.
     """
     known = with_permissions(users, roles).select(
         "user_id", F.col("is_active").alias("__active"), F.col("total_permissions").alias("__total")
     )
-    joined = join_unique(requests, known, "user_id", [F.col(request_id)])
+    joined = requests.join(known, "user_id", "left")
     permission = F.col("permission")
     reason = (
         F.when(F.col("__active").isNull(), F.lit("user_not_found"))
@@ -208,4 +212,4 @@ def invalid_role_refs(updates: DataFrame, roles: DataFrame) -> DataFrame:
     """(user_id, role) of updates that name an unknown role: such updates are rejected."""
     named = updates.select("user_id", F.explode("roles").alias("role"))
     known = roles.select("role").distinct()
-    return join_unique(named, known, "role", [F.col("user_id")], "left_anti").select("user_id", "role")
+    return named.join(known, "role", "left_anti").select("user_id", "role")
