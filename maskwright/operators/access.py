@@ -75,7 +75,9 @@ def role_permissions(roles: DataFrame) -> DataFrame:
     named = roles.select("role", "is_active", F.explode(line).alias("giver"))
     givers = roles.select(F.col("role").alias("giver"), F.col("is_active").alias("gives"), F.col("permissions").alias("given"))
     given = named.join(givers, "giver").filter(F.col("gives") | (F.col("giver") == F.col("role")))
-    return given.groupBy("role", "is_active").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("given")))).alias("effective"))
+    return given.groupBy("role").agg(
+        F.any_value("is_active").alias("is_active"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("given")))).alias("effective")
+    )
 
 
 def role_set(roles: Column) -> Column:
