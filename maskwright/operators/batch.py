@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.registry import Recognizer
 from maskwright.operators.detect import DETECTION_COLUMNS, detect
 from maskwright.operators.skew import join_unique
-from maskwright.sources.folders import use_checkpoint_dir
+from maskwright.sources.folders import use_checkpoint_dir, written
 
 # --- Fixed values.
 BATCH_SIZE = 10
@@ -57,11 +57,13 @@ def detect_distinct(
 ) -> DataFrame:
     """Like ``detect``, but each distinct text is searched once.
 
-    Worth it when texts repeat: one shuffle of distinct texts (after a partial distinct per task)
-    instead of repeated searches. A text that makes up much of the table is split when results
-    are joined back by hash; the columns of ``df`` travel with it.
+    Worth it when texts repeat. ``df`` is read and its texts hashed once, into a table of the shared
+    folder: from its keys come the distinct texts, of which only one row per task and text is
+    shuffled, and the few keys that make up much of the table, whose rows are split when results
+    are joined back. The columns of ``df`` travel with the key.
     """
-    keyed = df.withColumn("__key", F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")))  # null: a key of its own
+    null = F.lit("")  # null texts have a key of their own
+    keyed = written(df.withColumn("__key", F.coalesce(F.sha2(F.col(text_col), 256), null)), "keyed")
     distinct = keyed.select("__key", text_col).dropDuplicates(["__key"])
     results = detect(distinct, text_col, rows=rows).select("__key", *DETECTION_COLUMNS)
     joined = join_unique(keyed, results, "__key", [F.col(c) for c in row_id])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
 from maskwright.operators import batch, metrics
-from maskwright.operators.skew import hot_keys, join_unique
+from maskwright.operators.skew import frequent, hot_keys, join_unique
 from maskwright.sources import audit
 from maskwright.streaming import jobs
 
@@ -250,3 +250,13 @@ def test_stream_state_operators_keep_late_requests_as_hits(spark):
     got = {r["key"]: r for r in batch.reuse_from(spark.createDataFrame(rows, "key string, ts timestamp"), before, "key").collect()}
     assert (got["a"]["requests"], got["a"]["misses"], got["a"]["hits"]) == (3, 1, 2)
     assert (got["b"]["misses"], got["b"]["last_miss"]) == (1, START)
+
+
+def test_frequent_keys_are_counted_exactly(spark):
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 100 == 1, F.lit("warm")).when(F.col("id") % 7 == 1, None).otherwise(F.col("id").cast("string"))
+    rows = spark.range(0, 60_000, 1, 16).select(key.alias("key"))
+    found = {r["__h"]: r["n"] for r in frequent(rows, F.col("key")).collect()}
+    exact = {r["h"]: r["n"] for r in rows.filter("key is not null").groupBy(F.xxhash64("key").alias("h")).agg(F.count("*").alias("n")).collect()}
+    assert all(exact[h] == n for h, n in found.items()) and len(found) <= 1024
+    assert {h for h, n in exact.items() if n > 60} <= set(found)  # a thousandth
+    assert frequent(rows.limit(0), F.col("key")).count() == 0
