@@ -41,8 +41,8 @@ def slice_text(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + F.lit(1), F.greatest(end - start, F.lit(0)))
 
 
-def _scan(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
-    start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+def _scan(values: Column, zero: Column, op: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    start = F.struct(zero.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
     return F.aggregate(
         values,
         start,
@@ -51,8 +51,8 @@ def _scan(values: Column, zero: Column, op: Callable[[Column, Column], Column])
     )
 
 
-def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """For each int of an array, ``op`` over all ints before it.
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """For each number of an array, ``op`` (associative) over all numbers before it.
 
     Extending an array copies it, so long arrays are taken in blocks: each step copies at most a
     block, or one number per block.
@@ -65,16 +65,16 @@ def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]
     def joined(parts: Column) -> Column:
         totals = F.transform(parts, lambda part: F.aggregate(part, zero, op))
         return let(
-            _scan(totals, zero, op),
+            _scan(totals, zero, op, kind),
             lambda before: F.flatten(
                 F.transform(
                     parts,
-                    lambda part, b: F.transform(_scan(part, zero, op), lambda x: op(F.get(before, b), x)),
+                    lambda part, b: F.transform(_scan(part, zero, op, kind), lambda x: op(F.get(before, b), x)),
                 )
             ),
         )
 
-    return F.when(F.size(values) <= BLOCK, _scan(values, zero, op)).otherwise(let(blocks, joined))
+    return F.when(F.size(values) <= BLOCK, _scan(values, zero, op, kind)).otherwise(let(blocks, joined))
 
 
 def pages(text: Column, spans: Column) -> Column:
@@ -347,7 +347,9 @@ def splice_any(text: Column, spans: Column, replacement: Callable[[Column], Colu
     """Replace caller-given spans from the last start to the first.
 
     Spans may overlap: a later replacement then cuts into text already changed. Spans with the
-    same start keep their given order.
+    same start keep their given order. Starts before the text count as its start. Each text part is
+    copied once, by a table of pieces; spans that start behind the text, or end before it, are spliced
+    one by one.
     """
     ordered = F.array_sort(
         F.transform(
@@ -363,7 +365,70 @@ def splice_any(text: Column, spans: Column, replacement: Callable[[Column], Colu
             F.substring(done, span["end"] + F.lit(1), F.length(done)),
         )
 
-    return F.aggregate(ordered, text, step)
+    odd = let(F.length(text), lambda n: F.exists(spans, lambda s: F.coalesce((s["start"] > n) | (s["end"] < 0), F.lit(True))))
+    return F.when(F.size(spans) == 0, text).when(odd, F.aggregate(ordered, text, step)).otherwise(
+        let(ordered, lambda items: _splice_pieces(text, items, replacement))
+    )
+
+
+def _splice_pieces(text: Column, ordered: Column, replacement: Callable[[Column], Column]) -> Column:
+    """``splice_any`` for spans that start in the text, by falling start.
+
+    What stands behind the last start is a stack: a span first takes what its end reaches off the
+    top, then lays the untouched text up to the start before it, then its replacement on top.
+    ``grown`` is what it lays and ``taken`` what it takes; from their sums follows the ``base`` that
+    it finds. Of its piece there stays what is below all later bases.
+    """
+    long = F.lit(0).cast("bigint")
+
+    def laid(items: Column) -> Column:
+        def piece(item: Column, i: Column) -> Column:
+            span = item["span"]
+            before = F.when(i == 0, F.length(text)).otherwise(F.greatest(F.get(items, i - 1)["span"]["start"], F.lit(0)))
+            new = replacement(span)
+            return F.struct(
+                new.alias("new"), span["end"].alias("end"), before.alias("before"),
+                (F.length(new) + F.greatest(before - span["end"], F.lit(0))).cast("bigint").alias("grown"),
+                F.greatest(span["end"].cast("bigint") - before, long).alias("taken"),
+            )
+
+        return F.transform(items, piece)
+
+    def summed(pieces: Column) -> Column:
+        net = F.transform(pieces, lambda p: p["grown"] - p["taken"])
+        sums = let(net, lambda n: running(n, long, lambda a, b: a + b, "bigint"))
+        return F.struct(pieces.alias("pieces"), sums.alias("sums"))
+
+    def based(x: Column) -> Column:
+        # The stack is never below nothing: its height is the sum plus the deepest that sums have missed so far.
+        short = F.transform(x["pieces"], lambda p, i: F.greatest(p["taken"] - F.get(x["sums"], i), long))
+        missed = let(short, lambda v: F.transform(running(v, long, lambda a, b: F.greatest(a, b), "bigint"), lambda m, i: F.greatest(m, F.get(v, i))))
+        bases = let(missed, lambda m: F.transform(x["pieces"], lambda p, i: F.get(x["sums"], i) - p["taken"] + F.get(m, i)))
+        most = F.lit(2**62).cast("bigint")
+
+        def cut(b: Column) -> Column:
+            later = let(F.reverse(b), lambda r: running(r, most, lambda p, q: F.least(p, q), "bigint"))
+            return F.struct(b.alias("bases"), F.reverse(later).alias("cut"))
+
+        return F.struct(x["pieces"].alias("pieces"), let(bases, cut).alias("over"))
+
+    def texts(x: Column) -> Column:
+        def shown(paged: Column) -> Column:
+            def one(p: Column, i: Column) -> Column:
+                stays = F.least(F.get(x["over"]["cut"], i) - F.get(x["over"]["bases"], i), p["grown"])
+                off = (p["grown"] - F.greatest(stays, long)).cast("int")
+                rest = F.least(p["end"] + F.greatest(off - F.length(p["new"]), F.lit(0)), p["before"])
+                return F.concat(F.substring(p["new"], off + F.lit(1), F.length(p["new"])), slice_pages(paged, rest, p["before"]))
+
+            return F.array_join(F.reverse(F.transform(x["pieces"], one)), "")
+
+        return shown
+
+    head = F.substring(text, F.lit(1), F.greatest(F.element_at(ordered, -1)["span"]["start"], F.lit(0)))
+    tail = let(
+        let(let(laid(ordered), summed), based), lambda x: let(pages(text, x["pieces"]), texts(x))
+    )
+    return F.concat(head, tail)
 
 
 def sentence_split(text: Column) -> Column:

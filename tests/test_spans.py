@@ -1,6 +1,7 @@
 """Span extraction against Python's re, and properties of the span algebra."""
 
 import random
+import time
 import re
 
 import pytest
@@ -126,13 +127,16 @@ def test_resolved_spans_are_separate_and_text_between_is_kept(spark):
 def test_splice_any_follows_python_slices(spark):
     rng = random.Random(5)
     cases = []
-    for i in range(300):
+    for i in range(600):
         text = "".join(rng.choice("abcdé😀") for _ in range(rng.randint(0, 20)))
         given = []
-        for _ in range(rng.randint(0, 5)):
-            start = rng.randint(0, 22)
-            given.append(("T%d" % rng.randint(0, 3), start, start + rng.randint(0, 6)))
+        for _ in range(rng.randint(0, 5) if i % 2 else rng.randint(0, 40)):
+            start = rng.randint(0, 22) if i < 300 else rng.randint(0, len(text))
+            given.append(("T%d" % rng.randint(0, 3), start, start + rng.choice([0, 1, 3, 6, 15, 40, 10**9])))
         cases.append((i, text, given))
+    text = "".join(rng.choice("abcdé😀") for _ in range(9000))
+    places = [rng.randint(0, 9000) for _ in range(1500)]
+    cases.append((600, text, [("U", s, s + rng.randint(0, 60)) for s in places]))
     rows = [(i, t, [(k, s, e, 0.9, "", "") for k, s, e in g]) for i, t, g in cases]
     df = spark.createDataFrame(rows, f"id int, text string, g array<{spans.SPAN}>")
     out = df.select("id", spans.splice_any(F.col("text"), F.col("g"), masking.redacted).alias("o")).collect()
@@ -143,6 +147,21 @@ def test_splice_any_follows_python_slices(spark):
         assert r["o"] == text
 
 
+def test_many_overlapping_spans_in_a_long_text(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdefgh ", k=1_000_000))
+    given = [("T", s, s + rng.randint(1, 300), 0.9, "", "") for s in (rng.randint(0, 1_000_000) for _ in range(20_000))]
+    df = spark.createDataFrame([(text, given)], f"text string, g array<{spans.SPAN}>").cache()
+    df.count()
+    out = df.select(spans.splice_any(F.col("text"), F.col("g"), masking.redacted).alias("o"))
+    started = time.time()
+    got = out.first()["o"]
+    assert time.time() - started < 10
+    for k, s, e, *_ in sorted(given, key=lambda g: g[1], reverse=True):
+        text = text[:s] + f"[REDACTED_{k}]" + text[e:]
+    assert got == text
+
+
 def test_sentences(spark):
     text = "One. Two!! Three?  Four has 123-45-6789 in it... End"
     df = spark.createDataFrame([(text,)], "text string")
