@@ -30,7 +30,7 @@ DEFAULT_SALT = "pii"
 
 MASK_CONFIG = (
     "struct<mask_type:string,mask_char:string,mask_length:int,hash_algorithm:string,"
-    "salt:string,hash_length:int>"
+    "salt:string,hash_length:int,confidence_threshold:double>"
 )
 MASK_CONFIG_MAP = f"map<string,{MASK_CONFIG}>"
 _FIELDS = [
@@ -40,6 +40,7 @@ _FIELDS = [
     ("hash_algorithm", "string"),
     ("salt", "string"),
     ("hash_length", "int"),
+    ("confidence_threshold", "double"),
 ]
 
 

@@ -1,18 +1,20 @@
 """Policy document and its evaluation as a column expression.
 
 A policy is a small configuration document. It is read on the driver and becomes literal maps in
-the plan, so evaluating it needs neither a join nor a broadcast.
+the plan, so evaluating it needs neither a join nor a broadcast. Where rows differ in their policy, it is
+a column: see ``RULES`` here and ``compile_policies`` among the operators.
 """
 
 from __future__ import annotations
 
 import copy
 import json
+import logging
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import masking, messages, scoring
@@ -75,6 +77,7 @@ class Policy:
     """Policy document with typed access; never changed in place."""
 
     document: dict[str, Any] = field(default_factory=lambda: copy.deepcopy(DEFAULT_DOCUMENT))
+    problem: str | None = None
 
     @property
     def key(self) -> str:
@@ -113,32 +116,52 @@ class Policy:
     def default_masking_config(self) -> dict[str, dict[str, Any]]:
         """Settings of every masked type, and full masking for the rest."""
         config = {
-            name: {"mask_type": row.get("mask_type", "full"), "mask_char": row.get("mask_char", "*")}
+            name: {
+                "mask_type": row.get("mask_type", "full"),
+                "mask_char": row.get("mask_char", "*"),
+                "confidence_threshold": float(row.get("confidence_threshold", DEFAULT_CONFIDENCE_THRESHOLD)),
+            }
             for name, row in self.entities.items()
             if row.get("action") == "mask"
         }
-        config["DEFAULT"] = {"mask_type": "full", "mask_char": "*"}
+        config["DEFAULT"] = {"mask_type": "full", "mask_char": "*", "confidence_threshold": DEFAULT_CONFIDENCE_THRESHOLD}
         return config
 
 
-def load_policy(path: str | None = None) -> Policy:
-    """Policy from a YAML or JSON file; the fallback document if it is missing or unreadable."""
+def load_policy(path: str | None = None, spark: SparkSession | None = None) -> Policy:
+    """Policy from a YAML or JSON file; the fallback document if it is missing or unreadable.
+
+    With ``spark`` the file is read through Spark, from any store that Spark reads. ``problem`` of the
+    policy says why a file was not taken.
+    """
     if path is None:
         return Policy()
     try:
-        with open(path, encoding="utf-8") as handle:
-            content = handle.read()
-        if path.endswith(".json"):
-            return Policy(json.loads(content))
+        if spark is None:
+            with open(path, encoding="utf-8") as handle:
+                content = handle.read()
+        else:
+            content = spark.read.text(path, wholetext=True).first()[0]
+        return parse_policy(content, as_json=path.endswith(".json"))
+    except Exception as error:  # an unreadable policy must not switch protection off
+        logging.getLogger(__name__).warning("policy %s not loaded, using the fallback: %s", path, error)
+        return Policy(fallback_document(), problem=f"{type(error).__name__}: {error}")
+
+
+def parse_policy(content: str, as_json: bool = False) -> Policy:
+    """Policy from the text of a document, which must be a mapping of sections."""
+    if as_json:
+        document = json.loads(content)
+    else:
         import yaml
 
-        return Policy(yaml.safe_load(content))
-    except Exception as error:  # an unreadable policy must not switch protection off
-        print(f"policy {path} not loaded, using the fallback: {error}")
-        return Policy(fallback_document())
+        document = yaml.safe_load(content)
+    if not isinstance(document, dict):
+        raise ValueError("a policy document is a mapping of sections")
+    return Policy(document)
 
 
-_ROW = "struct<action:string,threshold:double,mask:" + masking.MASK_CONFIG + ">"
+ENTITY_ROW = "struct<action:string,threshold:double,mask:" + masking.MASK_CONFIG + ">"
 
 
 def _policy_row(row: Mapping[str, Any]) -> dict[str, Any]:
@@ -151,6 +174,7 @@ def _policy_row(row: Mapping[str, Any]) -> dict[str, Any]:
         "mask": {
             "mask_type": row.get("mask_type", "full"),
             "mask_char": row.get("mask_char", "*"),
+            "confidence_threshold": float(row.get("confidence_threshold", DEFAULT_CONFIDENCE_THRESHOLD)),
         },
     }
 
@@ -161,22 +185,51 @@ def _literal(value: Any, ddl: str) -> Column:
 
 
 def policy_rows(policy: Policy) -> Column:
-    return _literal({k: _policy_row(v) for k, v in policy.entities.items()}, f"map<string,{_ROW}>")
+    return _literal({k: _policy_row(v) for k, v in policy.entities.items()}, f"map<string,{ENTITY_ROW}>")
+
+
+#: A policy as one value, to be chosen per row. Roles without overrides or bypasses are left out.
+RULES = (
+    f"struct<default:{ENTITY_ROW},entities:map<string,{ENTITY_ROW}>,able:array<string>,"
+    "bypasses:map<string,array<string>>,max_entities:int,max_confidence:double>"
+)
+
+
+def rules_of(policy: Policy) -> Column:
+    """A loaded policy as a constant of type ``RULES``."""
+    return _literal(
+        {
+            "default": _policy_row(policy.default),
+            "entities": {k: _policy_row(v) for k, v in policy.entities.items()},
+            "able": [name for name, row in policy.roles.items() if row.get("can_override", False)],
+            "bypasses": {name: row["bypass_entities"] for name, row in policy.roles.items() if row.get("bypass_entities")},
+            "max_entities": policy.max_entities,
+            "max_confidence": policy.max_confidence,
+        },
+        RULES,
+    )
 
 
-def policy_for_entity(policy: Policy, entity_type: Column) -> Column:
-    """The type's row, else the default row."""
+def policy_for_entity(policy: Policy | Column, entity_type: Column) -> Column:
+    """The type's row, else the default row. Here and below a policy is a document, or a column of
+    type ``RULES`` that has the policy of each row."""
+    if isinstance(policy, Column):
+        return F.coalesce(F.try_element_at(policy["entities"], entity_type), policy["default"])
     return F.coalesce(
-        F.try_element_at(policy_rows(policy), entity_type), _literal(_policy_row(policy.default), _ROW)
+        F.try_element_at(policy_rows(policy), entity_type), _literal(_policy_row(policy.default), ENTITY_ROW)
     )
 
 
-def can_override(policy: Policy, role: Column) -> Column:
+def can_override(policy: Policy | Column, role: Column) -> Column:
+    if isinstance(policy, Column):
+        return F.coalesce(F.array_contains(policy["able"], role), F.lit(False))
     able = [name for name, row in policy.roles.items() if row.get("can_override", False)]
     return F.coalesce(role.isin(able), F.lit(False)) if able else F.lit(False)
 
 
-def can_bypass(policy: Policy, role: Column, entity_type: Column) -> Column:
+def can_bypass(policy: Policy | Column, role: Column, entity_type: Column) -> Column:
+    if isinstance(policy, Column):
+        return F.coalesce(F.array_contains(F.try_element_at(policy["bypasses"], role), entity_type), F.lit(False))
     answer = F.lit(False)
     for name, row in policy.roles.items():
         types = row.get("bypass_entities") or []
@@ -185,6 +238,14 @@ def can_bypass(policy: Policy, role: Column, entity_type: Column) -> Column:
     return F.coalesce(answer, F.lit(False))
 
 
+def _limits(policy: Policy | Column) -> tuple[Column, Column, Column, Column]:
+    """Most entities, confidence worth a note, and both as texts."""
+    if isinstance(policy, Column):
+        most, note = policy["max_entities"], policy["max_confidence"]
+        return most, note, most.cast("string"), note.cast("string")
+    return F.lit(policy.max_entities), F.lit(policy.max_confidence), F.lit(str(policy.max_entities)), F.lit(str(policy.max_confidence))
+
+
 def action_priority(action: Column) -> Column:
     result = None
     for name, priority in ACTION_PRIORITY.items():
@@ -208,7 +269,7 @@ def _decision(
 
 def decide(
     entities: Column,
-    policy: Policy,
+    policy: Policy | Column,
     role: Column | str = "user",
     bypass: Column | bool = False,
 ) -> Column:
@@ -222,6 +283,7 @@ def decide(
     role = role if isinstance(role, Column) else F.lit(role)
     bypass = F.coalesce(bypass, F.lit(False)) if isinstance(bypass, Column) else F.lit(bypass)
     override = can_override(policy, role)
+    most_entities, worth_a_note, most_text, note_text = _limits(policy)
     no_masks = F.create_map().cast(_DECISION_MASKS)
     count = F.size(entities)
 
@@ -261,12 +323,12 @@ def decide(
             escalate = risky & v["strongest"].isin("allow", "warn")
             reasons = F.concat(
                 F.when(
-                    v["highest"] >= F.lit(policy.max_confidence),
+                    v["highest"] >= worth_a_note,
                     F.array(
                         messages.fill(
                             messages.REASON_HIGH_CONFIDENCE,
                             confidence=scoring.two_decimals(v["highest"]),
-                            limit=str(policy.max_confidence),
+                            limit=note_text,
                         )
                     ),
                 ).otherwise(F.array().cast("array<string>")),
@@ -307,7 +369,7 @@ def decide(
             ),
         )
         .when(
-            count > F.lit(policy.max_entities),
+            count > most_entities,
             _decision(
                 F.lit("block"),
                 F.lit(1.0),
@@ -315,7 +377,7 @@ def decide(
                 override,
                 F.array(
                     messages.fill(
-                        messages.REASON_TOO_MANY, count=count.cast("string"), limit=str(policy.max_entities)
+                        messages.REASON_TOO_MANY, count=count.cast("string"), limit=most_text
                     )
                 ),
             ),

@@ -139,13 +139,14 @@ def sanitized(text: Column, entities: Column, risk: Column, decision: Column) ->
 
 def evaluate_policy(
     df: DataFrame,
-    policy: Policy | None = None,
+    policy: Policy | Column | None = None,
     role: Column | str = "user",
     bypass: Column | bool = False,
 ) -> DataFrame:
-    """Add the decision struct to a table that has entities."""
-    policy = policy or Policy()
-    fixed = isinstance(role, str) and isinstance(bypass, bool)
+    """Add the decision struct to a table that has entities. ``policy`` may be a column with the rules
+    that hold for each row."""
+    policy = Policy() if policy is None else policy
+    fixed = isinstance(policy, Policy) and isinstance(role, str) and isinstance(bypass, bool)
     decision = built_once(
         ("decide", policy.key, role, bypass) if fixed else None,
         lambda: policies.decide(F.col("entities"), policy, role, bypass),
@@ -155,7 +156,7 @@ def evaluate_policy(
 
 def sanitize(
     df: DataFrame,
-    policy: Policy | None = None,
+    policy: Policy | Column | None = None,
     role: Column | str = "user",
     bypass: Column | bool = False,
     text_col: str = "text",

@@ -160,11 +160,15 @@ JUDGED = (
 CAN_BYPASS = "((role = 'admin' and typ in ('PERSON', 'LOCATION')) or (role = 'analyst' and typ = 'LOCATION'))"
 
 
-def decision_ctes(src: str, roles: str = "select 'user' as role, false as bypass", external: str | None = None) -> str:
+def decision_ctes(
+    src: str, roles: str = "select 'user' as role, false as bypass", external: str | None = None, policy: Policy | None = None
+) -> str:
     """detection_ctes plus considered(...) and dec(id, role, bypass, action, thr, bypass_allowed, reasons)."""
+    rest = (policy or Policy()).default
+    judged = JUDGED.replace("'mask'", f"'{rest['action']}'").replace("0.8::double", f"{rest['confidence_threshold']}::double")
     return (
         detection_ctes(src, external)
-        + f""", {policy_values()}, {JUDGED},
+        + f""", {policy_values(policy)}, {judged},
 callers as ({roles}),
 considered as (select judged.*, role, bypass, {PRIORITY} as pri from judged, callers
   where c >= thr and not (bypass and {CAN_BYPASS})),

@@ -11,6 +11,7 @@ from maskwright.operators import detect as detection, policies as policy_tables,
 from maskwright.plans import oracle as o
 from maskwright.plans.catalog import query
 from maskwright.plans.corpus import corpus, table
+from maskwright.sources.folders import new_folder
 
 
 def entity_rows(df: DataFrame, key: str) -> DataFrame:
@@ -476,6 +477,104 @@ def policy_lookup(spark, sf_dir):
     )
 
 
+# What masked types of a decision are masked with.
+_MASKS_SQL = (
+    "select id as doc_id, role as user_role, bypass, typ as entity_type, mtype as mask_type, any_value(thr) as confidence_threshold "
+    "from considered where action = 'mask' and id in (select id from doc where n <= 5) group by all"
+)
+
+
+@query("decision_masking", f"with {_DECISIONS} {_MASKS_SQL}")
+def decision_masking(spark, sf_dir):
+    """The masking settings that decisions carry, their thresholds included."""
+    found = detection.detect(_with_external(spark, sf_dir), external_col="external_spans")
+    decided = sanitizing.evaluate_policy(_callers(found), role=F.col("user_role"), bypass=F.col("bypass"))
+    return decided.select("doc_id", "user_role", "bypass", F.explode("decision.masking_config").alias("entity_type", "m")).select(
+        "doc_id", "user_role", "bypass", "entity_type", F.col("m.mask_type").alias("mask_type"), F.col("m.confidence_threshold").alias("confidence_threshold")
+    )
+
+
+# Sections that replace those of the built-in document.
+_STRICT = """
+default_policy: {action: warn, confidence_threshold: 0.6}
+entity_policies:
+  EMAIL: {action: block, confidence_threshold: 0.7}
+  PHONE_NUMBER: {action: mask, confidence_threshold: 0.6, mask_type: hash}
+  URL: {action: allow, confidence_threshold: 0.5}
+  IP_ADDRESS: {action: mask, confidence_threshold: 0.65, mask_type: redact}
+"""
+_STRICT_POLICY = Policy().merged(policies.parse_policy(_STRICT).document)
+_ROLE = "select 'analyst' as role, false as bypass"
+
+
+def _decided_sql(src: str, policy: Policy) -> str:
+    masks = "select id, string_agg(distinct typ || '=' || mtype || '@' || thr, ' ' order by typ || '=' || mtype || '@' || thr) as m from considered where action = 'mask' group by id"
+    return (
+        f"select * from (with {o.decision_ctes(src, _ROLE, policy=policy)}, masks as ({masks}) "
+        "select dec.id as doc_id, dec.action, thr as confidence_threshold, bypass_allowed, reasons, case when n <= 5 then coalesce(m, '') else '' end as masks "
+        "from dec join doc on doc.id = dec.id left join masks on masks.id = dec.id)"
+    )
+
+
+@query(
+    "policies_by_row",
+    f"{_decided_sql(o.CORPUS_SRC + ' where doc_id % 3 <> 0', Policy())} union all {_decided_sql(o.CORPUS_SRC + ' where doc_id % 3 = 0', _STRICT_POLICY)}",
+)
+def policies_by_row(spark, sf_dir):
+    """Two policies in one table: a YAML file is loaded, its sections replace those of a copy of the
+    built-in document, and each row is judged by the policy that it names."""
+    path = new_folder(spark, "policy")
+    spark.createDataFrame([(_STRICT,)], "value string").coalesce(1).write.text(path, lineSep="\n")
+    loaded = policies.load_policy(path, spark)
+    documents = policy_tables.merge_documents(
+        policy_tables.policy_documents(spark, {"default": Policy(), "strict": Policy()}),
+        policy_tables.policy_documents(spark, {"strict": loaded}),
+    )
+    name = F.when(F.col("doc_id") % 3 == 0, F.lit("strict")).when(F.col("doc_id") % 3 == 1, F.lit("default")).otherwise(F.lit("unknown"))
+    found = policy_tables.with_policy(detection.detect(corpus(spark, sf_dir)), name, policy_tables.compile_policies(documents))
+    decided = sanitizing.evaluate_policy(found, F.col("rules"), role="analyst")
+    masks = F.transform(
+        F.map_entries("decision.masking_config"), lambda m: F.concat(m["key"], F.lit("="), m["value"]["mask_type"], F.lit("@"), m["value"]["confidence_threshold"].cast("string"))
+    )
+    return decided.select(
+        "doc_id",
+        F.col("decision.action").alias("action"),
+        F.col("decision.confidence_threshold").alias("confidence_threshold"),
+        F.col("decision.bypass_allowed").alias("bypass_allowed"),
+        F.array_join("decision.reasons", " | ").alias("reasons"),
+        F.array_join(F.array_sort(masks), " ").alias("masks"),
+    )
+
+
+@query(
+    "document_validation",
+    """with p as (select 'p' || c_custkey as policy, c_custkey % 4 as a, c_custkey % 5 as t, c_custkey % 3 as m from customer)
+select policy, 'entity_policies' as section, 'EMAIL' as name, 'Invalid confidence_threshold for ''EMAIL'': ' || case t when 1 then '1.5' when 2 then '0.5' else 'often' end as error from p where t in (1, 2, 3)
+union all select policy, 'entity_policies', 'EMAIL', 'Invalid mask_type for ''EMAIL'': blur' from p where a = 0 and m = 0
+union all select policy, 'entity_policies', 'EMAIL', 'Invalid action for ''EMAIL'': deny' from p where a = 1
+union all select policy, 'entity_policies', 'EMAIL', 'Entity policy ''EMAIL'' missing ''action'' field' from p where a = 2
+union all select policy, 'default_policy', 'default', 'Invalid action in default_policy: deny' from p where a = 1""",
+)
+def document_validation(spark, sf_dir):
+    """Errors of whole documents, of which a threshold in quotes is one."""
+    k = F.col("c_custkey")
+    action = F.when(k % 4 == 0, F.lit("mask")).when(k % 4 == 1, F.lit("deny")).when(k % 4 == 3, F.lit("warn"))
+    fields = F.array_compact(F.array(
+        F.when(action.isNotNull(), F.concat(F.lit('"action": "'), action, F.lit('"'))),
+        F.when(k % 3 == 0, F.lit('"mask_type": "blur"')).otherwise(F.lit('"mask_type": "hash"')),
+        F.when(k % 5 == 0, F.lit('"confidence_threshold": 0.5')).when(k % 5 == 1, F.lit('"confidence_threshold": 1.5'))
+        .when(k % 5 == 2, F.lit('"confidence_threshold": "0.5"')).when(k % 5 == 3, F.lit('"confidence_threshold": "often"')),
+    ))
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("p"), k.cast("string")).alias("policy"),
+        F.explode(F.create_map(
+            F.lit("default_policy"), F.concat(F.lit('{"action": "'), F.coalesce(action, F.lit("allow")), F.lit('"}')),
+            F.lit("entity_policies"), F.concat(F.lit('{"EMAIL": {'), F.array_join(fields, ", "), F.lit("}}")),
+        )).alias("section", "body"),
+    )
+    return policy_tables.validate_documents(rows.withColumn("body", F.parse_json("body")))
+
+
 @query(
     "high_risk_types",
     f"with {o.detection_ctes(o.CORPUS_SRC)} select doc.id as doc_id, coalesce(t, '') as high_risk_types from doc left join "
