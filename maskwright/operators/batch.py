@@ -47,6 +47,24 @@ def batch_summary(
     )
 
 
+#: Why a text of a batch has no result.
+NO_TEXT = "text is missing"
+
+
+def batch_results(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Detection of every text of a batch, with ``error``: null, or why the text failed.
+
+    A failed text has an empty result of its own and no effect on the others; all other columns,
+    the request's key and the place in it among them, stay.
+    """
+    found = detect(df, text_col)
+    failed = F.col(text_col).isNull()
+    none = {"entities": F.array().cast(found.schema["entities"].dataType), "risk_score": F.lit(0.0), "has_high_risk_pii": F.lit(False)}
+    return found.withColumns({c: F.when(failed, v).otherwise(F.col(c)) for c, v in none.items()}).withColumn(
+        "error", F.when(failed, F.lit(NO_TEXT))
+    )
+
+
 def result_key(text: Column, config: Column) -> Column:
     """Key under which a result for this text and configuration can be reused."""
     return F.sha2(F.to_json(F.struct(config.alias("config"), text.alias("text"))), 256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +27,16 @@ def model_predictions(spans: DataFrame) -> DataFrame:
     )
 
 
-def external_spans(texts: DataFrame, spans: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+def external_spans(texts: DataFrame, spans: DataFrame, key: str, text_col: str = "text", order: Sequence[str] = ()) -> DataFrame:
     """Add ``external_spans`` to every text; texts without any get an empty array.
 
-    ``spans`` is (key, entity_type, start, end, confidence). Spans of one text are grouped before
-    the join, so a text's row is shuffled once. The array holds the spans of one text only.
+    ``spans`` is (key, entity_type, start, end, confidence, *order). Of spans at the same place the one
+    that comes first by ``order`` (the model's own order) wins ties; without it, by type. Spans of one
+    text are grouped before the join, so a text's row is shuffled once. The array holds the spans of
+    one text only.
     """
+    place = [F.col("start").cast("int"), F.col("end").cast("int")]
+    first = [F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)] or [p.alias(f"o{i}") for i, p in enumerate(place)]
     per_text = (
         model_predictions(spans)
         .groupBy(key)
@@ -38,6 +44,7 @@ def external_spans(texts: DataFrame, spans: DataFrame, key: str, text_col: str =
             F.array_sort(
                 F.collect_list(
                     F.struct(
+                        *first,
                         F.col("start").cast("int").alias("start"),
                         F.col("end").cast("int").alias("end"),
                         _renamed(F.col("entity_type")).alias("entity_type"),

@@ -156,3 +156,21 @@ def stream_bulk_audit(spark, sf_dir):
     return back.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("event_day")).agg(
         F.count("*").alias("events"), F.sum("entities_detected").alias("entities")
     )
+
+
+@query("audit_compaction", _DAY_SQL)
+def audit_compaction(spark, sf_dir):
+    """Events written in many batches, one of them twice, compacted in two steps and read back."""
+    out = new_folder(spark, "audit")
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    numbered = rows.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(8)))
+    for i in range(8):
+        batch = numbered.filter(F.col("part") == i).selectExpr(*batch_queries._request_columns("detection"))
+        audit.write_batch(audit.audit_events(batch, "detection"), out, i)
+        if i in (4, 6):
+            audit.compact_audit(spark, out, i - 1)
+            audit.write_batch(audit.audit_events(batch, "detection"), out, i)  # a batch that is run again
+    back = audit.read_audit(spark, out)
+    return back.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("event_day")).agg(
+        F.count("*").alias("events"), F.sum("entities_detected").alias("entities")
+    )

@@ -193,6 +193,16 @@ def batch_summary(spark, sf_dir):
     return batch.batch_summary(_with_failing(spark, sf_dir, "request_id"))
 
 
+@query(
+    "batch_results",
+    f"with {o.detection_ctes(_FAILING_SRC)} select id as doc_id, n as total_entities, risk as risk_score, high as has_high_risk_pii, case when text is null then 'text is missing' end as error from doc",
+)
+def batch_results(spark, sf_dir):
+    """Every text's own result, and the error of those that failed."""
+    found = batch.batch_results(_with_failing(spark, sf_dir, "request_id"))
+    return found.select("doc_id", F.size("entities").alias("total_entities"), "risk_score", "has_high_risk_pii", "error")
+
+
 _REUSE_SQL = """with recursive t as (select event_type as key, epoch_us(ts) as t from events),
 pos as (select key, t, row_number() over (partition by key order by t) as rn from t),
 walk as (select key, t, rn, t as since, 1 as misses from pos where rn = 1

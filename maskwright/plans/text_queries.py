@@ -278,6 +278,31 @@ def resolve_external(spark, sf_dir):
     return entity_rows(detection.detect(joined, external_col="external_spans"), "doc_id")
 
 
+# Two spans of a model at each text's start, of equal place and confidence, in the model's order.
+_TIED = "case when doc_id % 2 = 0 then 'PERSON' else 'LOCATION' end"
+_TIED_LATER = "case when doc_id % 2 = 0 then 'LOCATION' else 'PERSON' end"
+_TIED_CTE = (
+    f"select id, 0, 4, -1000000 + rank, typ, 0.95::double, 'external', substring(text, 1, 4) from (select id, text, 1 as rank, {_TIED.replace('doc_id', 'id')} as typ from src "
+    f"union all select id, text, 2, {_TIED_LATER.replace('doc_id', 'id')} from src)"
+)
+
+
+@query(
+    "external_in_order",
+    f"with {o.detection_ctes(o.CORPUS_SRC, external=_TIED_CTE)} select ent.id as doc_id, typ as entity_type, s as start_pos, "
+    "e as end_pos, c as confidence, txt as matched_text, context, risk as risk_score, high as has_high_risk_pii from ent join doc on doc.id = ent.id",
+)
+def external_in_order(spark, sf_dir):
+    """Spans that tie keep the order in which their model gave them."""
+    from maskwright.operators.external import external_spans
+
+    texts = corpus(spark, sf_dir)
+    given = texts.selectExpr("doc_id", f"explode(array(struct(2 as rank, {_TIED_LATER} as t), struct(1 as rank, {_TIED} as t))) as x")
+    rows = given.selectExpr("doc_id", "x.t as entity_type", "0 as start", "4 as `end`", "0.95D as confidence", "x.rank as rank")
+    joined = external_spans(texts, rows, "doc_id", order=["rank"])
+    return entity_rows(detection.detect(joined, external_col="external_spans"), "doc_id")
+
+
 # --- masking
 
 

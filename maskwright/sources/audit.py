@@ -7,6 +7,7 @@ partition column).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -125,8 +126,53 @@ def bulk_audit_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the committed manifests, oldest first."""
+    jvm = spark._jvm
+    found = jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest/*/_SUCCESS")
+    states = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
+    return sorted(s.getPath().getParent().toString() for s in states)
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, str | None, int]:
+    """(version, folder of the compacted events, last batch in it) that readers follow now."""
+    committed = _manifests(spark, path)
+    if not committed:
+        return 0, None, -1
+    row = spark.read.schema("version int, folder string, last_batch bigint").json(committed[-1]).first()
+    return row["version"], row["folder"], row["last_batch"]
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+    """The events of an audit table: those its manifest lists as compacted, and later batches."""
+    _, folder, last = _manifest(spark, path)
+    if folder is None:
+        return spark.read.option("basePath", path).parquet(path)
+    compacted = spark.read.parquet(folder)
+    schema = compacted.withColumn("batch_id", F.lit(0)).schema
+    later = spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch_id") > last)
+    return compacted.withColumn("batch_id", F.lit(None).cast("int")).unionByName(later)
+
+
+def compact_audit(spark: SparkSession, path: str, last_batch: int) -> int:
+    """Gather all events of batches up to ``last_batch`` in few files a day; the manifest's version.
+
+    A stream may still run a batch again until it has begun the next, so ``last_batch`` is to be one
+    that its checkpoint has committed. Compacted events go to a folder of their own; readers follow
+    the manifest, which is committed last and names the folder and the batches it stands for: they
+    see the old files or the new, never both or neither, and a compaction that fails changes nothing.
+    Of two at the same time one fails to commit. Files are sized by Spark's rebalancing, so a busy
+    day is several. Nothing to compact: the version stays.
+    """
+    version, folder, done = _manifest(spark, path)
+    if last_batch <= done:
+        return version
+    events = read_audit(spark, path).filter(F.col("batch_id").isNull() | (F.col("batch_id") <= last_batch)).drop("batch_id")
+    target = f"{path}/_compacted/{uuid.uuid4().hex}"
+    events.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(target)
+    row = spark.range(1).select(F.lit(version + 1).alias("version"), F.lit(target).alias("folder"), F.lit(last_batch).cast("bigint").alias("last_batch"))
+    row.write.mode("error").json(f"{path}/_manifest/{version + 1:012d}")
+    return version + 1
 
 
 def _in_range(events: DataFrame, start: datetime, end: datetime) -> DataFrame:
