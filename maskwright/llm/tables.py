@@ -25,6 +25,15 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_in_buckets(df: DataFrame, key: str, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``: a join by it moves the other side only."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, purpose)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def shared(spark: SparkSession, value: object) -> Broadcast:
     """Send an object of bounded size to the executors, its class by value; ``opened`` reads it."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

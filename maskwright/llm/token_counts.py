@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from maskwright.llm.tables import opened, shared, slices
-from maskwright.sources.folders import new_folder
+from maskwright.llm.tables import opened, saved_in_buckets, shared, slices
 
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 32_000_000
@@ -138,15 +137,6 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int32).ravel().astype(np.int64)
 
 
-def _in_buckets(df: DataFrame, key: str) -> DataFrame:
-    """``df`` written to the shared folder in buckets of ``key``: a join by it moves the other side only."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, "chunks")
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
-
-
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row: bytes of its text in UTF-8, tokens of its
     whole text under ``tokenizer`` (the JSON text of a byte-pair tokenizer file), more than ``limit``.
@@ -217,7 +207,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_bytes
                 yield pa.RecordBatch.from_arrays([ids, size, pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
     read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chunks = _in_buckets(read.mapInArrow(split, schema), "chunk")
+    chunks = saved_in_buckets(read.mapInArrow(split, schema), "chunk", "chunks")
     lists = chunks.select("chunk", F.posexplode("pre_tokens").alias("place", "pre_token"))
     counts = lists.select("pre_token").distinct().mapInArrow(pieces, "pre_token string, pieces int")
     found = lists.join(counts, "pre_token").groupBy("chunk").agg(F.collect_list(F.struct("place", "pieces")).alias("found"))

@@ -340,6 +340,20 @@ def test_backoff_against_brute_force(spark, odd, none, monkeypatch):
     assert ngram_lm.backoff_scores(none).count() == 0
 
 
+def test_backoff_of_equal_rows_is_spread(spark, monkeypatch):
+    """Rows without id and with equal texts are many chunks, in many tasks."""
+    monkeypatch.setattr(ngram_lm, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(ngram_lm, "BUCKET_BYTES", 200_000)
+    sizes = []
+    kept = ngram_lm.saved_in_buckets
+    monkeypatch.setattr(ngram_lm, "saved_in_buckets", lambda *a: sizes.append(kept(*a)) or sizes[-1])
+    rows = spark.range(0, 100_000, 1, 16).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("same words here").alias("text"))
+    found = ngram_lm.backoff_scores(rows).groupBy("n_words", F.round("log_score", 9).alias("s")).count().collect()
+    assert [(r["n_words"], r["count"], r["s"]) for r in found] == [(3, 100_000, round(float(np.log(1 / 3)), 9))]
+    by_size = sizes[0].agg(F.count("*"), F.max(F.size("doc_ids"))).first()
+    assert by_size[0] >= 64 and by_size[1] < 2000
+
+
 def test_packing():
     for values in ([], [0], [1, 2, 255], [256, 0, 1 << 40]):
         x = np.array(values, dtype=np.uint64)
