@@ -1,7 +1,9 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
-A word's input joins a learned vector of the word (for words frequent in training) and the mean of
-learned vectors of its character trigrams. The network reads overlapping windows of words in both
+A word's input joins a learned vector of the word (for words frequent in training), whose first
+entry starts as the evidence of the word's counts by class, the mean of learned vectors of its
+character trigrams, and the strongest evidence of its first characters, which words of one stem share.
+The network reads overlapping windows of words in both
 directions, pools its states by attention, and scores each window; a text scores as its most toxic
 window. It is trained in numpy by one task, on a bounded sample of labelled texts; scoring is
 map-only.
@@ -29,6 +31,7 @@ EXTRA, SPREAD = 1, 4.0
 DROPPED = 0.1
 DECAY, MOST_DECAY = 12.0, 0.04  # word vectors shrink by DECAY / toxic texts of a step, at most
 VOCABULARY, MIN_TEXTS, MIN_SHARE = 20_000, 3, 0.005
+BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a word's beginning that evidence is counted for
 WORDS_KEPT = 300_000  # word types whose inputs a task remembers
 WINDOWS_AT_ONCE = 2048
 
@@ -65,7 +68,8 @@ class Net:
         draw = np.random.default_rng(seed)
         at = lambda *shape, scale: draw.normal(0, scale, shape).astype(np.float32)
         self.vocabulary = {w: i + 1 for i, w in enumerate(vocabulary)}
-        inputs = WORD_DIM + CHAR_DIM
+        self.beginnings: dict[bytes, float] = {}
+        inputs = WORD_DIM + CHAR_DIM + 1
         self.p = {
             "word": at(len(vocabulary) + 1, WORD_DIM, scale=0.1),
             "char": at(CHAR_BUCKETS, CHAR_DIM, scale=0.1),
@@ -81,25 +85,30 @@ class Net:
     def dump(self) -> bytes:
         words = np.array(list(self.vocabulary), dtype=object)
         out = io.BytesIO()
-        np.savez(out, vocabulary=np.frombuffer(b"\n".join(words.tolist()), dtype=np.uint8), **self.p)
+        lists = {"vocabulary": words.tolist(), "beginnings": list(self.beginnings)}
+        texts = {k: np.frombuffer(b"\n".join(v), dtype=np.uint8) for k, v in lists.items()}
+        np.savez(out, **texts, evidence=np.array(list(self.beginnings.values())), **self.p)
         return out.getvalue()
 
     @classmethod
     def load(cls, blob: bytes) -> Net:
         stored = dict(np.load(io.BytesIO(blob)))
-        words = stored.pop("vocabulary").tobytes().split(b"\n")
-        net = cls([w for w in words if w])
+        words, begin = ([w for w in stored.pop(k).tobytes().split(b"\n") if w] for k in ("vocabulary", "beginnings"))
+        net = cls(words)
+        net.beginnings = dict(zip(begin, stored.pop("evidence").tolist()))
         net.p = stored
         return net
 
-    def parts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Vocabulary numbers, trigram buckets and trigram counts of cleaned words."""
+    def parts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Vocabulary numbers, trigram buckets, trigram counts and evidence of the beginnings of cleaned words."""
         ids = np.array([self.vocabulary.get(w, 0) for w in words], dtype=np.int64)
-        return ids, *_trigrams(words)
+        known = self.beginnings.get
+        lead = np.array([max((known(w[:n], 0.0) for n in BEGINNINGS), key=abs) for w in words], dtype=np.float32)
+        return ids, *_trigrams(words), lead
 
-    def embed(self, ids: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def embed(self, ids: np.ndarray, grams: np.ndarray, counts: np.ndarray, lead: np.ndarray) -> np.ndarray:
         chars = np.add.reduceat(self.p["char"][grams], np.cumsum(counts) - counts, axis=0) / counts[:, None]
-        return np.concatenate([self.p["word"][ids] * (ids > 0)[:, None], chars], axis=1).astype(np.float32)
+        return np.concatenate([self.p["word"][ids] * (ids > 0)[:, None], chars, lead[:, None]], axis=1).astype(np.float32)
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """What each word adds to the gates of both directions."""
@@ -246,6 +255,18 @@ def _evidence(with_word: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.sign(with_word[:, 1] - expected[:, 1]) * np.minimum(np.maximum(root - CHANCE, 0), 8) / 4
 
 
+def _beginnings(split: list[list[bytes]], labels: np.ndarray, least: float) -> dict[bytes, float]:
+    """Evidence of beginnings of words, counted by texts; those that say nothing are left out."""
+    with_it: list[Counter] = [Counter(), Counter()]
+    for words, label in zip(split, labels):
+        with_it[label].update({w[:n] for w in set(words) for n in BEGINNINGS if len(w) >= n})
+    names = sorted(b for b in with_it[0].keys() | with_it[1].keys() if with_it[0][b] + with_it[1][b] >= least)
+    if not names:
+        return {}
+    found = _evidence(np.array([[c[b] for c in with_it] for b in names], dtype=float), np.bincount(labels, minlength=2))
+    return {b: float(x) for b, x in zip(names, found) if x}
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = 14, seed: int = 7) -> Net:
     """Fit on texts labelled 0 or 1; of each text, the window that scores highest is learned from."""
     split = [[_clean(w) for w in t.encode("utf-8", "replace").lower().split()] for t in texts]
@@ -257,10 +278,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, seed: int = 7)
     for own, label in zip(split, labels):
         by_class[[i for i in {net.vocabulary.get(w, 0) for w in own} if i], label] += 1
     net.p["word"][:, 0] = _evidence(by_class, np.bincount(labels, minlength=2))
+    net.beginnings = _beginnings(split, labels, least)
     types = {w: i for i, w in enumerate(seen)}
     if not types:
         return net
-    ids, grams, counts = net.parts(list(types))
+    ids, grams, counts, lead = net.parts(list(types))
     gram_starts = np.cumsum(counts) - counts
     words = np.array([types[w] for s in split for w in s], dtype=np.int64)
     lengths = np.array([len(s) for s in split])
@@ -271,13 +293,15 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, seed: int = 7)
     draw = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     done, decay = 0, min(MOST_DECAY, DECAY / max(int(labels.sum()), 1))
+    # Windows of the other class are many more than its texts: fewer toxic texts count for more.
+    rarer = float(np.clip(np.sqrt((labels == 0).sum() / max(int(labels.sum()), 1)), 1, 3))
     per_batch = int(np.clip(len(texts) // 12, 8, 96))
     epochs = max(epochs, min(30, 14 * 1200 // max(len(texts), 1)))
-    signs = np.concatenate([[0.0], np.cumsum(np.abs(net.p["word"][ids[words], 0]))])
+    signs = np.concatenate([[0.0], np.cumsum(np.abs(net.p["word"][ids[words], 0]) + np.abs(lead[words]))])
     for epoch in range(epochs):
         score = signs[begin + size] - signs[begin] + 0.01 * draw.random(len(text))
         if epoch > 1:
-            rows = net.embed(ids, grams, counts) @ net.p["w"] + net.p["b"]
+            rows = net.embed(ids, grams, counts, lead) @ net.p["w"] + net.p["b"]
             for start in range(0, len(text), WINDOWS_AT_ONCE):
                 w = slice(start, start + WINDOWS_AT_ONCE)
                 score[w] = net.forward(rows[words[begin[w][:, None] + steps]], steps < size[w][:, None])[0]
@@ -293,11 +317,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, seed: int = 7)
             own, place = np.unique(at, return_inverse=True)
             own_counts = counts[own]
             own_grams = grams[np.repeat(gram_starts[own] - (np.cumsum(own_counts) - own_counts), own_counts) + np.arange(own_counts.sum())]
-            e = net.embed(ids[own], own_grams, own_counts)
+            e = net.embed(ids[own], own_grams, own_counts, lead[own])
             mask &= draw.random(mask.shape) >= DROPPED
             logit, state = net.forward((e @ net.p["w"] + net.p["b"])[place.reshape(at.shape)], mask, keep=True)
             target = labels[text[w]]
-            d_logit = ((_sigmoid(logit) - target) / len(w)).astype(np.float32)
+            d_logit = ((_sigmoid(logit) - target) * np.where(target == 1, rarer, 1.0) / len(w)).astype(np.float32)
             grads, dx = net.backward(d_logit, mask, state)
             flat = dx.reshape(-1, dx.shape[2]) * mask.reshape(-1, 1)
             by_type = np.zeros((len(own), dx.shape[2]), np.float32)
@@ -307,7 +331,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, seed: int = 7)
             grads["word"] = np.zeros_like(net.p["word"])
             np.add.at(grads["word"], ids[own], d_embed[:, :WORD_DIM] * (ids[own] > 0)[:, None])
             grads["char"] = np.zeros_like(net.p["char"])
-            np.add.at(grads["char"], own_grams, np.repeat(d_embed[:, WORD_DIM:] / own_counts[:, None], own_counts, axis=0))
+            np.add.at(grads["char"], own_grams, np.repeat(d_embed[:, WORD_DIM : WORD_DIM + CHAR_DIM] / own_counts[:, None], own_counts, axis=0))
             done += 1
             for k, g in grads.items():
                 m, v = moments[k]
