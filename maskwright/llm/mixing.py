@@ -120,13 +120,15 @@ def mix(docs: DataFrame, sources: Column, repeats: int = 2, share: float = 1.5,
     null or empty array is the null source). ``size`` counts words (null text: 0), ``taken`` is
     size times the uses the mix makes of the row, and ``uses`` names the source each use counts for.
     ``source_size`` and ``target`` are the size and target of the row's first source. Whole rows are
-    taken, in an order set by md5 of seed and doc_id, so a pattern's words come within about one row
+    taken, in an order set by md5 of seed and doc_id (of rows without one: a hash of the text, so that they
+    are spread like others), so a pattern's words come within about one row
     of what the flow asks; rows of size 0 are not taken. Rows with equal doc_id stand together.
     Targets above ``repeats`` times a source's words cannot occur. An empty table gives no rows.
     """
     spark = docs.sparkSession
     own = F.array_sort(F.array_distinct(F.when(F.size(sources) > 0, sources).otherwise(F.array(F.lit(None).cast("string")))))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("bigint")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), name)), 1, 15), 16, 10).cast("bigint")
     rows = docs.select("doc_id", word_count(F.col("text")).alias("size"), own.alias("sources"), draw.alias("draw"))
     rows = saved(rows.withColumn("slot", F.shiftright("draw", 48).cast("int")), "sizes")
     sums = rows.groupBy("sources").agg(F.sum("size").alias("n")).collect()  # one row per pattern

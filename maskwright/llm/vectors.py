@@ -26,7 +26,7 @@ from maskwright.llm.components import components
 from maskwright.llm.tables import opened, saved, shared
 
 SAMPLE = 20_000  # vectors that centroids and codes are fitted on
-PER_LIST = 2048  # vectors of a label aimed at per list
+PER_LIST = 2048  # vectors of the largest label aimed at per list
 MAX_LISTS = 4096
 BLOCK = 2048  # stored vectors of a list that one task holds at once
 QUERIES = 512  # queries compared at once
@@ -193,8 +193,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = S
         F.first("label").cast("string").alias("label"), F.first("embedding").alias("embedding"),
     )
     groups = saved(grouped, "groups")
-    total = groups.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    lists = int(np.clip(round(total[0] / (PER_LIST * max(total[1], 1))), 1, MAX_LISTS))
+    # As many lists as the largest label needs: one label may have most of the vectors.
+    total = groups.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    total = [n or 0 for n in total]
+    lists = int(np.clip(round(total[1] / PER_LIST), 1, MAX_LISTS))
     share = min(1.0, sample / max(total[0], 1))
     chosen = groups.filter(F.pmod(F.xxhash64("__key0"), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding")
     drawn = [np.array(r, dtype=kind) for r in chosen.orderBy(F.xxhash64("embedding")).toArrow().column(0).to_pylist()]

@@ -213,6 +213,40 @@ def test_mix(odd, none):
     assert mixing.mix(none, F.array("source")).count() == 0
 
 
+def test_mix_spreads_rows_without_id(spark, monkeypatch):
+    """Rows without id lie along the whole line: they are not one slot, and their words come near the target."""
+    rows = spark.range(0, 20_000, 1, 8).select(
+        F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"),
+        F.when(F.col("id") % 3 == 0, F.lit("a")).otherwise(F.lit("b")).alias("source"),
+    )
+    kept = []
+    own = mixing.saved
+    monkeypatch.setattr(mixing, "saved", lambda df, name: kept.append((name, own(df, name))) or kept[-1][1])
+    found = mixing.mix(rows, F.array("source")).groupBy("source_size").agg(F.sum("taken").alias("t"), F.first("target").alias("x")).collect()
+    slots = next(df for name, df in kept if name == "sizes").groupBy("sources", "slot").count()
+    assert slots.agg(F.max("count")).first()[0] < 40
+    assert len(found) == 2 and all(abs(r["t"] - r["x"]) <= 4 for r in found)
+
+
+def test_vectors_with_one_hot_label(spark, monkeypatch):
+    """Lists follow the largest label, though a thousand others have few vectors each."""
+    seen = []
+    own = vectors.Quantiser
+    monkeypatch.setattr(vectors, "PER_LIST", 64)
+    monkeypatch.setattr(vectors, "Quantiser", lambda sample, lists, *a: seen.append(lists) or own(sample, lists, *a))
+    draw = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in draw.standard_normal(4)], "hot" if i < 500 else f"l{i % 1000}") for i in range(1500)]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string"))
+    got = {r["vec_id"]: r["n_links"] for r in found.collect()}
+    assert max(seen) == 8
+    x = np.array([np.array(v, np.float32) for _, v, _ in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for label in {label for *_, label in rows}:
+        own_rows = [i for i, r in enumerate(rows) if r[2] == label]
+        near = (x[own_rows] @ x[own_rows].T >= 0.98).sum(1) - 1
+        assert [got[i] for i in own_rows] == near.tolist()
+
+
 def brute_fingerprint(text):
     import xxhash
 
