@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import calibration as cal
 from maskwright.functions.spans import span_context
-from maskwright.operators.skew import hot_keys
 
 # --- Fixed values: what stands in for a type without prototypes, and the training minimum.
 UNKNOWN_TYPE_SIMILARITY = 0.5
@@ -20,7 +19,7 @@ MIN_NER_EXAMPLES = 50
 # --- end of fixed values
 
 VECTORS_PER_BLOCK = 256
-ROWS_PER_SLICE = 100_000
+COMPARISONS_PER_SLICE = 250_000
 
 
 def _blocks(vectors: DataFrame) -> DataFrame:
@@ -34,13 +33,16 @@ def _blocks(vectors: DataFrame) -> DataFrame:
 def _nearest(rows: DataFrame, label: Column, vector: str, blocks: DataFrame, name: str) -> DataFrame:
     """``rows`` (id, row) with ``name``: the highest similarity of row's ``vector`` to its label's blocks.
 
-    Rows of a label that many share are dealt out in slices and its blocks repeated for each. A row
+    Rows of a label that are many, or have many prototypes to meet, are dealt out in slices of about
+    ``COMPARISONS_PER_SLICE``, and the label's blocks repeated for each. A row
     meets one block after the other and the highest similarity is a partial maximum, so neither a
     type's prototypes nor its rows are ever gathered.
     """
     named = rows.withColumn("label", label)
-    counts = named.groupBy("label").agg(F.count("*").alias("n"))
-    hot = hot_keys(counts.filter(F.col("label").isNotNull()), "label", ROWS_PER_SLICE).withColumnRenamed("__slices", "slices")
+    counts = named.filter(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n"))
+    sizes = blocks.groupBy("label").agg(F.sum(F.size("vectors")).alias("m"))
+    work = F.ceil(F.col("n") * F.col("m") / F.lit(COMPARISONS_PER_SLICE)).cast("int")
+    hot = counts.join(sizes, "label").select("label", work.alias("slices")).filter("slices > 1")
     slices = F.coalesce("slices", F.lit(1))
     dealt = named.join(hot, "label", "left").withColumn("slice", F.pmod(F.xxhash64("id"), slices).cast("int"))
     repeated = blocks.join(hot, "label", "left").select("label", "vectors", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))

@@ -13,7 +13,7 @@ from maskwright.plans import oracle as o
 from maskwright.plans.catalog import query
 from maskwright.plans.corpus import corpus, events, table
 from maskwright.sources import audit, texts as text_io
-from maskwright.sources.folders import new_folder
+from maskwright.sources.folders import new_folder, written
 
 # --- bodies
 
@@ -967,7 +967,7 @@ from src left join adjusted on adjusted.id = src.id group by src.id""",
 )
 def enhance_texts(spark, sf_dir):
     """Detected texts whose entities carry the confidence that vectors and context support."""
-    detected = detection.detect(corpus(spark, sf_dir)).select("doc_id", "text", "entities")
+    detected = written(detection.detect(corpus(spark, sf_dir)).select("doc_id", "text", "entities"), "detected")  # read three times
     embeddings = table(spark, sf_dir, "embeddings")
     places = detected.select("doc_id", F.posexplode("entities").alias("ord", "entity"))
     named = places.withColumn("vec_id", F.pmod(F.col("doc_id") + F.col("ord"), F.lit(max(embeddings.count(), 1))))

@@ -12,7 +12,7 @@ def cosine(a, b):
 
 def test_many_prototypes_and_a_hot_type(spark, monkeypatch):
     monkeypatch.setattr(semantic, "VECTORS_PER_BLOCK", 7)
-    monkeypatch.setattr(semantic, "ROWS_PER_SLICE", 20)
+    monkeypatch.setattr(semantic, "COMPARISONS_PER_SLICE", 1200)
     rng = random.Random(4)
     draw = lambda: [rng.gauss(0, 1) for _ in range(5)]
     protos = [("pattern", t, draw()) for t in ("EMAIL", "URL") for _ in range(60)] + [("context", "any", draw()) for _ in range(50)]
