@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import calibration as cal
 from maskwright.functions.spans import span_context
+from maskwright.operators.skew import frequent
 
 # --- Fixed values: what stands in for a type without prototypes, and the training minimum.
 UNKNOWN_TYPE_SIMILARITY = 0.5
@@ -38,14 +39,15 @@ def _nearest(rows: DataFrame, label: Column, vector: str, blocks: DataFrame, nam
     meets one block after the other and the highest similarity is a partial maximum, so neither a
     type's prototypes nor its rows are ever gathered.
     """
-    named = rows.withColumn("label", label)
-    counts = named.filter(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n"))
-    sizes = blocks.groupBy("label").agg(F.sum(F.size("vectors")).alias("m"))
+    named = rows.withColumn("label", label).withColumn("h", F.xxhash64("label"))
+    counts = frequent(named, F.col("label")).withColumnRenamed("__h", "h")
+    sizes = blocks.groupBy(F.xxhash64("label").alias("h")).agg(F.sum(F.size("vectors")).alias("m"))
     work = F.ceil(F.col("n") * F.col("m") / F.lit(COMPARISONS_PER_SLICE)).cast("int")
-    hot = counts.join(sizes, "label").select("label", work.alias("slices")).filter("slices > 1")
+    hot = F.broadcast(counts.join(sizes, "h").select("h", work.alias("slices")).filter("slices > 1"))  # bounded by ``frequent``
     slices = F.coalesce("slices", F.lit(1))
-    dealt = named.join(hot, "label", "left").withColumn("slice", F.pmod(F.xxhash64("id"), slices).cast("int"))
-    repeated = blocks.join(hot, "label", "left").select("label", "vectors", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    dealt = named.join(hot, "h", "left").withColumn("slice", F.pmod(F.xxhash64("id"), slices).cast("int")).drop("h")
+    spread = blocks.withColumn("h", F.xxhash64("label")).join(hot, "h", "left")
+    repeated = spread.select("label", "vectors", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
     met = dealt.drop("slices").join(repeated, ["label", "slice"], "left")
     met = met.withColumn(name, cal.best_similarity(F.col("row")[vector], F.col("vectors")))
     carried = [F.any_value(c).alias(f"any_{c}") for c in rows.columns if c != "id"]
