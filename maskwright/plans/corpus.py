@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.sources.texts import dealt
+
 CORPUS_SQL = """
 select c_custkey as doc_id, case c_custkey % 20
  when 0 then 'Contact user' || k || '@example.com about order ' || k
@@ -40,8 +42,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): one templated text per customer."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    """(doc_id, text): one templated text per customer. Customers are dealt out, as searching a text
+    takes far longer than reading a key."""
+    customers = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     return spark.sql(CORPUS_SQL, customer=customers)
 
 

@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import scoring
 
+ROWS_PER_TASK = 5000
+
+
+def dealt(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows dealt out by ``key``, about ``rows_per_task`` to a task.
+
+    A scan is cut by bytes and never inside a row group, so a narrow table whose columns make texts is
+    one task's work however many rows it has. Shuffle the narrow rows, then make the texts. ``key`` is
+    unique, or nearly so; counting the rows reads the ends of the files only.
+    """
+    tasks = -(-df.count() // rows_per_task)
+    return df.repartition(tasks, key) if tasks > 1 else df
+
 
 def read_texts(spark: SparkSession, path: str, fmt: str = "text", text_col: str = "text") -> DataFrame:
     """Texts as (path, text) from whole files, or the rows of a table file.
