@@ -67,6 +67,8 @@ EXTERNAL_DEFAULT_CONFIDENCE = 0.8
 # to right, and the class the first character of a match belongs to. All are implied by the
 # pattern: they only save work. A test is text to search for, or a regex when it starts with "re:".
 _FOUR = r"re:\d{4}"
+# Parts of the markers without letters that other letters than their two cases stand for (I, S).
+_MARKER = "re:(?=[FfTtOoLl])(?:[Ff].[Dd][Ee][Nn]|[Tt][Rr].[Cc][Tt]|[Oo][Pp][Rr].[Ee]|[Ll] [Oo][Nn][Ll])"
 _GATES = {
     "EMAIL": [(["@"], "")],
     "PHONE_NUMBER": [
@@ -76,7 +78,7 @@ _GATES = {
     ],
     "US_SSN": [([_FOUR, r"re:\d{2}-\d{4}"], r"\d"), ([_FOUR, r"re:\d{2}\s\d{4}"], r"\d"), ([_FOUR, r"re:\d{9}"], r"\d")],
     "CREDIT_CARD": [([_FOUR, r"re:\d{13}"], "[3-6]"), ([_FOUR, r"re:\d{4}[- ]?\d{4}"], r"\d")],
-    "IP_ADDRESS": [([r"re:[0-9]\.[0-9]"], "[0-9]"), ([r"re:[0-9a-fA-F]:[0-9a-fA-F]"], "[0-9a-fA-F]")],
+    "IP_ADDRESS": [([r"re:[0-9]\.[0-9]"], "[0-9]"), ([r"re::[0-9a-fA-F]{1,4}:"], "[0-9a-fA-F]")],
     "URL": [(["://"], "")],
     "AWS_ACCESS_KEY": [(["AKIA"], "")],
     "API_KEY": [([r"re:(?<![A-Za-z0-9])[A-Za-z0-9]{32}"], "[A-Za-z0-9]"), (["sk-"], ""), (["pk_"], "")],
@@ -86,7 +88,7 @@ _GATES = {
     "BUSINESS_INTERNAL_EMAIL": [(["@"], "")],
     "BUSINESS_EMPLOYEE_ID": [(["EMP"], ""), ([_FOUR, r"re:\d{6}"], r"\d")],
     "BUSINESS_PROJECT_CODE": [([_FOUR, r"re:[A-Z]-\d{4}"], "[A-Z]")],
-    "BUSINESS_CONFIDENTIAL_MARKERS": [([], "[CcRrPpIi\u0130\u0131]")],
+    "BUSINESS_CONFIDENTIAL_MARKERS": [([_MARKER], "[CcRrPpIi\u0130\u0131]")],
 }
 
 
