@@ -11,48 +11,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import calibration as cal
+from maskwright.functions.nearest import nearest_of_groups
 from maskwright.functions.spans import span_context
-from maskwright.operators.skew import frequent
 
 # --- Fixed values: what stands in for a type without prototypes, and the training minimum.
 UNKNOWN_TYPE_SIMILARITY = 0.5
 MIN_NER_EXAMPLES = 50
 # --- end of fixed values
 
-VECTORS_PER_BLOCK = 256
-COMPARISONS_PER_SLICE = 250_000
+VECTORS_PER_BLOCK = 8192  # prototypes that a task holds at once
+COMPARISONS_PER_SLICE = 4_000_000
+ROWS_PER_SLICE = 20_000
+SLICED_LABELS = 10_000  # labels at most that are sliced, those with the most work
+GROUP = ["__label", "__block", "__slice"]
 
 
 def _blocks(vectors: DataFrame) -> DataFrame:
-    """(label, vectors): the distinct unit vectors of each label in blocks of about ``VECTORS_PER_BLOCK``."""
-    known = vectors.filter(F.col("v").isNotNull()).distinct()
-    sizes = known.groupBy("label").agg(F.ceil(F.count("*") / VECTORS_PER_BLOCK).alias("blocks"))
-    dealt = known.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
-    return dealt.groupBy("label", "block").agg(F.collect_list("v").alias("vectors")).select("label", "vectors")
+    """(label, v, block, blocks): the distinct unit vectors of each label in blocks of about ``VECTORS_PER_BLOCK``."""
+    known = vectors.filter("v is not null and label is not null").distinct()
+    sizes = known.groupBy("label").agg(F.ceil(F.count("*") / VECTORS_PER_BLOCK).cast("int").alias("blocks"))
+    return known.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
 
 
-def _nearest(rows: DataFrame, label: Column, vector: str, blocks: DataFrame, name: str) -> DataFrame:
-    """``rows`` (id, row) with ``name``: the highest similarity of row's ``vector`` to its label's blocks.
+def _nearest(rows: DataFrame, counts: DataFrame, label: Column, vector: str, blocks: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with an ``__id``) with ``name``: the highest similarity of ``vector`` to its label's blocks.
 
-    Rows of a label that are many, or have many prototypes to meet, are dealt out in slices of about
-    ``COMPARISONS_PER_SLICE``, and the label's blocks repeated for each. A row
-    meets one block after the other and the highest similarity is a partial maximum, so neither a
-    type's prototypes nor its rows are ever gathered.
+    ``counts`` is (label, n) of the rows. A label's rows are dealt out in slices of about ``ROWS_PER_SLICE``,
+    or fewer that take ``COMPARISONS_PER_SLICE``, and its blocks repeated for each. Prototypes and
+    rows travel in one shuffle, sorted so that a slice's prototypes come first: a task holds one block, and
+    rows stream past it. Only if a label has several blocks, rows are repeated and the highest similarity is
+    a partial maximum. So neither a type's prototypes nor its rows are ever gathered.
     """
-    named = rows.withColumn("label", label).withColumn("h", F.xxhash64("label"))
-    counts = frequent(named, F.col("label")).withColumnRenamed("__h", "h")
-    sizes = blocks.groupBy(F.xxhash64("label").alias("h")).agg(F.sum(F.size("vectors")).alias("m"))
-    work = F.ceil(F.col("n") * F.col("m") / F.lit(COMPARISONS_PER_SLICE)).cast("int")
-    hot = F.broadcast(counts.join(sizes, "h").select("h", work.alias("slices")).filter("slices > 1"))  # bounded by ``frequent``
-    slices = F.coalesce("slices", F.lit(1))
-    dealt = named.join(hot, "h", "left").withColumn("slice", F.pmod(F.xxhash64("id"), slices).cast("int")).drop("h")
-    spread = blocks.withColumn("h", F.xxhash64("label")).join(hot, "h", "left")
-    repeated = spread.select("label", "vectors", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
-    met = dealt.drop("slices").join(repeated, ["label", "slice"], "left")
-    met = met.withColumn(name, cal.best_similarity(F.col("row")[vector], F.col("vectors")))
-    carried = [F.any_value(c).alias(f"any_{c}") for c in rows.columns if c != "id"]
-    best = met.groupBy("label", "slice", "id").agg(F.max(name).alias(name), *carried)
-    return best.select("id", *[F.col(f"any_{c}").alias(c) for c in rows.columns if c != "id"], name)
+    sizes = blocks.groupBy("label").agg(F.count("*").alias("m"), F.max("blocks").alias("blocks"))
+    several = sizes.filter("blocks > 1")
+    met_at_once = F.least(F.coalesce("m", F.lit(0)), F.lit(VECTORS_PER_BLOCK))
+    work = F.ceil(F.col("n") * met_at_once / COMPARISONS_PER_SLICE + F.col("n") / ROWS_PER_SLICE).cast("int")
+    sliced = counts.join(sizes, "label", "left").select(F.col("label").alias("__label"), work.alias("__slices"))
+    hot = F.broadcast(sliced.filter("__slices > 1").orderBy(F.desc("__slices")).limit(SLICED_LABELS))
+    slices = F.coalesce("__slices", F.when(F.col("__label").isNull(), F.lit(SLICED_LABELS)).otherwise(F.lit(1)))
+
+    dealt = rows.withColumn("__label", label).join(hot, "__label", "left")
+    dealt = dealt.withColumn("__slice", F.pmod(F.xxhash64("__id"), slices).cast("int")).drop("__slices")
+    repeated = not several.isEmpty()
+    if repeated:
+        widths = F.broadcast(several.select(F.col("label").alias("__label"), F.col("blocks").alias("__blocks")))  # bounded by the blocks
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1))
+        dealt = dealt.join(widths, "__label", "left").withColumn("__block", each).drop("__blocks")
+    else:
+        dealt = dealt.withColumn("__block", F.lit(0))
+    dealt = dealt.withColumn("__proto", F.lit(False)).withColumn("__v", F.col(vector).cast("array<double>"))
+
+    shown = blocks.select(F.col("label").alias("__label"), F.col("block").alias("__block"), F.col("v").alias("__v"))
+    shown = shown.join(hot, "__label", "left").withColumn("__slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    shown = shown.withColumn("__proto", F.lit(True)).drop("__slices")
+    # Not deterministic, as far as Spark knows: it keeps the order of rows below it.
+    best = F.arrow_udf(nearest_of_groups, "double").asNondeterministic()
+    met = dealt.unionByName(shown, allowMissingColumns=True).repartition(*GROUP)
+    met = met.sortWithinPartitions(*GROUP, F.desc("__proto")).withColumn(name, best(*GROUP, "__proto", "__v"))
+    met = met.filter("not __proto").drop(*GROUP, "__proto", "__v")
+    if not repeated:
+        return met
+    carried = [F.any_value(f"`{c}`").alias(c) for c in rows.columns if c != "__id"]
+    return met.groupBy("__id").agg(F.max(name).alias(name), *carried)
 
 
 def semantic_scores(spans: DataFrame, prototypes: DataFrame) -> DataFrame:
@@ -62,17 +82,20 @@ def semantic_scores(spans: DataFrame, prototypes: DataFrame) -> DataFrame:
     embedding: kind ``pattern`` (label: an entity type) or ``context``. Each span is compared with
     the patterns of its own type and with all contexts, of which there may be any number. Spans without
     a type, a vector or prototypes get the similarity of an unknown type, and 0 for contexts.
+    ``prototypes`` is read several times, once at the call.
     """
     vectors = prototypes.select("kind", "label", cal.unit(F.col("embedding")).alias("v"))
     patterns = _blocks(vectors.filter("kind = 'pattern'").select("label", "v"))
     contexts = _blocks(vectors.filter("kind = 'context'").select(F.lit("context").alias("label"), "v"))
-    rows = spans.select(F.monotonically_increasing_id().alias("id"), F.struct(*[f"`{c}`" for c in spans.columns]).alias("row"))
-    rows = _nearest(rows, F.col("row.entity_type"), "embedding", patterns, "pattern")
-    rows = _nearest(rows, F.lit("context"), "context_embedding", contexts, "context")
+    counts = spans.groupBy(F.col("entity_type").alias("label")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).select(F.lit("context").alias("label"), "n")
+    rows = spans.withColumn("__id", F.monotonically_increasing_id())
+    rows = _nearest(rows, counts, F.col("entity_type"), "embedding", patterns, "__pattern")
+    rows = _nearest(rows, total, F.lit("context"), "context_embedding", contexts, "__context")
     return rows.select(
-        "row.*",
-        F.coalesce("pattern", F.lit(UNKNOWN_TYPE_SIMILARITY)).alias("pattern_similarity"),
-        F.greatest(F.lit(0.0), F.coalesce("context", F.lit(0.0))).alias("context_similarity"),
+        *[F.col(f"`{c}`") for c in spans.columns],
+        F.coalesce("__pattern", F.lit(UNKNOWN_TYPE_SIMILARITY)).alias("pattern_similarity"),
+        F.greatest(F.lit(0.0), F.coalesce("__context", F.lit(0.0))).alias("context_similarity"),
     )
 
 

@@ -855,20 +855,31 @@ def redacted_log(spark, sf_dir):
 _TYPE_OF_LABEL = "case label when 0 then 'EMAIL' when 1 then 'PHONE_NUMBER' when 2 then 'PERSON' when 3 then 'US_SSN' when 4 then 'CREDIT_CARD' when 5 then 'LOCATION' else 'URL' end"
 
 
-def _centroids(spark, sf_dir) -> DataFrame:
-    """One prototype per label: the mean vector. Labels 0-5 are entity types, the others contexts."""
-    dims = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = dims.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    vectors = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
-    return vectors.select(
+def _embeddings(spark, sf_dir) -> DataFrame:
+    """Embeddings, dealt out: comparing or unpacking a vector takes far longer than reading it."""
+    return text_io.dealt(table(spark, sf_dir, "embeddings"), "vec_id")
+
+
+def _mean_vectors(dims: DataFrame, groups: list[str]) -> DataFrame:
+    """One prototype per group of (*groups, i, x): the mean vector. Labels 0-5 are entity types, the others contexts.
+    Written, as prototypes are read several times."""
+    means = dims.groupBy(*groups, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    vectors = means.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
+    prototypes = vectors.select(
         F.when(F.col("label") <= 5, F.lit("pattern")).otherwise(F.lit("context")).alias("kind"),
         F.expr(_TYPE_OF_LABEL).alias("label"),
         F.transform("v", lambda p: p["m"]).alias("embedding"),
     )
+    return written(prototypes, "prototypes")
+
+
+def _centroids(spark, sf_dir) -> DataFrame:
+    """One prototype per label."""
+    return _mean_vectors(_embeddings(spark, sf_dir).select("label", F.posexplode("embedding").alias("i", "x")), ["label"])
 
 
 def _vector_spans(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
+    return _embeddings(spark, sf_dir).select(
         "vec_id",
         F.expr(_TYPE_OF_LABEL).alias("entity_type"),
         (F.lit(0.5) + F.pmod("vec_id", F.lit(5)) / 10).alias("confidence"),
@@ -915,16 +926,10 @@ def adjust_confidence(spark, sf_dir):
 
 def _many_prototypes(spark, sf_dir) -> DataFrame:
     """Some two hundred prototypes of each type and as many contexts: mean vectors of groups of all rows."""
-    dims = table(spark, sf_dir, "embeddings").select(
+    dims = _embeddings(spark, sf_dir).select(
         "label", F.pmod("vec_id", F.lit(200)).alias("g"), F.posexplode("embedding").alias("i", "x")
     )
-    means = dims.groupBy("label", "g", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    vectors = means.groupBy("label", "g").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
-    return vectors.select(
-        F.when(F.col("label") <= 5, F.lit("pattern")).otherwise(F.lit("context")).alias("kind"),
-        F.expr(_TYPE_OF_LABEL).alias("label"),
-        F.transform("v", lambda p: p["m"]).alias("embedding"),
-    )
+    return _mean_vectors(dims, ["label", "g"])
 
 
 @query(
@@ -940,7 +945,7 @@ from spans left join pat using (vec_id) left join con using (vec_id)""",
 )
 def semantic_many_prototypes(spark, sf_dir):
     """Similarity to the nearest of hundreds of prototypes of a type; one type has a third of all spans and more."""
-    spans = table(spark, sf_dir, "embeddings").select(
+    spans = _embeddings(spark, sf_dir).select(
         "vec_id",
         F.when(F.col("vec_id") % 3 == 0, F.lit("EMAIL")).otherwise(F.expr(_TYPE_OF_LABEL)).alias("entity_type"),
         F.reverse("embedding").alias("embedding"),
