@@ -70,3 +70,20 @@ def test_rows_are_dealt_out_and_not_grouped_again(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(tasks) == 2000 and len(tasks) >= 6 and max(tasks) < 700
+
+
+def test_many_spans_of_a_type_with_one_prototype_span_tasks(spark, monkeypatch):
+    """Slices by comparisons alone would leave such a type, and the only context, to one task each."""
+    monkeypatch.setattr(semantic, "ROWS_PER_SLICE", 20)
+    spans = spark.range(2000).selectExpr(
+        "'mail' as text", "'EMAIL' as entity_type", "0 as start", "4 as end", "0.5D as confidence", "array(3.0, 4.0 + id % 7) as embedding", "array(id, 1.0) as context_embedding"
+    )
+    protos = spark.createDataFrame([("pattern", "EMAIL", [3.0, 4.0]), ("context", "c", [1.0, 0.0])], "kind string, label string, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = semantic.enhance(spans, protos)
+        tasks = found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("pattern_similarity").alias("best")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r["n"] for r in tasks) == 2000 and len(tasks) >= 6 and max(r["n"] for r in tasks) < 700
+    assert {round(r["best"], 12) for r in tasks} == {1.0}
