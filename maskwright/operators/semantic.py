@@ -21,7 +21,7 @@ MIN_NER_EXAMPLES = 50
 
 VECTORS_PER_BLOCK = 8192  # prototypes that a task holds at once
 COMPARISONS_PER_SLICE = 4_000_000
-ROWS_PER_SLICE = 20_000
+ROWS_PER_SLICE = 2_000
 SLICED_LABELS = 10_000  # labels at most that are sliced, those with the most work
 GROUP = ["__label", "__block", "__slice"]
 
