@@ -94,8 +94,3 @@ def unit(vector: Column) -> Column:
         F.sqrt(dot(vector, vector)),
         lambda n: F.transform(vector, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0))),
     )
-
-
-def best_similarity(vector: Column, units: Column) -> Column:
-    """Largest cosine between a vector and vectors of length one; null when there are none."""
-    return let(unit(vector), lambda v: F.array_max(F.transform(units, lambda u: dot(v, u))))
